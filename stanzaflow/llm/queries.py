@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stanzaflow.llm import knn, mixing, pii
+from stanzaflow.llm import knn, mixing, pii, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": lambda spark, d: window_dedup.op2(_table(spark, d, "documents")),
         "op8_mixing": lambda spark, d: mixing.op8(_table(spark, d, "documents")),
         "op9_pii": lambda spark, d: pii.op9(_table(spark, d, "documents")),
         "op10_topk": lambda spark, d: knn.op10(_table(spark, d, "embeddings")),

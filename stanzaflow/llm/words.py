@@ -99,18 +99,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return hashed, np.searchsorted(start, offsets).astype(np.int64)
 
 
-def grams(words: np.ndarray, offsets: np.ndarray, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k words within a row, and their word positions; rows under k words give none."""
-    if len(words) < k:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+def runs(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """A hash for each run of k consecutive words, row boundaries disregarded."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(0, U64)
     up, down = _powers(_Q, _room(len(words) + 1))
     total = np.zeros(len(words) + 1, U64)
     np.cumsum(words * up[: len(words)], out=total[1:])
-    n = len(words) - k + 1
-    hashed = (total[k:] - total[:n]) * down[:n]
-    left = np.repeat(offsets[1:], np.diff(offsets))[:n] - np.arange(n)
-    at = np.flatnonzero(left >= k)
-    return mix(hashed[at], 3 + salt), at
+    return mix((total[k:] - total[:n]) * down[:n], 3 + salt)
+
+
+def within(offsets: np.ndarray, k: int) -> np.ndarray:
+    """Word positions at which k words of one row begin."""
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(offsets[-1])
+    return np.flatnonzero(left >= k)
+
+
+def grams(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words within a row, and their word positions; rows under k words give none."""
+    at = within(offsets, k)
+    return runs(words, k)[at], at
 
 
 def shingle_sets(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
