@@ -65,7 +65,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def _word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all words; a row boundary ends a word."""
     inside = ~_IS_SPACE[data]
     first, last = inside.copy(), inside.copy()
@@ -91,7 +91,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     """A hash for each word of some rows, and the n + 1 offsets of the rows' words."""
     if len(data) == 0:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    start, end = _word_spans(data, offsets)
+    start, end = word_bounds(data, offsets)
     up, down = _powers(_P, _room(len(data) + 1))
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_byte_values(lower)[data] * up[: len(data)], out=total[1:])
@@ -99,6 +99,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return hashed, np.searchsorted(start, offsets).astype(np.int64)
 
 
+def prefix_hashes(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length in bytes: its hashes of the beginnings of words at least as long, and which words these are."""
+    up, down = _powers(_P, _room(len(data) + 1))
+    total = np.zeros(len(data) + 1, U64)
+    np.cumsum(_byte_values(True)[data] * up[: len(data)], out=total[1:])
+    for n in lengths:
+        ok = np.flatnonzero(end - start >= n)
+        at = start[ok]
+        yield n, mix((total[at + n] - total[at]) * down[at], 90 + n), ok
+
+
 def runs(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """A hash for each run of k consecutive words, row boundaries disregarded."""
     n = len(words) - k + 1
