@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stanzaflow.llm import knn, mixing, near_dedup, pii, toxicity, window_dedup
+from stanzaflow.llm import knn, mixing, near_dedup, pii, secrets, toxicity, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": lambda spark, d: secrets.op1(_table(spark, d, "documents")),
         "op2_substring_dedup": lambda spark, d: window_dedup.op2(_table(spark, d, "documents")),
         "op3_minhash_dedup": lambda spark, d: near_dedup.op3(_table(spark, d, "documents")),
         "op4_toxicity": lambda spark, d: toxicity.op4(_table(spark, d, "documents"), _table(spark, d, "labels")),
