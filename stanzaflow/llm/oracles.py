@@ -1,6 +1,53 @@
 """DuckDB SQL for the queries that SQL can express; no query of the engine reads these."""
 
+#: A text's words, and the distinct five-word shingles of a list of words w (fewer words: all as one).
+_WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_SHINGLES = (
+    "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]"
+    " ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)"
+)
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op2_substring_dedup": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+win AS MATERIALIZED (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), hit AS (
+  SELECT doc_id, p FROM win JOIN (SELECT k, min(doc_id) AS first FROM win GROUP BY k) USING (k) WHERE doc_id > first
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(p, p + 50)))) AS g FROM hit GROUP BY doc_id
+), cut AS (
+  SELECT d.doc_id, len(w) AS n_words, list_sort(coalesce(g, [])) AS g, w FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, len(g)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN len(g) = 0 THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(g, i)) END, ' '), '')) AS kept_sha256
+FROM cut
+""",
+    "op3_minhash_dedup": f"""
+WITH RECURSIVE s AS MATERIALIZED (
+  SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents)
+), x AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS h FROM s),
+links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) AS m, any_value(q.n) AS n, count(*) AS c
+    FROM x p JOIN x q USING (h) WHERE p.doc_id <> q.doc_id GROUP BY ALL)
+  WHERE 100 * c >= 85 * (m + n - c)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least USING (doc_id)
+""",
+    "op6_decontamination": f"""
+WITH s AS MATERIALIZED (
+  SELECT doc_id, unnest({_SHINGLES}) AS h FROM (SELECT doc_id, {_WORDS.format("lower(text)")} AS w FROM documents)
+), q AS MATERIALIZED (
+  SELECT item_id, len(h) AS n_item, unnest(h) AS h
+  FROM (SELECT item_id, {_SHINGLES} AS h FROM (SELECT item_id, {_WORDS.format("lower(text)")} AS w FROM benchmark))
+), c AS (SELECT doc_id, item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_shared FROM s JOIN q USING (h) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c WHERE 100 * n_shared >= 80 * n_item
+""",
     "op10_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS e
