@@ -1,10 +1,10 @@
 """DuckDB SQL for the queries that SQL can express; no query of the engine reads these."""
 
 #: A text's words, and the distinct five-word shingles of a list of words w (fewer words: all as one).
-_WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _SHINGLES = (
     "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]"
-    " ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)"
+    " ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)"
 )
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -22,7 +22,7 @@ win AS MATERIALIZED (
   SELECT d.doc_id, len(w) AS n_words, list_sort(coalesce(g, [])) AS g, w FROM d LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, len(g)::BIGINT AS n_removed,
-       sha256(coalesce(array_to_string(CASE WHEN len(g) = 0 THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(g, i)) END, ' '), '')) AS kept_sha256
+       sha256(coalesce(array_to_string(CASE WHEN len(g) = 0 THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' '), '')) AS kept_sha256
 FROM cut
 """,
     "op3_minhash_dedup": f"""
@@ -50,13 +50,13 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM
 """,
     "op10_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, d.vec_id,
-         list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * d.e[i]))::BIGINT AS score
+         list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i]))::BIGINT AS score
   FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e)
   WHERE q.vec_id % 100 = 0
 ), r AS (
