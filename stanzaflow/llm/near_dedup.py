@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stanzaflow.llm.components import components
+from stanzaflow.llm.grouped import binary_rows, matrix, whole_groups
 from stanzaflow.llm.scratch import materialise
 from stanzaflow.llm.words import U64, mix, shingle_sets, slices, text_bytes, word_hashes
 
@@ -88,13 +89,6 @@ def _sets(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, in
         yield a, b, *shingle_sets(*words, WORDS)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """A matrix of bytes as a binary column."""
-    n, width = rows.shape
-    ends = np.arange(0, (n + 1) * width, width, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """key, n, c1, c2 (the class: a 128-bit hash of the set), bands, sig of docs (key, text)."""
 
@@ -119,51 +113,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ends = pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(n.astype(np.int64)), pa.array(c1), pa.array(c2),
-                     pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1))), _binary(sig)],
+                     pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1))), binary_rows(sig)],
                     ["key", "n", "c1", "c2", "bands", "sig"],
                 )
 
     return docs.mapInArrow(sign, "key long, n long, c1 long, c2 long, bands array<long>, sig binary")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """From rows that come grouped: tables that end where a group ends, and their groups' starts with the end."""
-    held: list[pa.RecordBatch] = []
-
-    def starts(t: pa.RecordBatch) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        new[:1] = True
-        for c in by:
-            x = t.column(c).to_numpy(zero_copy_only=False)
-            new[1:] |= x[1:] != x[:-1]
-        return np.append(np.flatnonzero(new), t.num_rows)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held and all(batch.column(c)[0] == held[-1].column(c)[-1] for c in by):
-            at = starts(batch)
-            held.append(batch.slice(0, at[1]))
-            batch = batch.slice(at[1])
-            if not batch.num_rows:
-                continue
-        last = starts(batch)[-2]
-        held.append(batch.slice(0, last))
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
-        for t in whole:
-            yield t, starts(t)
-        held = [batch.slice(last)]
-    if held:
-        for t in pa.Table.from_batches(held).combine_chunks().to_batches():
-            yield t, starts(t)
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset]
-    return np.frombuffer(data, np.uint8)[at : at + len(column) * width].reshape(len(column), width)
-
-
 def candidate_edges(reps: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
     """a, b of documents that share a band key and may reach the threshold by their estimate.
 
@@ -177,9 +133,9 @@ def candidate_edges(reps: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
     least = lowest_estimate(percent)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in _whole_groups(batches, ["band"]):
+        for t, _ in whole_groups(batches, ["band"]):
             band, key = (t.column(c).to_numpy() for c in ("band", "key"))
-            sig = _matrix(t.column("sig"), HASHES * BITS // 8)
+            sig = matrix(t.column("sig"), HASHES * BITS // 8)
             for lag in range(1, hot):
                 at = np.flatnonzero(band[lag:] == band[:-lag])
                 if not len(at):
@@ -263,9 +219,9 @@ def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, block: i
     least = lowest_estimate(percent)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _whole_groups(batches, ["component", "i", "j"]):
+        for t, starts in whole_groups(batches, ["component", "i", "j"]):
             key, raw = t.column("key").to_numpy(), t.column("set")
-            sig = _matrix(t.column("sig"), HASHES * BITS // 8)
+            sig = matrix(t.column("sig"), HASHES * BITS // 8)
             found = []
             for a, b in zip(starts, starts[1:], strict=False):
                 if b - a > 1:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stanzaflow.llm import decontam, knn, mixing, near_dedup, pii, quality, secrets, toxicity, window_dedup
+from stanzaflow.llm import decontam, knn, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": lambda spark, d: window_dedup.op2(_table(spark, d, "documents")),
         "op3_minhash_dedup": lambda spark, d: near_dedup.op3(_table(spark, d, "documents")),
         "op4_toxicity": lambda spark, d: toxicity.op4(_table(spark, d, "documents"), _table(spark, d, "labels")),
+        "op5_suffix_dedup": lambda spark, d: suffix_dedup.op5(_table(spark, d, "documents")),
         "op6_decontamination": lambda spark, d: decontam.op6(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
         "op7_quality": lambda spark, d: quality.op7(_table(spark, d, "documents"), _table(spark, d, "labels")),
         "op8_mixing": lambda spark, d: mixing.op8(_table(spark, d, "documents")),
