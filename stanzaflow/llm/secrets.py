@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from stanzaflow.llm.scratch import materialise
 from stanzaflow.llm.spans import SPANS, digest_columns
 
 BASE = ["assign", "access", "hex"]
@@ -75,7 +76,10 @@ def random_samples(spark: SparkSession, n: int = RANDOM) -> DataFrame:
 
 def ordinary_samples(documents: DataFrame, key: str, text: str, n: int = SAMPLE_DOCS) -> DataFrame:
     """sample, random=false: words of the n documents whose keys have the smallest hashes, alone and joined."""
-    picked = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).orderBy(F.xxhash64("key"), "key").limit(n)
+    docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL")
+    # Keys are chosen without their texts; n of them are broadcast.
+    keys = materialise(docs.select("key").orderBy(F.xxhash64("key"), "key").limit(n).distinct())
+    picked = docs.join(F.broadcast(keys), "key", "left_semi")
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))
     words = picked.select(F.slice(words, 1, 400).alias("w"))
     alone = F.filter("w", lambda w: F.length(w) >= 8)
@@ -101,7 +105,7 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
     counted = pairs.groupBy("pair").agg(
         F.count_if(F.col("random")).alias("r"), F.count_if(~F.col("random")).alias("o")
     )
-    counted = counted.withColumn("first", F.floor(F.col("pair") / _CODES))
+    counted = materialise(counted.withColumn("first", F.floor(F.col("pair") / _CODES)))
     # 64 symbols may follow any: smoothing spreads over them. Unseen pairs are smoothed as well.
     totals = counted.groupBy("first").agg(F.sum("r").alias("all_r"), F.sum("o").alias("all_o"))
     grid = totals.withColumn("next", F.explode(F.sequence(F.lit(0), F.lit(_CODES - 1))))
