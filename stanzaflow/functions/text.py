@@ -59,15 +59,26 @@ def clean_markup(text: Column) -> Column:
 
 
 def fixed(x: Column, places: int = 3) -> Column:
-    """A number below 2^18 with a fixed count of decimals, rounding its exact binary value half to even."""
-    scale = 1 << 44
-    size = F.abs(x)
-    units = F.floor(size * float(scale)).cast("decimal(38,0)") * F.lit(10**places).cast("decimal(8,0)")
-    rest = (size * float(scale)) > F.floor(size * float(scale))  # bits below the scale
-    whole = F.floor(units / F.lit(scale).cast("decimal(20,0)")).cast("long")
-    twice = (units - whole.cast("decimal(20,0)") * F.lit(scale).cast("decimal(16,0)")) * 2
-    up = (twice > scale) | ((twice == scale) & (rest | (whole % 2 == 1)))
-    n = whole + up.cast("long")
-    text = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(places + 1)), F.lit("0"))
+    """A number below 2^18 with three or fewer decimals, rounding its exact binary value half to even.
+
+    The value is taken apart into two whole numbers of 44 bits behind the point each, which keeps every bit of
+    numbers down to 2^-35; the remainder is compared with one half in whole numbers.
+    """
+    unit, size = 1 << 44, F.abs(x)
+    scaled = size * float(unit)
+    high = F.floor(scaled)
+    low = F.floor((scaled - high) * float(unit))
+    wide = high.cast("decimal(20,0)") * F.lit(10**places).cast("decimal(8,0)")
+    quotient = F.floor(wide / F.lit(unit).cast("decimal(15,0)")).cast("long")
+    rest = (wide - quotient.cast("decimal(20,0)") * F.lit(unit).cast("decimal(15,0)")).cast("long")
+    carried = low * 10**places
+    rest = rest + F.call_function("div", carried, F.lit(unit))
+    below = carried % unit
+    whole = quotient + (rest >= unit).cast("long")
+    rest = rest % unit
+    half = unit // 2
+    up = (rest > half) | ((rest == half) & ((below > 0) | (whole % 2 == 1)))
+    n = (whole + up.cast("long")).cast("string")
+    text = F.lpad(n, F.greatest(F.length(n), F.lit(places + 1)), F.lit("0"))
     text = F.concat(F.substr(text, F.lit(1), F.length(text) - places), F.lit("."), F.right(text, F.lit(places)))
     return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)

@@ -17,18 +17,18 @@ def clusters(df: DataFrame, cluster: str, num: str, den: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with idx from 0 and the row count n. One ordered task: meant for analysis units or cluster sums."""
-    return df.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    """df with _idx from 0 and the row count _size. One ordered task: meant for analysis units or cluster sums."""
+    return df.withColumn("_idx", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
 
 
 def replicates(df: DataFrame, order: list[str], num: str, den: str, stratum: str, b: int, seed: int) -> DataFrame:
     """rep, density: pooled densities of b resamples with replacement, as many draws as rows."""
     rows = numbered(df.select(*dict.fromkeys([*order, num, den])), order)
     spark = df.sparkSession
-    n = rows.agg(F.max("n")).first()[0] or 0
+    n = rows.agg(F.max("_size")).first()[0] or 0
     draws = spark.range(b * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), (F.col("id") % max(n, 1)).alias("draw"))
-    draws = draws.withColumn("idx", hashed_draw(F.lit(max(n, 1)), F.lit(seed), F.lit(stratum), F.col("rep"), F.col("draw")))
-    return draws.join(rows, "idx").groupBy("rep").agg(pooled(num, den).alias("density"))
+    draws = draws.withColumn("_idx", hashed_draw(F.lit(max(n, 1)), F.lit(seed), F.lit(stratum), F.col("rep"), F.col("draw")))
+    return draws.join(rows, "_idx").groupBy("rep").agg(pooled(num, den).alias("density"))
 
 
 def bootstrap_difference(
@@ -57,9 +57,9 @@ def permutation_p(df: DataFrame, order: list[str], group: str, num: str, den: st
     ours = pooled(F.when(F.col(group), F.col(num)), F.when(F.col(group), F.col(den)))
     rest = pooled(F.when(~F.col(group), F.col(num)), F.when(~F.col(group), F.col(den)))
     observed = rows.agg((ours - rest).alias("observed"))
-    shuffled = df.sparkSession.range(b).select(F.col("id").alias("rep")).crossJoin(F.broadcast(rows.select("idx", num, den)))
-    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("idx").cast("string")))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(place, "idx"))
+    shuffled = df.sparkSession.range(b).select(F.col("id").alias("rep")).crossJoin(F.broadcast(rows.select("_idx", num, den)))
+    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("_idx").cast("string")))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(place, "_idx"))
     drawn = shuffled.withColumn("_mine", rank <= size)
     stat = drawn.groupBy("rep").agg(
         (

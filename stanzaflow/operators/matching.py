@@ -21,6 +21,8 @@ from stanzaflow.operators.lexicon import Lexicon
 #: Stands for used characters; must be outside the normalised alphabet.
 USED = "#"
 HITS = "array<struct<ord:int,entry_id:string,n:int>>"
+#: Characters of a text that one row's n-grams begin in.
+PIECE = 256
 #: Columns that scoring adds.
 SCORE = ["n_chars", *[f"{side}_{c}" for side in ("signal", "control") for c in ("weighted", "tokens", "entries", "density100")]]
 
@@ -126,10 +128,14 @@ def match_by_grams(df: DataFrame, key: str, plain: str, forms: DataFrame) -> Dat
     lengths = [r[0] for r in forms.select("form_len").distinct().orderBy("form_len").collect()]  # a few numbers
     if not lengths:
         return df.select(key).limit(0).selectExpr(f"`{key}`", "0 AS ord", "'' AS entry_id", "0 AS pos")
-    text = F.col(plain)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    grams = F.explode(F.flatten(F.array(*[_grams(text, starts, n) for n in lengths])))
-    found = df.select(key, grams.alias("g")).select(key, "g.pos", "g.form").join(forms, "form")
+    # Pieces first: taking a substring walks a text from its beginning, which would be quadratic in its length.
+    begin = F.sequence(F.lit(0), F.greatest(F.length(plain) - 1, F.lit(0)), F.lit(PIECE))
+    pieces = df.select(key, F.col(plain).alias("_text"), F.explode(begin).alias("begin"))
+    pieces = pieces.select(key, "begin", F.substr("_text", F.col("begin") + 1, F.lit(PIECE + lengths[-1] - 1)).alias("piece"))
+    starts = F.sequence(F.lit(1), F.greatest(F.least(F.length("piece"), F.lit(PIECE)), F.lit(1)))
+    grams = F.explode(F.flatten(F.array(*[_grams(F.col("piece"), starts, n) for n in lengths])))
+    found = pieces.select(key, "begin", grams.alias("g"))
+    found = found.select(key, (F.col("begin") + F.col("g.pos")).alias("pos"), "g.form").join(forms, "form")
     spans = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "form_len", "entry_id"))).alias("spans"))
     accepted = _accept(F.col("spans"))
     return spans.select(key, F.explode(accepted).alias("s")).select(key, "s.ord", "s.entry_id", "s.pos")
