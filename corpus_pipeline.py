@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stanzaflow.llm import decontam, mixing, near_dedup, pii, toxicity
-from stanzaflow.llm.scratch import materialise
+from stanzaflow.llm.scratch import bounded_batches, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Keys of 8 bytes that are broadcast at most; beyond, a shuffled join does the same.
@@ -44,6 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: personal data is replaced by its kind; n_chars follows the text."""
+    bounded_batches(spark)
     clean = docs.select("doc_id", pii.redacted(F.col("text")).alias("text"), "lang", "source", "n_chars")
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 

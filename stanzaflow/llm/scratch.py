@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes and rows of a batch that goes to Python.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -21,9 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, set to hand rows to Python in batches of a few MB, whatever the length of a row's text.
+
+    A batch is held several times: in the JVM's direct memory, in transit, and by the worker that reads it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet below the shared folder and return a scan of what was written."""
-    spark = df.sparkSession
+    spark = bounded_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/stanzaflow/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Text bytes looked at in one go; bounds the temporary arrays, which take some 40 bytes for each.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
@@ -30,7 +30,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=3)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < size."""
     up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
@@ -39,7 +39,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _room(n: int) -> int:
-    return max(1 << 21, 1 << int(n).bit_length())
+    return max(1 << 20, 1 << int(n).bit_length())
 
 
 @lru_cache(maxsize=2)
