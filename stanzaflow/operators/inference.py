@@ -77,18 +77,19 @@ def changepoint(df: DataFrame, order: str, value: str, least: int = 2) -> DataFr
 
     No row under five points. A series by year is short; prefix sums give every split's error in one pass.
     """
-    w = Window.orderBy(order)
+    w = Window.orderBy("_at")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(F.lit(1))
-    x = F.col(value)
-    s = df.select(
-        order, F.row_number().over(w).alias("k"), F.sum(x).over(upto).alias("s"), F.sum(x * x).over(upto).alias("q"),
-        F.sum(x).over(every).alias("ts"), F.sum(x * x).over(every).alias("tq"), F.count(F.lit(1)).over(every).alias("n"),
+    x = F.col("_x")
+    s = df.select(F.col(order).alias("_at"), F.col(value).alias("_x")).select(
+        "_at", F.row_number().over(w).alias("k"), F.sum(x).over(upto).alias("s"), F.sum(x * x).over(upto).alias("q"),
+        F.sum(x).over(every).alias("all_s"), F.sum(x * x).over(every).alias("all_q"), F.count(F.lit(1)).over(every).alias("n"),
     )
     left = F.col("q") - F.col("s") * F.col("s") / F.col("k")
-    right = (F.col("tq") - F.col("q")) - (F.col("ts") - F.col("s")) * (F.col("ts") - F.col("s")) / F.nullif(F.col("n") - F.col("k"), F.lit(0))
+    rest = F.col("all_s") - F.col("s")
+    right = (F.col("all_q") - F.col("q")) - rest * rest / F.nullif(F.col("n") - F.col("k"), F.lit(0))
     splits = s.filter((F.col("n") >= 5) & (F.col("k") >= least) & (F.col("n") - F.col("k") >= least))
-    return splits.withColumn("sse", left + right).orderBy("sse", order).limit(1).select(F.col(order).alias("changepoint"), "sse")
+    return splits.withColumn("sse", left + right).orderBy("sse", "_at").limit(1).select(F.col("_at").alias("changepoint"), "sse")
 
 
 def contrast(df: DataFrame, group: str, base: str, other: str, num: str, control: str, den: str) -> DataFrame:
