@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stanzaflow.functions.text import LINE_IDEOGRAPHS, count_in_set, kept_length, numeral_year
+from stanzaflow.functions.text import IDEOGRAPHS, LINE_IDEOGRAPHS, count_in_set, kept_length, numeral_year
 
 #: Dating words and the years they stand for.
 MARKERS = [
@@ -68,13 +68,11 @@ def cut_front_matter(sections: DataFrame, key: str) -> DataFrame:
     return earliest.withColumn("_begin", begin).filter("offset >= _begin").drop("_least", "_begin")
 
 
-def quoted_spans(df: DataFrame, key: list[str], text: str, quote: str = QUOTE, keep: str = None, least: int = 12) -> DataFrame:
+def quoted_spans(df: DataFrame, key: list[str], text: str, quote: str = QUOTE, keep: str = IDEOGRAPHS, least: int = 12) -> DataFrame:
     """key, offset (of the opening mark), text, n_chars of quotations with `least` kept characters."""
-    from stanzaflow.functions.text import IDEOGRAPHS
-
     spans = occurrences(df, key, text, quote, (1,))
     spans = spans.select(*key, F.col("start").alias("offset"), F.col("g1").alias("text"))
-    return spans.withColumn("n_chars", kept_length(F.col("text"), keep or IDEOGRAPHS)).filter(F.col("n_chars") >= least)
+    return spans.withColumn("n_chars", kept_length(F.col("text"), keep)).filter(F.col("n_chars") >= least)
 
 
 def marker_scan(df: DataFrame, key: list[str], text: str, markers: list[tuple[str, int]] = MARKERS) -> DataFrame:

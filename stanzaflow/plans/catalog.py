@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stanzaflow.functions import numeric, text as tx
-from stanzaflow.operators import density as dn, inference, lexicon as lx, matching as mt, probe, segmenting as sg, selecting as sl
+from stanzaflow.operators import density as dn, inference, lexicon as lx, matching as mt, selecting as sl
 from stanzaflow.plans import analyses
 from stanzaflow.plans.sample import CONTROL, KEEP, SETTINGS, SIGNAL, UNITS, Sql, density, scored as scored_sql, units
 

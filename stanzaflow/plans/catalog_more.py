@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from stanzaflow.functions import numeric, text as tx
 from stanzaflow.operators import inference, probe, segmenting as sg, selecting as sl
-from stanzaflow.plans.catalog import _LABEL, _MID, _RUP, long, query, r6, scored, table
+from stanzaflow.plans.catalog import _MID, _RUP, long, query, r6, scored, table
 from stanzaflow.plans.sample import CONTROL, SIGNAL, density, scored as scored_sql
 
 # ---- cleaning and segmentation ------------------------------------------------------------------------
