@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Text bytes looked at in one go; bounds the temporary arrays, which take some 40 bytes for each.
 SLICE_BYTES = 1 << 19
+#: Runs of words hashed in one go.
+RUN_WORDS = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
@@ -92,10 +94,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     if len(data) == 0:
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
     start, end = word_bounds(data, offsets)
-    up, down = _powers(_P, _room(len(data) + 1))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_byte_values(lower)[data] * up[: len(data)], out=total[1:])
-    hashed = mix((total[end] - total[start]) * down[start], 1) ^ mix((end - start).astype(U64), 2)
+    values, hashed, at = _byte_values(lower), np.empty(len(start), U64), 0
+    while at < len(start):  # words of a slice at a time, so that powers stay short however long a row is
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + SLICE_BYTES, "right")))
+        a, b = int(start[at]), int(end[stop - 1])
+        s, e = start[at:stop] - a, end[at:stop] - a
+        up, down = _powers(_P, _room(b - a + 1))
+        total = np.zeros(b - a + 1, U64)
+        np.cumsum(values[data[a:b]] * up[: b - a], out=total[1:])
+        hashed[at:stop] = mix((total[e] - total[s]) * down[s], 1) ^ mix((e - s).astype(U64), 2)
+        at = stop
     return hashed, np.searchsorted(start, offsets).astype(np.int64)
 
 
@@ -103,13 +111,13 @@ def prefix_hashes(
     data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each length in bytes: its hashes of the beginnings of words at least as long, and which words these are."""
-    up, down = _powers(_P, _room(len(data) + 1))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_byte_values(True)[data] * up[: len(data)], out=total[1:])
-    for n in lengths:
-        ok = np.flatnonzero(end - start >= n)
-        at = start[ok]
-        yield n, mix((total[at + n] - total[at]) * down[at], 90 + n), ok
+    values, held = _byte_values(True), np.zeros(len(start), U64)
+    for n in range(1, max(lengths) + 1):
+        if len(start):
+            held = held * U64(_P) + values[data[np.minimum(start + n - 1, len(data) - 1)]]
+        if n in lengths:
+            ok = np.flatnonzero(end - start >= n)
+            yield n, mix(held[ok], 90 + n), ok
 
 
 def runs(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -117,6 +125,8 @@ def runs(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     n = len(words) - k + 1
     if n < 1:
         return np.zeros(0, U64)
+    if n > RUN_WORDS:  # in parts that overlap by k - 1 words, so that powers stay short
+        return np.concatenate([runs(words[a : a + RUN_WORDS + k - 1], k, salt) for a in range(0, n, RUN_WORDS)])
     up, down = _powers(_Q, _room(len(words) + 1))
     total = np.zeros(len(words) + 1, U64)
     np.cumsum(words * up[: len(words)], out=total[1:])
