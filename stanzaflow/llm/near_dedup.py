@@ -38,8 +38,8 @@ WORDS, BANDS, ROWS, BITS = 5, 28, 5, 2
 HASHES = BANDS * ROWS
 #: Band keys with more documents than this contribute a chain instead of estimated pairs.
 HOT = 64
-#: Bytes of shingle sets in a block of a family.
-BLOCK = 8 << 20
+#: Bytes of shingle sets, and documents, in a block of a family.
+BLOCK, BLOCK_DOCS = 8 << 20, 1024
 #: Rows of some 100 bytes that are broadcast at most; beyond, a shuffled join does the same.
 BROADCAST_ROWS = 500_000
 
@@ -194,8 +194,9 @@ def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, block: i
 
     docs: key, text; families: node, component, n, sig. Large families meet as pairs of blocks.
     """
-    size = families.groupBy("component").agg((F.sum("n") * 8).alias("bytes"))
-    size = materialise(size.withColumn("blocks", F.ceil(F.col("bytes") / block).cast("int")))
+    size = families.groupBy("component").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("docs"))
+    blocks = F.greatest(F.ceil(F.col("bytes") / block), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
+    size = materialise(size.select("component", blocks.alias("blocks")))
     dealt = families.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = materialise(dealt.select(F.col("node").alias("key"), "component", "block", "blocks", "sig"))
     texts = docs.join(_few(dealt), "key").select("text", "key", "component", "block", "blocks", "sig")
