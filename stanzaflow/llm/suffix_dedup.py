@@ -1,4 +1,4 @@
-"""Operator 5, repeated passages by sparse suffix arrays.
+"""Operator 5, repeated passages by sorted windows at sparse suffixes.
 
 Of all suffixes of all texts, only those at content-selected positions are kept: the minimisers, which begin
 with the least hash of GRAM words among the GAP + 1 positions of some stretch. Equal stretches select equal
@@ -6,16 +6,14 @@ positions, so that any passage of `least` words that occurs twice has, in both p
 GAP words of its beginning, followed by least - GAP words of the passage: its head.
 
 1. Heads are counted by hash; suffixes whose head occurs once end there.
-2. The others carry the words around them, as 32-bit hashes, and are sorted: range-partitioned by head,
-   right context and document, so that even one very frequent passage spreads over tasks. Each suffix is
-   compared with its neighbours from other documents, extending to the left and right. Suffixes of a head are
-   also compared in the order of their left contexts, which finds partners that only a longer left side shares.
-   The ends of tasks meet in a small last step.
-3. Matches of `least` words or more are merged into a document's repeated passages.
-
-Contexts reach as far as a match of `least` words can; longer passages are covered by their several kept
-suffixes. A stated passage is a union of overlapping matches, perhaps with different documents, of which the
-one with the smallest key is named.
+2. Of the others' surroundings, each window of `least` words whose least hash stands at a shared head is
+   taken, once, as 96 bits of hash. Equal windows have equal least hashes, and so no repeated one is left out.
+3. Windows are sorted: range-partitioned by hash and document, so that even one very frequent passage spreads
+   over tasks. Rows of a hash that another document also has are matches. The first and the last hash of a
+   task may go on in others: their rows are judged by the smallest and largest key of the hash over all tasks.
+4. Matching windows that overlap or touch are merged into a document's repeated passages, of all its words
+   that lie in a repeated window. The smallest key that shares one of its windows is named (of two
+   documents, for each the other).
 
 Defined results: null and empty texts, and those under `least` words, have no passages. Rows with a null key
 are left out. Rows that repeat a key are one document, whose passages don't match each other. Only the named
@@ -30,9 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stanzaflow.llm.grouped import binary_rows, matrix, whole_groups
+from stanzaflow.llm.grouped import whole_groups
 from stanzaflow.llm.scratch import materialise
-from stanzaflow.llm.words import U64, mix, runs, slices, sliding_min, text_bytes, word_hashes
+from stanzaflow.llm.words import U64, mix, runs, slices, sliding_min, text_bytes, within, word_hashes
 
 LEAST, GRAM, GAP = 50, 8, 17
 #: Keys of 8 bytes that are broadcast at most; beyond, a shuffled join does the same.
@@ -67,17 +65,19 @@ def _heads(batch: pa.RecordBatch, text: int, least: int) -> Iterator[tuple]:
         yield a, words, at, kept, row, hashed
 
 
-def _around(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The n words from each position on, as big-endian 32-bit hashes; beyond the words, anything."""
-    short = (mix(words, 71) >> U64(32)).astype(">u4")
-    return short[np.clip(at[:, None] + np.arange(n)[None], 0, max(0, len(short) - 1))]
+def _windows(words: np.ndarray, at: np.ndarray, kept: np.ndarray, least: int) -> np.ndarray:
+    """Where windows of least words begin, within a row, whose least hash stands at one of the kept positions."""
+    hashed = runs(words, GRAM)
+    mine = np.full(len(hashed), ~U64(0))
+    mine[kept] = hashed[kept]
+    start = within(at, least)
+    return start[sliding_min(mine, GAP + 1)[start] == sliding_min(hashed, GAP + 1)[start]]
 
 
 def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
     """key, start, end (words, end exclusive), other: maximal passages of `least` words that other keys hold."""
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     docs = docs.filter(F.col("key").isNotNull() & (F.length("text") >= 2 * least - 1))
-    reach = GAP  # words of context on either side: a head and GAP more words make `least`
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,116 +96,83 @@ def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST) ->
     narrow = F.broadcast(which) if which.count() <= BROADCAST_KEYS else which
     met = docs.join(narrow, "key", "left_semi").join(places, "key").select("key", "places", "text")
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, places = batch.column(0).to_numpy(), batch.column(1)
-            for a, words, at, kept, row, hashed in _heads(batch, 2, least):
-                pos = (kept - at[row]).astype(np.int32)
+            for a, words, at, kept, row, _ in _heads(batch, 2, least):
                 keep = np.zeros(len(kept), bool)
                 for r in np.unique(row):
                     mine = slice(*np.searchsorted(row, [r, r + 1]))
-                    keep[mine] = np.isin(pos[mine], places[a + int(r)].values.to_numpy())
-                kept, row, hashed, pos = kept[keep], row[keep], hashed[keep], pos[keep]
-                if not len(kept):
+                    keep[mine] = np.isin(kept[mine] - at[r], places[a + int(r)].values.to_numpy())
+                if not keep.any():
                     continue
-                right = _around(words, kept + least - reach, reach)
-                left = _around(words, kept - reach, reach)[:, ::-1]
-                n_left = np.minimum(pos, reach).astype(np.int32)
-                n_right = np.minimum(at[row + 1] - kept - (least - reach), reach).astype(np.int32)
+                start = _windows(words, at, kept[keep], least)
+                row = np.searchsorted(at, start, "right") - 1
+                more = (runs(mix(words, 71), least)[start] >> U64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashed.view(np.int64)), binary_rows(right), binary_rows(left), pa.array(n_right),
-                     pa.array(n_left), pa.array(key[a + row]), pa.array(pos)],
-                    ["head", "right", "left", "n_right", "n_left", "key", "pos"],
+                    [pa.array(runs(words, least)[start].view(np.int64)), pa.array(more.view(np.int32)), pa.array(key[a + row]),
+                     pa.array((start - at[row]).astype(np.int32))],
+                    ["hash", "more", "key", "pos"],
                 )
 
-    shape = "head long, right binary, left binary, n_right int, n_left int, key long, pos int"
-    order = ["head", "right", "key", "pos"]
-    array = met.mapInArrow(suffixes, shape).repartitionByRange("head", "right", "key").sortWithinPartitions(*order)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Matches of a task's suffixes, and its two ends with their contexts."""
-        first = last = None
-        for t, _ in whole_groups(batches, ["head"]):
-            yield from _matches(t, least, reach, both=True)
-            first, last = first if first is not None else t.slice(0, 1), t.slice(t.num_rows - 1)
-        for end in (first, last):
-            if end is not None:
-                empty = pa.nulls(1, pa.int32())
-                yield pa.RecordBatch.from_arrays([*end.columns[:6], end.column(6), empty, pa.nulls(1, pa.int64())], OUT)
-
-    def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in whole_groups(batches, ["head"]):
-            for found in _matches(t.select(OUT[:7]), least, reach, both=True):
-                yield found.select(["key", "pos", "end", "other"])
-
-    out = shape + ", end int, other long"
-    found = materialise(array.mapInArrow(compare, out))
-    # Two rows for each task of the sort.
-    ends = found.filter("end IS NULL").select(*OUT[:7]).distinct().coalesce(1).sortWithinPartitions(*order)
-    ends = ends.mapInArrow(join_ends, "key long, pos int, end int, other long")
-    spans = found.filter("end IS NOT NULL").select("key", "pos", "end", "other").union(ends)
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct(F.col("pos").alias("start"), "end", "other")).alias("spans"))
-    merged = spans.select("key", F.explode(_merged(F.array_sort("spans"))).alias("s"))
-    return merged.select("key", "s.start", "s.end", "s.other")
-
-
-OUT = ["head", "right", "left", "n_right", "n_left", "key", "pos", "end", "other"]
-
-
-def _merged(spans):
-    """Sorted spans, those that overlap or touch made one."""
-    kind = "array<struct<start:int,end:int,other:bigint>>"
-
-    def step(done, s):
-        last = F.element_at(done, -1)
-        wider = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.least(last["other"], s["other"]).alias("other")
-        )
-        joins = (F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["end"])
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))).otherwise(
-            F.concat(done, F.array(s))
-        ).cast(kind)
-
-    return F.aggregate(spans, F.array().cast(kind), step)
-
-
-def _matches(t: pa.RecordBatch, least: int, reach: int, both: bool) -> Iterator[pa.RecordBatch]:
-    """From suffixes in order: those that, extended both ways, share `least` words with a neighbour of another key."""
-    n = t.num_rows
-    if n < 2:
-        return
-    head, n_right, n_left, key, pos = (t.column(c).to_numpy() for c in ("head", "n_right", "n_left", "key", "pos"))
-    right, left = (matrix(t.column(c), 4 * reach).view(">u4").reshape(n, reach) for c in ("right", "left"))
-
-    def extent(a: np.ndarray, b: np.ndarray, ctx: np.ndarray, size: np.ndarray) -> np.ndarray:
-        differ = ctx[a] != ctx[b]
-        same = np.where(differ.any(1), differ.argmax(1), reach)
-        return np.minimum(same, np.minimum(size[a], size[b]))
-
-    orders = [np.arange(n)]
-    if both:
-        orders.append(np.lexsort([pos, key, *right.T[::-1], *left.T[::-1], head]))
-    for order in orders:
-        # Each suffix and the nearest before it in order that is of another document; then the reverse.
-        starts = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (head[order][1:] != head[order][:-1])]))
-        run = np.searchsorted(starts, np.arange(n), "right") - 1
-        before = starts[run] - 1
-        after = np.append(starts[1:], n)[run]
-        for near in (before, after):
-            ok = (near >= 0) & (near < n)
-            a, b = order[ok], order[near[ok]]
-            same = head[a] == head[b]
-            a, b = a[same], b[same]
-            r = extent(a, b, right, n_right) + least - reach
-            f = extent(a, b, left, n_left)
-            hit = r + f >= least
-            a, b, r, f = a[hit], b[hit], r[hit], f[hit]
-            null = pa.nulls(len(a), pa.binary())
-            none = pa.nulls(len(a), pa.int32())
+    array = met.mapInArrow(windows, "hash long, more int, key long, pos int").repartitionByRange("hash", "more", "key")
+    found = array.sortWithinPartitions("hash", "more", "key").mapInArrow(_shared, "key long, pos int, other long, hash long, more int")
+    found = materialise(found)
+    edges = found.filter("other IS NULL").drop("other")
+    ends = edges.groupBy("hash", "more").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
+    ends = ends.toPandas()  # two rows at most for each task of the sort
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edge = batch.filter(batch.column("other").is_null()).to_pandas().drop(columns="other")
+            edge = edge.astype({"hash": "int64", "more": "int32"}).merge(ends, on=["hash", "more"])
+            other = np.where(edge["key"] == edge["low"], edge["high"], edge["low"])
+            yield batch.filter(batch.column("other").is_valid()).select(["key", "pos", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(edge["key"]), pa.array(edge["pos"]), pa.array(other)], ["key", "pos", "other"])
+
+    spans = found.mapInArrow(name, "key long, pos int, other long")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in whole_groups(batches, ["key"]):
+            key, pos, other = (c.to_numpy() for c in t.columns)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + least)
+            start = np.flatnonzero(new)
+            last = np.append(start[1:], len(key)) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(a), pa.int64()), null, null, none, none, pa.array(key[a]), pa.array((pos[a] - f).astype(np.int32)),
-                 pa.array((pos[a] + r).astype(np.int32)), pa.array(key[b])], OUT,
-            )
+                [pa.array(key[start]), pa.array(pos[start]), pa.array((pos[last] + least).astype(np.int32)), pa.array(np.minimum.reduceat(other, start))],
+                ["key", "start", "end", "other"],
+            )
+
+    spans = spans.repartition("key").sortWithinPartitions("key", "pos")
+    return spans.mapInArrow(merge, "key long, start int, end int, other long")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's sorted windows, those that another key has, with its name; all of the first and last hash, without."""
+    held, first = None, True
+    for group in whole_groups(batches, ["hash", "more"]):
+        if held is not None:
+            yield _judge(*held, first, False)
+            first = False
+        held = group
+    if held is not None:
+        yield _judge(*held, first, True)
+
+
+def _judge(t: pa.RecordBatch, at: np.ndarray, first: bool, last: bool) -> pa.RecordBatch:
+    key, size = t.column(2).to_numpy(), np.diff(at)
+    low, high = np.repeat(key[at[:-1]], size), np.repeat(key[at[1:] - 1], size)
+    edge = np.zeros(len(key), bool)
+    if first:
+        edge[: at[1]] = True
+    if last:
+        edge[at[-2] :] = True
+    keep = np.flatnonzero(edge | (low < high))
+    t, edge = t.take(pa.array(keep)), edge[keep]
+    other = np.where(key == low, high, low)[keep]
+    hidden = [pa.array(t.column(c).to_numpy(), mask=~edge) for c in (0, 1)]
+    return pa.RecordBatch.from_arrays([t.column(2), t.column(3), pa.array(other, mask=edge), *hidden], ["key", "pos", "other", "hash", "more"])
 
 
 def op5(documents: DataFrame) -> DataFrame:

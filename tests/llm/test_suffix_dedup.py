@@ -70,6 +70,28 @@ def test_coverage_equals_brute_force(spark, seed):
         assert not {*zip(*[words[r.key][r.start : r.end][k:] for k in range(5)])}.isdisjoint(zip(*[words[r.other][k:] for k in range(5)]))
 
 
+def surrounded(lines, docs, left, right, seed=5):
+    """Documents of their own words around one of some 40-word lines between one of the lead-ins and one of the tails."""
+    rng = random.Random(seed)
+
+    def words(n):
+        return [f"v{rng.randrange(4000)}" for _ in range(n)]
+
+    hot, leads, tails = [words(40) for _ in range(lines)], [words(5) for _ in range(left)], [words(5) for _ in range(right)]
+    rows = []
+    for i in range(docs):
+        own = [f"own{i}x{j}" for j in range(80)]
+        rows.append((i, " ".join([*own[:40], *rng.choice(leads), *hot[i % lines], *rng.choice(tails), *own[40:]])))
+    return rows
+
+
+def test_hot_passage_with_recurring_surroundings(spark):
+    rows = surrounded(lines=6, docs=1200, left=12, right=12)
+    want = covered(rows, 50)
+    assert len(want) > 300
+    assert run(spark, rows)[0] == want
+
+
 def test_every_stretch_selects_a_position():
     rng = np.random.default_rng(1)
     words = mix(rng.integers(0, 9, 4000).astype(np.uint64))
