@@ -92,6 +92,24 @@ def test_hot_passage_with_recurring_surroundings(spark):
     assert run(spark, rows)[0] == want
 
 
+@pytest.mark.parametrize("tasks", [1, 23])
+def test_any_number_of_tasks_gives_the_same(spark, tasks):
+    """Pairs that agree on the left of a hot passage and differ on its right."""
+    rows = surrounded(lines=1, docs=400, left=1, right=400)
+    words = [t.split(" ") for _, t in rows]
+    rows = [(i, " ".join([*words[i - i % 2][:85], *words[i][90:]])) for i in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got, spans = run(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == covered(rows, 50) and len(got) == 400
+    assert all(r.other == r.key ^ 1 for r in spans)
+
+
 def test_every_stretch_selects_a_position():
     rng = np.random.default_rng(1)
     words = mix(rng.integers(0, 9, 4000).astype(np.uint64))
