@@ -1,8 +1,8 @@
 """Operator 10, exact top-k by inner product as a Voronoi join.
 
-Vectors belong to the cell of their nearest pivot. A cell's summary holds its size, its radius and the k
-smallest distances to its pivot. With q.x = q.p + q.(x - p), a cell's scores lie within q.p +- |q| times
-those distances; the k-th best of the lower ends is a score that every query is sure to reach. A query is
+Vectors belong to the cell of their nearest pivot. A cell's summary holds its size, its radius and the k + 1
+smallest distances to its pivot of rows of different ids. With q.x = q.p + q.(x - p), a cell's scores lie within q.p +- |q| times
+those distances; the k-th best of the lower ends of other ids than the query's is a score that every query is sure to reach. A query is
 replicated only to the cells whose upper end reaches it; each cell, in blocks of bounded size, is solved
 locally, and the local top-k lists are merged. Bounds carry a margin for rounding, so that the result is
 exact: scores are integer sums.
@@ -122,11 +122,11 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS
     cells = materialise(data.mapInArrow(assign, "cell int, far double, id long, v array<long>"))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The partition's k + 1 smallest distances, count and radius for each cell."""
-        kept = _merge(pd.DataFrame({"cell": [], "n": [], "radius": [], "near": []}), k)
+        """The partition's k + 1 smallest distances of different ids, count and radius for each cell."""
+        kept = _merge(pd.DataFrame({"cell": [], "n": [], "radius": [], "near": [], "who": []}), k)
         for rows in batches:
             part = pd.DataFrame(
-                [(c, len(g), g.max(), np.sort(g.to_numpy())[: k + 1].tolist()) for c, g in rows.groupby("cell")["far"]],
+                [(c, len(g), g["far"].max(), *_closest(g["far"].to_numpy(), g["id"].to_numpy(), k)) for c, g in rows.groupby("cell")],
                 columns=kept.columns,
             )
             kept = _merge(pd.concat([kept, part]), k)
@@ -135,9 +135,9 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         return _merge(rows, k)
 
-    shape = "cell int, n long, radius double, near array<double>"
-    summary = cells.select("cell", "far").mapInPandas(summarise, shape).groupBy("cell").applyInPandas(merge, shape)
-    # As many rows as pivots and other lengths: k + 4 numbers each.
+    shape = "cell int, n long, radius double, near array<double>, who array<long>"
+    summary = cells.select("cell", "far", "id").mapInPandas(summarise, shape).groupBy("cell").applyInPandas(merge, shape)
+    # As many rows as pivots and other lengths: 2 k + 5 numbers each.
     groups = summary.orderBy("cell").collect()
     n_of = {g.cell: g.n for g in groups}
     blocks = {c: -(-n // data_block) for c, n in n_of.items()}
@@ -155,8 +155,10 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS
                 mid, long = rows @ at.T, np.sqrt((rows**2).sum(1))
                 slack = 1e-9 * (1 + np.abs(mid).max() + long.max() * max(g.radius for g in here))
                 low = np.concatenate([mid[:, [j]] - long[:, None] * np.array(g.near)[None] for j, g in enumerate(here)], 1)
-                # k + 1, as the query itself may be among the data; with fewer, every cell is needed.
-                sure = -np.partition(-low, k, 1)[:, k] if low.shape[1] > k else np.full(len(rows), -np.inf)
+                # Rows of the query's own id, however many, don't count; with fewer than k others, every cell is needed.
+                who = np.concatenate([np.array(g.who) for g in here])
+                low[batch.column(0).to_numpy()[own][:, None] == who[None]] = -np.inf
+                sure = -np.partition(-low, k - 1, 1)[:, k - 1] if low.shape[1] >= k else np.full(len(rows), -np.inf)
                 high = mid + long[:, None] * np.array([g.radius for g in here])[None]
                 q, j = np.nonzero(high + slack >= (sure - slack)[:, None])
                 which.append(own[q])
@@ -206,12 +208,19 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _closest(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list]:
+    """The k + 1 smallest distances of different ids, and these ids."""
+    order = np.lexsort((ids, far))
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])[: k + 1]]
+    return far[order].tolist(), ids[order].tolist()
+
+
 def _merge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     merged = [
-        (int(c), int(g["n"].sum()), float(g["radius"].max()), sorted(x for near in g["near"] for x in near)[: k + 1])
+        (int(c), int(g["n"].sum()), float(g["radius"].max()), *_closest(np.concatenate(list(g["near"])), np.concatenate(list(g["who"])), k))
         for c, g in rows.groupby("cell")
     ]
-    return pd.DataFrame(merged, columns=["cell", "n", "radius", "near"]).astype({"near": object})
+    return pd.DataFrame(merged, columns=["cell", "n", "radius", "near", "who"]).astype({"near": object, "who": object})
 
 
 def op10(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from stanzaflow.llm import knn
 
@@ -45,6 +46,14 @@ def test_odd_vectors(spark):
     assert run(spark, []) == set() and run(spark, [(1, [1.0])]) == set()
 
 
+@pytest.mark.parametrize("copies", [2, 15])
+def test_a_query_id_of_several_rows(spark, copies):
+    rows = [(0, [10.0, 0.0])] * copies + [(1 + i, [10.0, 0.0]) for i in range(9)]
+    rows += [(20 + i, [-10.0, 0.1 * i]) for i in range(30)]
+    want = plain(rows)
+    assert len(want) == 10 and run(spark, rows, pivots=2) == want
+
+
 def test_large_components_stay_exact():
     a = np.array([[2.0**40, 3.0], [1.0, 1.0]])
     assert knn.products(a, a).tolist() == [[(1 << 63) - 1, 2**40 + 3], [2**40 + 3, 2]]
