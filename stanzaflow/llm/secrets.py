@@ -3,8 +3,8 @@
 Three patterns give base spans. The method adds tokens that look random: maximal runs of token characters,
 of LEAST or more and with a digit among them, outside the base spans, whose first-order Markov
 log-likelihood ratio of random strings against ordinary identifiers reaches BAR nats. Both models are counted
-from labelled samples. The random samples are digests in the usual alphabets; the ordinary ones are words of
-up to SAMPLE_DOCS documents (those with the smallest hashes), SAMPLE_WORDS of each, alone and joined as identifiers.
+from labelled samples. The random samples are digests in the usual alphabets; the ordinary ones are all
+different words of up to SAMPLE_DOCS documents (those with the smallest hashes), alone and joined as identifiers.
 
 Positions come from splitting a text by the same pattern that finds the matches: a match starts after the
 pieces and matches before it.
@@ -28,8 +28,8 @@ ASSIGN = (
 #: A run that is too short fails as a whole, so that the minimum can stand in the pattern.
 ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 LEAST, BAR = 20, 12.0
-#: Bounds of the labelled samples: documents, and different words of each, that give ordinary ones; random ones.
-SAMPLE_DOCS, SAMPLE_WORDS, RANDOM = 400, 100, 4000
+#: Bounds of the labelled samples: documents that give ordinary ones; random ones.
+SAMPLE_DOCS, RANDOM = 2000, 4000
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
 _CODES = 128
 
@@ -83,7 +83,7 @@ def ordinary_samples(documents: DataFrame, key: str, text: str, n: int = SAMPLE_
     keys = materialise(docs.select("key").orderBy(F.xxhash64("key"), "key").limit(n).distinct())
     picked = docs.join(F.broadcast(keys), "key", "left_semi")
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))
-    words = picked.select(F.slice(words, 1, SAMPLE_WORDS).alias("w"))
+    words = picked.select(words.alias("w"))
     alone = F.filter("w", lambda w: F.length(w) >= 8)
     snake = F.transform("w", lambda w, i: F.concat_ws("_", w, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
     camel = F.transform("w", lambda w, i: F.concat(w, F.initcap(F.coalesce(F.get(F.col("w"), i + 3), w))))

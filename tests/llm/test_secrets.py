@@ -77,3 +77,10 @@ def test_many_matches(spark, table):
     text = "0123456789abcdef0 " * 3000
     got = spark.createDataFrame([(text,)], "text string").select(secret_spans(F.col("text"), table).alias("s")).first().s
     assert len(got) == 3000 and got[2999].end == 3000 * 18 - 1
+
+
+def test_ordinary_samples_hold_the_ends_of_texts_and_more_documents(spark):
+    words = [a + b + "word" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrstuvwxyz"]
+    docs = [(i, " ".join([*words, f"{words[i]}tail"])) for i in range(500)]
+    got = ordinary_samples(spark.createDataFrame(docs, "id long, t string"), "id", "t").select("sample").distinct().collect()
+    assert {f"{w}tail" for w in words[:500]} <= {r.sample for r in got}
