@@ -17,7 +17,8 @@ at s = 0.85, fewer above. Sets hold 64-bit hashes of shingles.
 
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing; under five words
 the whole sequence is the only shingle. Rows with a null key are in no component (component_id null) and
-are kept. Rows that repeat a key belong to one component. No rows give no rows; only the named columns are
+are kept. Rows that repeat a key belong to one component, whatever their texts: a key of several sets links
+their classes. No rows give no rows; only the named columns are
 read.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stanzaflow.llm.components import components
 from stanzaflow.llm.grouped import binary_rows, matrix, whole_groups
-from stanzaflow.llm.scratch import materialise
+from stanzaflow.llm.scratch import integer_key, materialise
 from stanzaflow.llm.words import U64, mix, shingle_sets, slices, text_bytes, word_hashes
 
 WORDS, BANDS, ROWS, BITS = 5, 28, 5, 2
@@ -237,7 +238,7 @@ def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, block: i
 
 def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 80, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id, kept for each row: |A & B| / |A | B| >= percent / 100 links A and B."""
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = df.select(integer_key(df, key).alias("key"), F.col(text).alias("text"))
     signed = materialise(signatures(docs))
     able = signed.filter("key IS NOT NULL AND n > 0")
     classes = materialise(able.groupBy("n", "c1", "c2").agg(F.min("key").alias("rep")))
@@ -246,7 +247,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 80, hot:
     reps = materialise(reps.dropDuplicates(["key", "n", "c1", "c2"]))
     families = components(candidate_edges(reps, percent, hot))
     families = materialise(families.join(reps.select(F.col("key").alias("node"), "n", "sig"), "node"))
-    links = components(confirmed_links(docs, families, percent, block))
+    # Texts of a key are found by its sets' hashes, as a key may have several.
+    by_key = able.groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.min("c2").alias("low2"), F.max("c2").alias("high2"))
+    several = _few(materialise(by_key.filter("low < high OR low2 < high2").select("key")))
+    twins = able.join(several, "key", "left_semi").join(classes, ["n", "c1", "c2"]).select("key", "rep")
+    twins = twins.join(twins.groupBy("key").agg(F.min("rep").alias("least")), "key").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    links = components(confirmed_links(docs, families, percent, block).union(twins))
     lead = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
     lead = materialise(lead.select("n", "c1", "c2", F.coalesce("component", "rep").alias("component_id")))
     found = signed.select("key", "n", "c1", "c2").join(lead, ["n", "c1", "c2"], "left")

@@ -1,15 +1,18 @@
 """Operator 4, toxicity behind a noisy channel.
 
-Writers hide words as leetspeak, spaced letters and repeated letters. A suspect token becomes a lattice: each
-character stands for itself or for the letters that it may replace, separators may be dropped and runs of one
-letter shortened. Viterbi decoding finds the path with the best sum of channel and language-model scores; the
-model is an interpolated character trigram model, counted over all documents. The restored words take the
-suspect tokens' places, and a logistic regression over word beginnings scores the result. Its features are
+Writers hide words as leetspeak, spaced letters and repeated letters. A suspect token of any length becomes a
+lattice: each character stands for itself or for the letters that it may replace, separators may be dropped
+and runs of one letter shortened. Viterbi decoding finds the path with the best sum of channel and
+language-model scores; the model is an interpolated character trigram model, counted over all documents. Suspect
+are words with a sign or digit beside a letter, a doubled letter or a mark between letters, and three or more single
+letters in a row (marks around them aside). Where ordinary words look alike, as with doubled letters and hyphens, a
+restored word that differs comes beside the token; else it takes its place. A logistic regression over word
+beginnings scores the result. Its features are
 chosen, and its weights fitted, on labelled rows: at most TRAIN_ROWS of them, those with the smallest hashes.
 
 Defined results: null and empty texts have no words and get the score of a text without any known word. Rows
 without a label, or with a null one, take no part in training; where all labels are equal, or none are
-there, the score is the smoothed share of label 1. Texts are scored whole. Repeated rows are scored each; no
+there, the score is the smoothed share of label 1. Texts and tokens of any length are scored whole. Repeated rows are scored each; no
 rows give no rows; only the named columns are read.
 """
 
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stanzaflow.llm.scratch import materialise
+from stanzaflow.llm.scratch import integer_key, materialise
 from stanzaflow.llm.words import U64, prefix_hashes, slices, text_bytes, word_bounds
 
 #: Labelled rows that the classifier is fitted on, at most.
@@ -43,8 +46,10 @@ STANDS_FOR = {
 }
 SEPARATORS = " .-_*"
 #: Log-probabilities of the channel: a letter as itself, a replaced letter, a symbol that stands for nothing,
-#: a dropped separator, a letter dropped from a run.
-AS_ITSELF, REPLACED, NOTHING, DROPPED, SHORTENED = -0.05, -1.0, -6.0, -0.5, -0.7
+#: a dropped separator, a letter dropped from a run: the second of it (most doubled letters are meant), a sign, a further one.
+AS_ITSELF, REPLACED, NOTHING, DROPPED, HALVED, SHORTENED = -0.05, -1.0, -6.0, -0.5, -2.5, -0.7
+#: Letters of a word that paths are remembered for together; longer tokens are decoded without being remembered.
+LONGEST_REMEMBERED = 64
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
@@ -57,6 +62,13 @@ _IS_LEET = np.zeros(256, bool)
 _IS_LEET[[ord(c) for c in STANDS_FOR]] = True
 _IS_DIGIT = np.zeros(256, bool)
 _IS_DIGIT[48:58] = True
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[[ord(c) for c in ".-_*"]] = True
+#: Signs that don't end a sentence.
+_IS_INNER = _IS_LEET & ~_IS_DIGIT
+_IS_INNER[ord("!")] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -112,29 +124,15 @@ class CharModel:
         if token not in self.seen:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            if len(token) > 64:
+            if len(token) > LONGEST_REMEMBERED:
                 return self._decode(token)
             self.seen[token] = self._decode(token)
         return self.seen[token]
 
     def _decode(self, token: str) -> str:
-        # Paths by the last two letters; a run's letters carry how far into the run they stand.
+        # Paths by the last two letters.
         paths = {(0, 0): (0.0, None)}
-        run = 0
-        for i, c in enumerate(token):
-            run = run + 1 if i and token[i - 1] == c else 1
-            if c in _CODE:
-                arcs = [(_CODE[c], AS_ITSELF)]
-                if run >= 2:
-                    arcs.append((-1, SHORTENED if run == 2 else AS_ITSELF))
-            elif c in STANDS_FOR:
-                arcs = [(_CODE[x], REPLACED) for x in STANDS_FOR[c]] + [(0, NOTHING)]
-                if run >= 2:
-                    arcs.append((-1, SHORTENED))
-            elif c in SEPARATORS:
-                arcs = [(-1, DROPPED), (0, AS_ITSELF)]
-            else:
-                arcs = [(0, AS_ITSELF)]
+        for arcs in lattice(token):
             after: dict = {}
             for (a, b), (score, back) in paths.items():
                 for x, channel in arcs:
@@ -157,40 +155,89 @@ class CharModel:
         return "".join(reversed(out)).strip()
 
 
-def suspects(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of words that look disguised: (first word, past the last)."""
+def lattice(token: str) -> Iterator[list[tuple[int, float]]]:
+    """For each character its arcs: (code of a letter, 0 for none or -1 for dropped, log-probability of the channel)."""
+    run, last = 0, ""
+    for c in token:
+        run, last = run + 1 if c == last else 1, c
+        if c in _CODE:
+            arcs = [(_CODE[c], AS_ITSELF)]
+            if run >= 2:
+                arcs.append((-1, HALVED if run == 2 else AS_ITSELF))
+        elif c in STANDS_FOR:
+            arcs = [(_CODE[x], REPLACED) for x in STANDS_FOR[c]] + [(0, NOTHING)]
+            if run >= 2:
+                arcs.append((-1, SHORTENED))
+        elif c in SEPARATORS:
+            arcs = [(-1, DROPPED), (0, AS_ITSELF)]
+        else:
+            arcs = [(0, AS_ITSELF)]
+        yield arcs
+
+
+def suspects(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of words that look disguised: first word, past the last, and whether ordinary words may look so too."""
     n = len(data)
     if not len(start):
-        return []
-    letter, leet = _IS_LETTER[data], _IS_LEET[data]
-    alnum = letter | _IS_DIGIT[data]
-    odd = np.zeros(n, bool)
-    odd[:-1] |= leet[:-1] & letter[1:]  # a sign before a letter
-    odd[1:] |= leet[1:] & letter[:-1] & _IS_DIGIT[data[1:]]  # a digit after one
-    odd[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
-    mark = (data == 46) | (data == 45) | (data == 95) | (data == 42)
-    odd[3:] |= alnum[3:] & mark[2:-1] & alnum[1:-2] & mark[:-3]  # letters apart by signs
-    word = np.searchsorted(start, np.flatnonzero(odd), "right") - 1
-    out = [(int(w), int(w) + 1) for w in np.unique(word) if end[w] - start[w] <= 40]
-    # Four or more single letters in a row of words.
-    single = (end - start == 1) & (alnum | leet)[start]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        cuts = [a, *(np.flatnonzero(np.diff(row[a:b])) + a + 1), b]
-        out += [(int(x), int(y)) for x, y in zip(cuts, cuts[1:], strict=False) if y - x >= 4]
-    return out
-
-
-_EDGES = re.compile(r"\A[^A-Za-z0-9@$!|+]+|[^A-Za-z0-9]+\Z")
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    letter, digit, sign = _IS_LETTER[data], _IS_DIGIT[data], _IS_LEET[data]
+    alnum = letter | digit
+    lower, mark = _LOWER[data], _IS_MARK[data]
+    # Whether a byte has another, or two others, of its word before it.
+    one = np.ones(n, bool)
+    one[start] = False
+    two = one.copy()
+    two[1:] &= one[:-1]
+    three = two.copy()
+    three[1:] &= two[:-1]
+    before = [np.concatenate([np.zeros(k, x.dtype), x])[:n] for x, k in ((letter, 1), (sign, 1), (mark, 1), (alnum, 2), (letter, 2), (mark, 3))]
+    letter1, sign1, mark1, alnum2, letter2, mark3 = before
+    twice = one & letter & (lower == np.concatenate([lower[:1], lower[:-1]]))
+    thrice = twice & np.concatenate([[False], twice[:-1]])
+    # A sign before or after a letter (an exclamation mark only before), three equal letters, letters apart by signs.
+    sure = one & sign1 & letter | one & letter1 & (digit | _IS_INNER[data]) | thrice | three & alnum & mark1 & alnum2 & mark3
+    mild = twice | two & letter & mark1 & letter2
+    flags = np.zeros(len(start), np.int8)
+    flags[np.searchsorted(start, np.flatnonzero(mild), "right") - 1] = 1
+    flags[np.searchsorted(start, np.flatnonzero(sure), "right") - 1] = 2
+    # Three or more words of a single character each, marks around it aside, with a letter among them.
+    core = alnum | sign
+    core[1:] &= ~((data[1:] == 33) & alnum[:-1])
+    held = np.concatenate([[0], np.cumsum(core)])
+    single = (held[end] - held[start] == 1) & (end - start <= 3)
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    first = np.ones(len(start), bool)
+    first[1:] = (single[1:] != single[:-1]) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(first)
+    past = np.append(begin[1:], len(start))
+    spelled = single[begin] & (past - begin >= 3) & (letters[end[past - 1]] > letters[start[begin]])
+    begin, past = begin[spelled], past[spelled]
+    taken = np.zeros(len(start) + 1, np.int64)
+    np.add.at(taken, begin, 1)
+    np.add.at(taken, past, -1)
+    alone = np.flatnonzero((flags > 0) & (np.cumsum(taken)[:-1] == 0))
+    return (
+        np.concatenate([begin, alone]), np.concatenate([past, alone + 1]), np.concatenate([np.zeros(len(begin), bool), flags[alone] == 1])
+    )
+
+
+_EDGES = re.compile(r"\A[^A-Za-z0-9@$!|+]+|[^A-Za-z0-9@$|+]+\Z")
 
 
 def _restored(model: CharModel, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray):
-    """For a slice: which words are suspect, and the restored words' bytes with their n + 1 row offsets."""
-    plain, texts = np.ones(len(start), bool), {}
-    for a, b in suspects(data, start, end, row):
-        plain[a:b] = False
-        token = " ".join(data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start[a:b], end[a:b], strict=True))
-        texts.setdefault(int(row[a]), []).append(model.restore(_EDGES.sub("", token)))
+    """For a slice: which words stay as they are, and by row the restored words."""
+    plain, texts, whole = np.ones(len(start), bool), {}, data.tobytes()
+    first, past, mild = suspects(data, start, end, row)
+    for a, b, unsure, r in zip(first.tolist(), past.tolist(), mild.tolist(), row[first].tolist(), strict=True):
+        token = " ".join(whole[start[i] : end[i]].decode("utf-8", "replace") for i in range(a, b))
+        inner = _EDGES.sub("", token)
+        found = model.restore(inner)
+        if unsure:
+            if found == inner.lower():
+                continue
+        else:
+            plain[a:b] = False
+        texts.setdefault(r, []).append(found)
     return plain, texts
 
 
@@ -322,7 +369,7 @@ def held_out(key: Column) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """key, score for each row of docs, trained on the labels of keys that are not held out."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(integer_key(docs, key).alias("key"), F.col(text).alias("text"))
     known = labels.filter(~held_out(F.col(key))).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     known = known.groupBy("key").agg(F.max("label").alias("label"))
     return scored(rows, train(rows, known))

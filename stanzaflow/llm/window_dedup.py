@@ -15,8 +15,8 @@ Of texts that are equal as a whole, only the one with the smallest key is window
 their words, if they have a window at all. The sketch's width follows the input up to MOST_CELLS.
 
 Defined results: null text has no words, and neither empty nor short texts have windows: they stay whole.
-Rows with a null key neither lose words nor make others lose theirs. A key names a text: rows that repeat
-both are all judged alike. Texts of any length are windowed whole. No rows give no rows. Only the
+Rows with a null key neither lose words nor make others lose theirs. Rows that repeat a key with another
+text are judged each by its own windows; rows that repeat both are all judged alike. Texts of any length are windowed whole. No rows give no rows. Only the
 named columns are read.
 """
 
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stanzaflow.llm.scratch import materialise
+from stanzaflow.llm.scratch import integer_key, materialise
 from stanzaflow.llm.words import U64, mix, runs, slices, sliding_min, text_bytes, within, word_hashes
 
 WIDTH = 50
@@ -126,12 +126,12 @@ def sketch(docs: DataFrame, cells: int, width: int = WIDTH) -> list[np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, bitmaps: list[np.ndarray], cells: int, width: int = WIDTH) -> DataFrame:
-    """k1, k2, key, pos of the windows that the sketch doesn't rule out; docs: key, text."""
+    """k1, k2, key, twin, pos of the windows that the sketch doesn't rule out; docs: key, text, twin."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
+            key, twin = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for a, _, words, offsets in _batch_slices(batch):
                 at, anchor = _anchors(words, offsets, width)
                 if not len(at):
@@ -147,11 +147,11 @@ def repeated_windows(docs: DataFrame, bitmaps: list[np.ndarray], cells: int, wid
                 k1, k2 = runs(words, width)[at], runs(mix(words, 21), width)[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k1.view(np.int64)), pa.array((k2 >> U64(32)).astype(np.uint32).view(np.int32)),
-                     pa.array(key[a + row]), pa.array((at - offsets[row]).astype(np.int32))],
-                    ["k1", "k2", "key", "pos"],
+                     pa.array(key[a + row]), pa.array(twin[a + row]), pa.array((at - offsets[row]).astype(np.int32))],
+                    ["k1", "k2", "key", "twin", "pos"],
                 )
 
-    return docs.mapInArrow(emit, "k1 long, k2 int, key long, pos int")
+    return docs.mapInArrow(emit, "k1 long, k2 int, key long, twin long, pos int")
 
 
 def _remove(width: int):
@@ -185,11 +185,20 @@ def _maybe_broadcast(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def _with_twin(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """rows (key, text) with digest and twin; several: keys of more texts than one, with the least digest."""
+    rows = rows.withColumn("digest", F.unhex(F.md5("text"))).join(several, "key", "left")
+    return rows.withColumn("twin", F.when(F.col("digest") > F.col("least"), F.xxhash64("digest")).otherwise(F.lit(0).cast("long"))).drop("least")
+
+
 def remove_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH, most_cells: int = MOST_CELLS) -> DataFrame:
     """key, n_words, n_removed, kept (the remaining words, joined by one space) for each row of df."""
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = df.select(integer_key(df, key).alias("key"), F.col(text).alias("text"))
     able = rows.filter(F.col("key").isNotNull() & (F.length("text") >= 2 * width - 1))
     digests = able.select("key", F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("chars"))
+    # A key of several texts tells them apart by twin, which is 0 for all others and for its text of the least digest.
+    several = digests.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least < most")
+    several = _maybe_broadcast(materialise(several.select("key", "least")))
     groups = materialise(
         digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("chars").alias("chars"))
     )
@@ -200,7 +209,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH, most_
         digests.join(repeated, "digest").filter(F.col("key") > F.col("first")).select("key", "digest").distinct()
     )
     small = _maybe_broadcast(copies)
-    own = able.withColumn("digest", F.unhex(F.md5("text"))).join(small, ["key", "digest"], "left_anti").select("key", "text")
+    own = _with_twin(able, several).join(small, ["key", "digest"], "left_anti").select("key", "text", "twin")
 
     bitmaps = sketch(own, cells, width)
     windows = repeated_windows(own, bitmaps, cells, width)
@@ -208,20 +217,19 @@ def remove_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH, most_
     exact = windows.groupBy("k1", "k2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     exact = materialise(exact.filter(F.col("first") < F.col("last")).drop("last"))
     hits = windows.join(exact, ["k1", "k2"]).filter(F.col("key") > F.col("first"))
-    hits = materialise(hits.groupBy("key").agg(F.collect_list("pos").alias("hits")))
+    hits = materialise(hits.groupBy("key", "twin").agg(F.collect_list("pos").alias("hits")))
     none = F.lit(None).cast("array<int>")
-    flagged = rows.withColumn("digest", F.unhex(F.md5("text")))
-    flagged = flagged.join(small.withColumn("copy", F.lit(True)), ["key", "digest"], "left")
-    flagged = flagged.select("key", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    flagged = _with_twin(rows, several).join(small.withColumn("copy", F.lit(True)), ["key", "digest"], "left")
+    flagged = flagged.select("key", "twin", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
     # Only documents that lose some words meet their hits; the others stay where they are.
-    which = hits.select("key")
+    which = hits.select("key", "twin")
     if which.count() <= BROADCAST_KEYS:
         which = F.broadcast(which)
-        rest = flagged.join(which, "key", "left_anti").select("key", "text", none.alias("hits"), "copy")
-        met = flagged.join(which, "key", "left_semi").join(hits, "key").select("key", "text", "hits", "copy")
+        rest = flagged.join(which, ["key", "twin"], "left_anti").select("key", "text", none.alias("hits"), "copy")
+        met = flagged.join(which, ["key", "twin"], "left_semi").join(hits, ["key", "twin"]).select("key", "text", "hits", "copy")
         flagged = rest.unionByName(met)
     else:
-        flagged = flagged.join(hits, "key", "left").select("key", "text", "hits", "copy")
+        flagged = flagged.join(hits, ["key", "twin"], "left").select("key", "text", "hits", "copy")
     return flagged.mapInArrow(_remove(width), "key long, n_words long, n_removed long, kept string")
 
 

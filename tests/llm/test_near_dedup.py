@@ -70,6 +70,15 @@ def test_against_brute_force(spark, percent, kw):
     assert run(spark, rows, percent, **kw) == plain(rows, percent)
 
 
+def test_a_key_of_several_texts_links_their_classes(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b), (9, c), (5, c), (8, "other words")]
+    got = run(spark, rows)
+    assert got == plain(rows, 80) and {r[2] for r in got} == {3, 8}
+    twice = [(7, a), (7, b), (7, b), (8, f"{b} more")]
+    assert run(spark, twice) == plain(twice, 80)
+
+
 def test_no_rows_and_lone_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(3, "x y z")]) == [(3, 1, 3, True)]

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from stanzaflow.llm.toxicity import CharModel, N, _BYTE_CODE, op4, suspects, trigram_counts
+from stanzaflow.llm.toxicity import _CODE, _LETTERS, CharModel, N, _BYTE_CODE, lattice, op4, suspects, trigram_counts
 from stanzaflow.llm.words import text_bytes, word_bounds
 
 BAD = ["idiot", "stupid", "loser", "trash"]
@@ -67,12 +67,58 @@ def test_decoding_a_long_run_is_linear(chars):
     assert len(chars.restore("a " * 30_000)) > 0
 
 
-def test_suspects():
-    data, at = text_bytes(__import__("pyarrow").array(["the 1d10t is a b", "i d i o t x$$$ ok!! aaab 12 2024"]))
+def enumerated(model, token):
+    """The best score over all paths of the lattice, one by one."""
+    best, arcs = {}, list(lattice(token.lower()))
+
+    def walk(i, a, b, score, out):
+        if i == len(arcs):
+            score += model.logp[a][b][0] if b else 0.0
+            best[out.strip()] = max(score, best.get(out.strip(), -1e9))
+            return
+        for x, channel in arcs[i]:
+            if x < 0 or (x == 0 and b == 0):
+                walk(i + 1, a, b, score + channel, out)
+            else:
+                walk(i + 1, b, x, score + channel + model.logp[a][b][x], out + (" " if x == 0 else _LETTERS[x - 1]))
+
+    walk(0, 0, 0, 0.0, "")
+    return best
+
+
+def test_decoding_equals_an_enumeration_of_the_lattice(chars):
+    rng = random.Random(4)
+    tokens = ["1d10t", "st.u.p1d", "looo5er", "a||b", "-_-", "$$", "x", ""]
+    tokens += ["".join(rng.choice("abeiostl014@!|.-_* z") for _ in range(rng.randrange(1, 10))) for _ in range(60)]
+    for token in tokens:
+        scores = enumerated(chars, token)
+        assert scores[chars._decode(token.lower())] == pytest.approx(max(scores.values()), abs=1e-9), token
+    assert len(_CODE) == 26
+
+
+def found_in(*texts):
+    data, at = text_bytes(__import__("pyarrow").array(list(texts)))
     start, end = word_bounds(data, at)
     row = np.searchsorted(at, start, "right") - 1
-    found = [b" ".join(data[s:e].tobytes() for s, e in zip(start[a:b], end[a:b])) for a, b in suspects(data, start, end, row)]
-    assert found == [b"1d10t", b"aaab", b"i d i o t"]
+    out = {}
+    for a, b, mild in zip(*suspects(data, start, end, row), strict=True):
+        out[b" ".join(data[s:e].tobytes() for s, e in zip(start[a:b], end[a:b])).decode()] = bool(mild)
+    return out
+
+
+def test_suspects():
+    assert found_in("the 1d10t is a b", "i d i o t x$$$ ok!! aaab 12 2024") == {"1d10t": False, "aaab": False, "i d i o t": False, "x$$$": False}
+    assert found_in("s c u m. or", "(s c u m), yes", "a b", "1 2 3 4") == {"s c u m.": False, "(s c u m),": False}
+    assert found_in("idio+ a$$ stuupid stu-pid plain 3.14") == {"idio+": False, "a$$": False, "stuupid": True, "stu-pid": True}
+    assert found_in("é é é ü", "") == {} == found_in("")
+
+
+def test_tokens_of_any_length_are_decoded(chars):
+    long = [f"st{'u' * 200}pid", "y.o.u._.a.r.e._.a._.s.t.u.p.i.d._.i.d.i.o.t._.a.n.d._.l.o.s.e.r", "a.b_c@d3" * 20_000]
+    assert set(found_in(*[f"x {t} y" for t in long[:2]])) == set(long[:2])
+    assert chars.restore(long[0]) == "stupid"
+    assert all(w in chars.restore(long[1]).replace(" ", "") for w in ("stupid", "idiot", "loser"))
+    assert len(chars.restore(long[2])) > 20_000
 
 
 def accuracy(spark, hidden):

@@ -76,6 +76,19 @@ def test_packing():
     assert _unpack(_pack(cells), 5).tolist() == cells.tolist()
 
 
+def test_a_key_of_several_texts(spark):
+    rng = random.Random(8)
+    t, u, v = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(3))
+    rows = [(1, t), (2, f"{t} a b c d e"), (2, u), (2, u), (3, u), (3, f"x {v} {u}"), (3, v)]
+    want = plain(rows)
+    assert run(spark, rows) == want and [n for i, _, n, _ in want if i == 2] == [0, 0, 120]
+
+
+def test_keys_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        op2(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, ""), (1, "")], [(None, "a b")]])
 def test_nothing_to_do(spark, rows):
     assert run(spark, rows) == plain(rows)
