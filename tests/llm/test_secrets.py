@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -39,7 +41,7 @@ def added(text, table, bar=secrets.BAR):
 def table(spark):
     words = "the quick brown example document archive report final index stands other looking between different".split()
     docs = [(i, " ".join([a, *words[i % 14:], *words[:i % 14]])) for i, a in enumerate(words * 10)]
-    ordinary = ordinary_samples(spark.createDataFrame(docs, "id long, t string"), "id", "t")
+    ordinary = ordinary_samples(spark.createDataFrame(docs, "id long, t string"), "t")
     return train(random_samples(spark).unionByName(ordinary))
 
 
@@ -79,8 +81,52 @@ def test_many_matches(spark, table):
     assert len(got) == 3000 and got[2999].end == 3000 * 18 - 1
 
 
-def test_ordinary_samples_hold_the_ends_of_texts_and_more_documents(spark):
+def test_ordinary_samples_count_every_word_of_every_document(spark):
     words = [a + b + "word" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrstuvwxyz"]
     docs = [(i, " ".join([*words, f"{words[i]}tail"])) for i in range(500)]
-    got = ordinary_samples(spark.createDataFrame(docs, "id long, t string"), "id", "t").select("sample").distinct().collect()
-    assert {f"{w}tail" for w in words[:500]} <= {r.sample for r in got}
+    got = ordinary_samples(spark.createDataFrame(docs, "id long, t string"), "t").collect()
+    times = {r["sample"]: r.n for r in got}
+    assert {f"{w}tail" for w in words[:500]} <= set(times) and times[words[0]] == 500
+    assert not any(r.random for r in got)
+
+
+def test_long_tokens_and_texts_cost_little(spark, table):
+    rng = random.Random(3)
+    texts = [
+        "x" * 500_000 + "1", " ".join(f"a{rng.randrange(10**6)}_with_some_tail_behind" for _ in range(20_000)),
+        " ".join(f"{rng.getrandbits(80):020x}" for _ in range(20_000)), "kT9vQ2xLp7Zr4Wn8Yb3Mc6/" * 20_000,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    began = time.perf_counter()
+    got = [r.s for r in df.select(secret_spans(F.col("text"), table).alias("s")).collect()]
+    assert time.perf_counter() - began < 60
+    assert [(s.start, s.end) for s in got[2]] == [m.span() for m in re.finditer("[0-9a-f]+", texts[2])]
+    assert [(s.kind, s.start, s.end) for s in got[3]] == [("markov", 0, len(texts[3]))]
+
+
+def test_recall_and_precision_on_planted_strings(spark):
+    """Random strings of several alphabets and lengths against identifiers, in documents that the models were counted on."""
+    rng = random.Random(11)
+    vowels, others = "aeiou", "bcdfghklmnprstvw"
+    words = ["".join(rng.choice(others) + rng.choice(vowels) for _ in range(rng.randrange(2, 5))) for _ in range(400)]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    rows = []
+    for i in range(300):
+        alphabet = alphabets[i % 3]
+        secret = "".join(rng.choice(alphabet) for _ in range(rng.randrange(24, 50))) + "7"
+        shape = rng.choice(["_", "-", "/"]).join(rng.choice(words) for _ in range(5)) + str(rng.randrange(1900, 2100))
+        rows.append((i, f"{' '.join(rng.choice(words) for _ in range(30))} {secret} and {shape} end", secret, shape))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secret string, shape string")
+    model = train(random_samples(spark).unionByName(ordinary_samples(docs, "text")))
+    got = docs.select("text", "secret", "shape", secret_spans(F.col("text"), model).alias("s")).collect()
+    held = [{r.text[s.start : s.end] for s in r.s} for r in got]
+    assert sum(r.secret in h for r, h in zip(got, held)) / len(got) > 0.95
+    assert sum(r.shape in h for r, h in zip(got, held)) / len(got) < 0.02
+
+
+def test_overlaps_by_bisection(spark):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["q" * 3 + "9" * 25, "0123456789abcdef" * 2, "x_0123456789abcdef01_zz", "kT9vQ2xLp7Zr4Wn8Yb3Mc6"]) for _ in range(200))
+    table = [1.0] * 128**2
+    got = spark.createDataFrame([(text,)], "text string").select(secret_spans(F.col("text"), table).alias("s")).first().s
+    assert [(s.kind, s.start, s.end) for s in got if s.kind == "markov"] == added(text, table)
