@@ -1,44 +1,50 @@
 """Operator 10, exact top-k by inner product as a Voronoi join.
 
-Vectors belong to the cell of their nearest pivot. A cell's summary holds its size, its radius and the k + 1
-smallest distances to its pivot of rows of different ids. With q.x = q.p + q.(x - p), a cell's scores lie within q.p +- |q| times
-those distances; the k-th best of the lower ends of other ids than the query's is a score that every query is sure to reach. A query is
-replicated only to the cells whose upper end reaches it; each cell, in blocks of bounded size, is solved
-locally, and the local top-k lists are merged. Bounds carry a margin for rounding, so that the result is
-exact: scores are integer sums.
-
-Defined results: a vector that is null, or holds a null or non-finite component, takes no part, and so does
-one whose scaled components reach 2^53, which a double no
-longer holds exactly; scores beyond 64 bits stop there. Vectors of another length than the pivots' (the commonest length
-of the sample) form cells of their own by length and meet only queries of that length. Ties go to the
-smaller id; repeated rows are candidates each, queries once, and a query never meets rows of its own id. An empty table
-gives no rows. Only the id and the vector are read.
+Vectors belong to the cell of their nearest pivot, and within it to a ring by their distance from the pivot. With u
+the pivot's direction, x = a u + y with y at right angles to u, so that q.x = (q.u) a + q'.y, and by the summary of a ring
+(its least and greatest a, its greatest |y|) no score in it exceeds max((q.u) a) + |q'| max |y|. A query's k-th best score
+over a sample of the rows is sure to be reached. A query is replicated only to the cells of which some ring's upper end
+reaches that; each cell, in blocks of bounded size, is solved locally, and the local top-k lists are merged. Bounds carry a
+margin for rounding, so that the result is exact: scores are integer sums. On vectors without any structure in many
+dimensions no such bound excludes a cell; then all data meet all queries, in blocks.
+
+Defined results: a vector that is null, or holds a null or non-finite component, takes no part, nor does a row
+without an id; all others do, however large: rows with components from 2^53 on (scaled) form cells of their own, which
+every query meets, and are summed in unbounded integers. The score column stops at 64 bits, the order does not. Vectors
+of another length than the pivots' (the commonest length of the sample) form cells by length and meet only queries of that
+length. Ties go to the smaller id; repeated rows are candidates each, queries once, and a query never meets rows of its
+own id. An empty table gives no rows. Only the id and the vector are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from stanzaflow.llm.scratch import materialise
+from stanzaflow.llm.scratch import integer_key, materialise
 
-#: Vectors that pivots are chosen from and how many are chosen; these only steer the cost.
-SAMPLE, PIVOTS = 2048, 48
+#: Rows that pivots and sure scores come from, and pivots; these only steer the cost.
+SAMPLE, PIVOTS, RINGS = 2048, 48, 4
 #: Data and queries that meet in one local solve, at most (2 x 64 components x 8 bytes: some MB).
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Components are multiplied by this and rounded down.
+FACTOR = 1024
+#: Scaled components below this are exact as doubles and as 64-bit integers.
+EXACT = float(1 << 53)
+#: Bytes of a score that doesn't fit into 64 bits, whose components are below 2^1034.
+_WIDE = 280
 
 
-def scaled(df: DataFrame, key: str, vector: str, factor: int = 1024) -> DataFrame:
-    """key, v: floor(factor * x) of each component as long; only vectors that take part."""
-    x = F.transform(vector, lambda c: F.floor(c.cast("double") * F.lit(float(factor))))
-    good = F.forall(vector, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float(1 << 53) / factor))
-    return df.filter(F.coalesce(good, F.lit(False)) & (F.size(vector) > 0)).select(
-        F.col(key).alias("id"), F.when(good, x).alias("v")
-    )
+def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """id, v (doubles) of the rows that take part."""
+    finite = F.forall(vector, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float("inf")))
+    rows = df.filter(F.col(key).isNotNull() & F.coalesce(finite, F.lit(False)) & (F.size(vector) > 0))
+    return rows.select(integer_key(df, key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def choose_pivots(rows: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
@@ -70,18 +76,41 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     flat, at = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
     for n in np.unique(lengths):
         own = np.flatnonzero(lengths == n)
-        yield own, flat[at[own][:, None] + np.arange(n)[None]].astype(float)
+        yield own, flat[at[own][:, None] + np.arange(n)[None]]
+
+
+def floors(rows: np.ndarray) -> np.ndarray:
+    """floor(FACTOR * x), exact as a double unless that is too large for one."""
+    with np.errstate(over="ignore"):
+        return np.floor(FACTOR * rows)
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """floor(FACTOR * x) in unbounded integers. Doubles from 2^53 on are whole numbers themselves."""
+    out = [int(x) * FACTOR if abs(x) >= EXACT else int(np.floor(FACTOR * x)) for x in rows.ravel().tolist()]
+    return np.array(out, object).reshape(rows.shape)
 
 
 def products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Integer inner products, in doubles where these are exact, else in 64-bit or unbounded integers."""
-    most = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * max(1, data.shape[1])
-    if most < 1 << 53:
-        return (queries @ data.T).astype(np.int64)
-    if most < 1 << 62:
-        return queries.astype(np.int64) @ data.astype(np.int64).T
-    wide = queries.astype(np.int64).astype(object) @ data.astype(np.int64).astype(object).T
-    return np.clip(wide, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    """Integer inner products of vectors scaled by FACTOR, in doubles where these are exact, else in 64-bit or unbounded integers."""
+    q, d = floors(queries), floors(data)
+    high, wide = np.abs(q).max(initial=0), np.abs(d).max(initial=0)
+    if max(high, wide) < EXACT:
+        most = int(high) * int(wide) * max(1, d.shape[1])
+        if most < 1 << 53:
+            return (q @ d.T).astype(np.int64)
+        if most < 1 << 62:
+            return q.astype(np.int64) @ d.astype(np.int64).T
+    return _whole(queries) @ _whole(data).T
+
+
+def _clipped(score: np.ndarray) -> tuple[np.ndarray, list]:
+    """Scores as 64-bit integers; those at an end of their range also as bytes in their order, others None."""
+    ends = (-(1 << 63), (1 << 63) - 1)
+    if score.dtype != object:
+        return score, [None] * len(score)
+    bytes_ = [None if ends[0] < s < ends[1] else (int(s) + (1 << 8 * _WIDE - 1)).to_bytes(_WIDE, "big") for s in score]
+    return np.clip(score, *ends).astype(np.int64), bytes_
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -94,137 +123,164 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return place[np.lexsort((ids[place], -score[place]))][:k]
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, sample: int = SAMPLE,
-          data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for queries and data of (id, v) as scaled() makes them."""
-    spark = data.sparkSession
-    none = "query_id long, rank int, vec_id long, score long"
-    picked = data.select("v").orderBy(F.xxhash64("v")).limit(sample).collect()  # bounded by sample
-    if not picked:
-        return spark.createDataFrame([], none)
-    lengths = [len(r.v) for r in picked]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    centres = choose_pivots(np.array([r.v for r in picked if len(r.v) == dim], float), pivots)
+@dataclass
+class Cells:
+    """Pivots with the edges of their rings, the sample that they come from, and the cells' summaries once there are any."""
+
+    dim: int
+    centres: np.ndarray
+    edges: np.ndarray
+    ids: np.ndarray
+    rows: np.ndarray
+    rings: dict[int, list[Row]]
+
+    @classmethod
+    def of_sample(cls, picked: list[Row], pivots: int) -> Cells:
+        tame = [r for r in picked if np.abs(floors(np.array(r.v))).max() < EXACT] or [Row(id=0, v=[0.0])]
+        lengths = [len(r.v) for r in tame]
+        dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
+        mine = [r for r in tame if len(r.v) == dim] if picked else []
+        rows = floors(np.array([r.v for r in mine], float).reshape(len(mine), dim))
+        centres = choose_pivots(rows, pivots) if len(rows) else np.zeros((1, dim))
+        cell, far = _nearest(rows, centres)
+        shares = np.arange(1, RINGS) / RINGS
+        edges = np.array([np.quantile(far[cell == c], shares) if (cell == c).any() else np.zeros(RINGS - 1) for c in range(len(centres))])
+        return cls(dim, centres, edges, np.array([r.id for r in mine], np.int64), rows, {})
+
+    def place(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, ring, a and |y| of vectors of one length."""
+        n, scaled = rows.shape[1], floors(rows)
+        cell, ring = np.full(len(rows), len(self.centres) + n, np.int32), np.zeros(len(rows), np.int32)
+        along, across = np.zeros(len(rows)), np.full(len(rows), np.inf)
+        tame = np.abs(scaled).max(1, initial=0) < EXACT
+        cell[~tame] = -n
+        own = np.flatnonzero(tame)
+        if n == self.dim:
+            cell[own], far = _nearest(scaled[own], self.centres)
+            ring[own] = (far[:, None] > self.edges[cell[own]]).sum(1)
+            along[own], across[own] = _split(scaled[own], _directions(self.centres)[cell[own]])
+        else:
+            across[own] = np.sqrt((scaled[own] ** 2).sum(1))
+        return cell, ring, along, across
+
+    def wanted(self, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries of one length, and cells that may hold one of their k best."""
+        n, scaled = rows.shape[1], floors(rows)
+        here = [c for c in self.rings if c == -n or c == len(self.centres) + n or (n == self.dim and 0 <= c < len(self.centres))]
+        tame = np.abs(scaled).max(1, initial=0) < EXACT
+        scaled = np.where(tame[:, None], scaled, 0.0)
+        long = np.sqrt((scaled**2).sum(1))
+        sure = np.full(len(rows), -np.inf)
+        if n == self.dim and len(self.rows) >= k:
+            score = scaled @ self.rows.T
+            score[ids[:, None] == self.ids[None]] = -np.inf
+            sure = np.partition(score, len(self.ids) - k, 1)[:, len(self.ids) - k]
+            sure -= 1e-9 * (1 + long * np.sqrt((self.rows**2).sum(1)).max())
+        which, where = [], []
+        for c in here:
+            most = np.full(len(rows), -np.inf)
+            for ring in self.rings[c]:
+                if c < 0:
+                    most[:] = np.inf
+                    continue
+                u = _directions(self.centres)[[c]] if c < len(self.centres) else np.zeros((1, n))
+                along, across = _split(scaled, u)
+                high = np.maximum(along * ring.low, along * ring.high) + across * ring.across
+                most = np.maximum(most, high + 1e-9 * (1 + long * (abs(ring.low) + abs(ring.high) + ring.across)))
+            own = np.flatnonzero((most >= sure) | ~tame)
+            which.append(own)
+            where.append(np.full(len(own), c, np.int32))
+        return np.concatenate([np.zeros(0, np.int64), *which]), np.concatenate([np.zeros(0, np.int32), *where])
+
+
+def _directions(centres: np.ndarray) -> np.ndarray:
+    long = np.sqrt((centres**2).sum(1, keepdims=True))
+    return np.divide(centres, long, out=np.zeros_like(centres), where=long > 0)
+
+
+def _split(rows: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its part along u and the length of the rest."""
+    along = (rows * u).sum(1)
+    return along, np.sqrt(((rows - along[:, None] * u) ** 2).sum(1))
+
+
+def replicated(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """Rows of data with their cell; queries once for each cell that they need; rows of each cell. Rows: id, v."""
+    cells = Cells.of_sample(data.orderBy(F.xxhash64("id", "v")).limit(sample).collect(), pivots)  # bounded by sample
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector with its cell and distance; cells by length beyond the pivots' have the origin as pivot."""
         for batch in batches:
-            cell, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            out = [np.zeros(batch.num_rows, t) for t in (np.int32, np.int32, float, float)]
             for own, rows in _rows(batch):
-                if rows.shape[1] == dim:
-                    cell[own], far[own] = _nearest(rows, centres)
-                else:
-                    cell[own], far[own] = len(centres) + rows.shape[1], np.sqrt((rows**2).sum(1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell), pa.array(far), batch.column(0), batch.column(1)], ["cell", "far", "id", "v"]
-            )
-
-    cells = materialise(data.mapInArrow(assign, "cell int, far double, id long, v array<long>"))
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The partition's k + 1 smallest distances of different ids, count and radius for each cell."""
-        kept = _merge(pd.DataFrame({"cell": [], "n": [], "radius": [], "near": [], "who": []}), k)
-        for rows in batches:
-            part = pd.DataFrame(
-                [(c, len(g), g["far"].max(), *_closest(g["far"].to_numpy(), g["id"].to_numpy(), k)) for c, g in rows.groupby("cell")],
-                columns=kept.columns,
-            )
-            kept = _merge(pd.concat([kept, part]), k)
-        yield kept
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return _merge(rows, k)
-
-    shape = "cell int, n long, radius double, near array<double>, who array<long>"
-    summary = cells.select("cell", "far", "id").mapInPandas(summarise, shape).groupBy("cell").applyInPandas(merge, shape)
-    # As many rows as pivots and other lengths: 2 k + 5 numbers each.
-    groups = summary.orderBy("cell").collect()
-    n_of = {g.cell: g.n for g in groups}
-    blocks = {c: -(-n // data_block) for c, n in n_of.items()}
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query once for each cell that may hold one of its k best."""
+                for column, found in zip(out, cells.place(rows), strict=True):
+                    column[own] = found
+            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in out], *batch.columns], ["cell", "ring", "along", "across", "id", "v"])
+
+    placed = materialise(data.mapInArrow(assign, "cell int, ring int, along double, across double, id long, v array<double>"))
+    rings = placed.groupBy("cell", "ring").agg(
+        F.count(F.lit(1)).alias("n"), F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("across")
+    )
+    sizes: dict[int, int] = {}
+    for r in rings.orderBy("cell", "ring").collect():  # RINGS rows for each pivot, and two for each other length
+        cells.rings.setdefault(r["cell"], []).append(r)
+        sizes[r["cell"]] = sizes.get(r["cell"], 0) + r.n
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, which = [], []
+            ids = batch.column(0).to_numpy()
             for own, rows in _rows(batch):
-                n = rows.shape[1]
-                here = [g for g in groups if (n == dim and g.cell < len(centres)) or g.cell == len(centres) + n]
-                if not here:
-                    continue
-                at = np.array([centres[g.cell] if g.cell < len(centres) else np.zeros(n) for g in here])
-                mid, long = rows @ at.T, np.sqrt((rows**2).sum(1))
-                slack = 1e-9 * (1 + np.abs(mid).max() + long.max() * max(g.radius for g in here))
-                low = np.concatenate([mid[:, [j]] - long[:, None] * np.array(g.near)[None] for j, g in enumerate(here)], 1)
-                # Rows of the query's own id, however many, don't count; with fewer than k others, every cell is needed.
-                who = np.concatenate([np.array(g.who) for g in here])
-                low[batch.column(0).to_numpy()[own][:, None] == who[None]] = -np.inf
-                sure = -np.partition(-low, k - 1, 1)[:, k - 1] if low.shape[1] >= k else np.full(len(rows), -np.inf)
-                high = mid + long[:, None] * np.array([g.radius for g in here])[None]
-                q, j = np.nonzero(high + slack >= (sure - slack)[:, None])
-                which.append(own[q])
-                where.append(np.array([g.cell for g in here], np.int32)[j])
-            if which:
-                which = np.concatenate(which)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(where)), batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which))],
-                    ["cell", "id", "v"],
-                )
-
-    sent = materialise(queries.mapInArrow(bounded, "cell int, id long, v array<long>"))
-    asked = {r["cell"]: -(-r["count"] // query_block) for r in sent.groupBy("cell").count().collect()}  # a row a cell
+                which, where = cells.wanted(ids[own], rows, k)
+                at = pa.array(own[which])
+                yield pa.RecordBatch.from_arrays([pa.array(where), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "id", "v"])
+
+    return placed.select("cell", "id", "v"), materialise(queries.mapInArrow(send, "cell int, id long, v array<double>")), sizes
+
 
+def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, sample: int = SAMPLE,
+          data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score for queries and data of (id, v) as usable() makes them."""
+    placed, sent, sizes = replicated(data, queries, k, pivots, sample)
+    blocks = {c: -(-n // data_block) for c, n in sizes.items()}
+    asked = {r["cell"]: -(-r["count"] // query_block) for r in sent.groupBy("cell").count().collect()}  # a row a cell
     if not asked:
-        return spark.createDataFrame([], none)
+        return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def many(of: dict[int, int]) -> Column:
         return F.create_map(*[F.lit(x) for pair in of.items() for x in pair])[F.col("cell")].cast("long")
 
-    def part(column: str, of: dict[int, int]) -> Column:
-        return F.pmod(F.xxhash64(column), many(of))
+    def part(of: dict[int, int]) -> Column:
+        return F.pmod(F.xxhash64("id", "v"), many(of))
 
     def every(of: dict[int, int]) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), many(of) - 1))
 
     # A block of data meets a block of queries; a cell that no query asks for goes nowhere.
-    left = cells.filter(F.col("cell").isin(list(asked))).select("cell", part("id", blocks).alias("b"), every(asked).alias("a"), "id", "v")
-    right = sent.select("cell", every(blocks).alias("b"), part("id", asked).alias("a"), "id", "v")
+    left = placed.filter(F.col("cell").isin(list(asked))).select("cell", part(blocks).alias("b"), every(asked).alias("a"), "id", "v")
+    right = sent.select("cell", every(blocks).alias("b"), part(asked).alias("a"), "id", "v")
+    nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64").assign(wide=None)
 
     def solve(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(mine) and len(theirs):
-            ids, data_rows = mine["id"].to_numpy(), np.array(mine["v"].tolist(), float)
-            score = products(np.array(theirs["v"].tolist(), float), data_rows)
+            ids, rows = mine["id"].to_numpy(), np.array(mine["v"].tolist(), float)
+            score = products(np.array(theirs["v"].tolist(), float), rows)
             for q, row in zip(theirs["id"], score, strict=True):
                 other = np.flatnonzero(ids != q)
                 best = other[_best(row[other], ids[other], k)]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                if len(best):
+                    clipped, wide = _clipped(row[best])
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": clipped, "wide": pd.Series(wide, dtype=object)}))
+        return pd.concat(out) if out else nothing
 
     local = left.groupBy("cell", "b", "a").cogroup(right.groupBy("cell", "b", "a")).applyInPandas(
-        solve, "query_id long, vec_id long, score long"
+        solve, "query_id long, vec_id long, score long, wide binary"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _closest(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list]:
-    """The k + 1 smallest distances of different ids, and these ids."""
-    order = np.lexsort((ids, far))
-    order = order[np.sort(np.unique(ids[order], return_index=True)[1])[: k + 1]]
-    return far[order].tolist(), ids[order].tolist()
-
-
-def _merge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    merged = [
-        (int(c), int(g["n"].sum()), float(g["radius"].max()), *_closest(np.concatenate(list(g["near"])), np.concatenate(list(g["who"])), k))
-        for c, g in rows.groupby("cell")
-    ]
-    return pd.DataFrame(merged, columns=["cell", "n", "radius", "near", "who"]).astype({"near": object, "who": object})
-
-
 def op10(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """The k best of every other row for each vector whose vec_id is divisible by `every`."""
-    data = scaled(embeddings, "vec_id", "embedding")
-    queries = data.filter(F.col("id") % every == 0).distinct()
-    return top_k(data, queries, k)
+    data = usable(embeddings, "vec_id", "embedding")
+    return top_k(data, data.filter(F.col("id") % every == 0).distinct(), k)
