@@ -1,8 +1,13 @@
 """A corpus-cleaning pipeline over `documents`: each stage's rows are the next one's input.
 
 Each stage calls one operator of stanzaflow.llm on all rows that it gets. Stages 1 to 4 return the columns of
-documents; the last returns the mix. A row without a doc_id can't be named by a decision: the filtering
-stages keep it.
+documents; the last returns the mix.
+
+Defined results: a row without a doc_id can't be named by a decision, so that the filtering stages keep it. A decision
+on a doc_id holds for all rows that repeat it. Null and empty texts are never toxic by themselves, no near-duplicates,
+hold no benchmark item and no personal data, and have size 0 in the mix. Texts of any length are judged whole. Columns
+beyond those of documents, whatever their names, are left out by each stage. No rows give no rows, and an empty
+labels or benchmark table rejects nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stanzaflow.llm import decontam, mixing, near_dedup, pii, toxicity
-from stanzaflow.llm.scratch import bounded_batches, materialise
+from stanzaflow.llm.scratch import bounded_batches, discard, materialise, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Keys of 8 bytes that are broadcast at most; beyond, a shuffled join does the same.
@@ -69,7 +74,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        since = written()
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = materialise(docs)
+            discard(since)  # what the stage wrote on its way; its own output is the last
     return docs

@@ -1,6 +1,7 @@
 """Operator 8, mixing sources to target weights by Sainte-Laguë apportionment.
 
-The budget is cut into blocks of equally many tokens. Blocks go to sources, and within a source to its
+The budget is cut into blocks of equally many tokens, BLOCK or, where a source's target is only a few of these,
+fewer. Blocks go to sources, and within a source to its
 shards, by highest quotients votes / (2 seats + 1), so that quotas are whole numbers. A shard's documents,
 in an order given by the seed, form a token stream; of its blocks the quota is chosen evenly from a seeded
 offset. A quota above the number of blocks takes every block once and chooses the rest anew, which is how
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stanzaflow.llm.scratch import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Tokens in a block, and tokens that a shard should hold.
-BLOCK, SHARD = 16, 1 << 18
+#: Tokens in a block at most, blocks that the smallest target should have, and tokens that a shard should hold.
+BLOCK, LEAST_BLOCKS, SHARD = 16, 16, 1 << 18
 #: Shards that a source is dealt over at most, and sources that are broadcast at most (some 50 bytes each).
 MOST_SHARDS, BROADCAST_SOURCES = 1 << 16, 100_000
 
@@ -61,6 +62,19 @@ def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
     return held
 
 
+def apportion_within(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
+    """Seats by apportion, of which none holds more than its most: what is over goes to the others, as far as there is room."""
+    held, open_ = np.zeros(len(votes), np.int64), np.asarray(votes) > 0
+    while open_.any() and seats > held.sum():
+        dealt = apportion(np.where(open_, votes, 0), seats - held[~open_].sum())
+        over = open_ & (dealt > most)
+        held[open_] = np.minimum(dealt, most)[open_]
+        if not over.any():
+            break
+        open_ &= ~over
+    return held
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """source, source_size, target. Sources by code point, null last, weigh as weights repeat. Targets are the
     water level times the weight, stopped at cap times the size. One row for each source is windowed."""
@@ -86,8 +100,15 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return levelled.select("source", "place", "source_size", target.alias("target"))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 0, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def block_size(targets: DataFrame) -> int:
+    """BLOCK, or less where the smallest target would have few blocks; never under one token."""
+    least = targets.filter("target > 0").agg(F.min("target")).first()[0]
+    return BLOCK if least is None else max(1, min(BLOCK, int(least // LEAST_BLOCKS)))
+
+
+def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 0, block: int | None = None, shard: int = SHARD) -> DataFrame:
     """sizes (key, source, size) with source_size, target and taken, the words that the mix takes."""
+    block = block or block_size(targets)
     targets = targets.withColumnRenamed("source", "_of")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
@@ -102,7 +123,9 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 0, block: in
 
     def seats_of_shards(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("shard")
-        rows["quota"] = apportion(rows["shard_size"].to_numpy(), int(rows["seats"].iloc[0]))
+        size = rows["shard_size"].to_numpy()
+        # A block is taken twice at most.
+        rows["quota"] = apportion_within(size, int(rows["seats"].iloc[0]), 2 * np.maximum(-(-size // block), 1))
         return rows[["place", "shard", "shard_size", "quota"]]
 
     # A constant key gathers a row for each source; a source's key gathers a row for each of its shards.
@@ -117,7 +140,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 0, block: in
     placed = placed.join(quotas, ["place", "shard"])
     length = F.lit(block).cast("long")
     blocks = F.greatest(F.ceil(F.col("shard_size") / F.lit(float(block))), F.lit(1))
-    quota = F.least(F.col("quota"), 2 * blocks)
+    quota = F.col("quota")
     offset = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("place"), F.col("shard")), blocks)
 
     def div(a: Column, b: Column) -> Column:

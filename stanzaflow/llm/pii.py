@@ -2,8 +2,9 @@
 
 Every proposal has a prior by kind. A validator (Luhn for cards, mod-97 for IBANs, ranges and digit
 counts elsewhere) drops it or keeps it. Words near it that speak of its kind raise its score, words that
-speak of something else lower it. Kinds of BASE are always kept once valid; the further kinds are
-ambiguous by form alone and are kept where their score reaches the threshold.
+speak of something else lower it. Kinds of BASE are always kept once valid, with their scores; the further kinds
+are ambiguous by form alone and are kept where their score reaches the threshold and they touch no base span.
+Redaction takes a least score for all kinds.
 
 Defined results: null text counts as empty and has no spans; texts of any length are scanned whole, by
 patterns whose cost is linear in the length; repeated rows are each judged alone, and an empty table
@@ -13,6 +14,7 @@ gives an empty table. Being column expressions, detection and redaction touch no
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,6 +102,17 @@ def _score(kind: str, text: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, score))
 
 
+def _apart(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that overlapping spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
 #: What a text must hold for a kind to be looked for, and its pattern.
 _LOOK = (
     ("ip", ".", _IP),
@@ -125,13 +138,15 @@ def find_spans(text: str | None, threshold: float = 0.6) -> list[dict]:
                 out += [
                     (kind, *m.span()) for m in pattern.finditer(text) if _valid(kind, m.group())
                 ]
-    base = [(s, e) for kind, s, e in out if kind in BASE]
+    base = _apart((s, e) for kind, s, e in out if kind in BASE)
+    begins = [s for s, _ in base]
     found = []
     for kind, s, e in out:
         score = _score(kind, text, s, e)
-        extra = kind not in BASE
-        if extra and (score < threshold or any(s < f and b < e for b, f in base)):
-            continue
+        if kind not in BASE:
+            last = bisect_left(begins, e) - 1  # the last stretch that begins before this one ends
+            if score < threshold or (last >= 0 and base[last][1] > s):
+                continue
         found.append({"start": s, "rank": KINDS.index(kind), "kind": kind, "end": e, "score": score})
     return found
 
@@ -153,27 +168,29 @@ def pii_spans(text: Column, threshold: float = 0.6) -> Column:
     return detect(text)
 
 
-def redact(text: str, threshold: float = 0.6) -> str:
-    """The text with each span, or run of overlapping spans, replaced by its kind in angle brackets."""
+def redact(text: str, threshold: float = 0.6, least: float = 0.0) -> str:
+    """The text with each span of that score or more, or run of overlapping ones, replaced by its kind in angle brackets."""
     out, done = [], 0
-    for s in sorted(find_spans(text, threshold), key=lambda s: (s["start"], s["rank"])):
+    found = [s for s in find_spans(text, threshold) if s["score"] >= least]
+    for s in sorted(found, key=lambda s: (s["start"], s["rank"])):
         if s["start"] >= done:
             out += [text[done : s["start"]], f"<{s['kind'].upper()}>"]
         done = max(done, s["end"])
     return "".join([*out, text[done:]])
 
 
-def redacted(text: Column, threshold: float = 0.6) -> Column:
-    """A text column with personal data replaced; null stays null."""
+def redacted(text: Column, threshold: float = 0.6, least: float = 0.0) -> Column:
+    """A text column with personal data of a least score replaced; null stays null."""
 
     @arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([None if (x := t.as_py()) is None else redact(x, threshold) for t in texts], pa.string())
+        return pa.array([None if (x := t.as_py()) is None else redact(x, threshold, least) for t in texts], pa.string())
 
     return clean(text)
 
 
 def op9(documents: DataFrame) -> DataFrame:
-    """Counts and digests of personal data for each document."""
+    """Counts and digests of personal data for each document, and the spans' scores in their order."""
     found = documents.select("doc_id", pii_spans(F.col("text")).alias("found"))
-    return found.select("doc_id", *digest_columns(F.col("found"), BASE))
+    score = F.transform(F.array_sort("found"), lambda s: F.format_string("%.2f", s["score"]))
+    return found.select("doc_id", *digest_columns(F.col("found"), BASE), F.array_join(score, ",").alias("scores"))

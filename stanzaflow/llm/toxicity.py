@@ -12,7 +12,7 @@ chosen, and its weights fitted, on labelled rows: at most TRAIN_ROWS of them, th
 
 Defined results: null and empty texts have no words and get the score of a text without any known word. Rows
 without a label, or with a null one, take no part in training; where all labels are equal, or none are
-there, the score is the smoothed share of label 1. Texts and tokens of any length are scored whole. Repeated rows are scored each; no
+there, the score is the share of label 1, smoothed by one row of UNKNOWN: without labels nothing is called toxic. Texts and tokens of any length are scored whole. Repeated rows are scored each; no
 rows give no rows; only the named columns are read.
 """
 
@@ -36,6 +36,8 @@ BUCKETS, FEATURES, LEAST_DOCS = 18, 256, 5
 #: Bytes of a word's beginning that make a feature.
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
+#: The score where nothing is known.
+UNKNOWN = 0.1
 #: Decoded tokens that a worker remembers.
 REMEMBERED = 1 << 14
 
@@ -319,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     place = np.full(1 << BUCKETS, -1, np.int64)
     if not n0 or not n1:
-        share = (n1 + 0.5) / (n0 + n1 + 1)
+        share = (n1 + UNKNOWN) / (n0 + n1 + 1)
         return ToxicityModel(chars, place, np.array([0.0, np.log(share / (1 - share))]))
     seen = sample.mapInArrow(by_class, "bucket long, n0 long, n1 long").groupBy("bucket").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")

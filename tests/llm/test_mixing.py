@@ -19,6 +19,15 @@ def test_apportion_equals_seat_by_seat(votes, seats):
     assert apportion(np.array(votes), seats).tolist() == by_quotients(votes, seats)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 500), st.integers(0, 20)), max_size=8), st.integers(0, 90))
+def test_seats_within_limits(rows, seats):
+    votes, most = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    got = mixing.apportion_within(votes, seats, most)
+    assert (got <= most).all() and (got[votes == 0] == 0).all()
+    assert got.sum() == min(seats, most[votes > 0].sum())
+
+
 def plain_targets(sizes, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -74,6 +83,15 @@ def test_shards_split_a_source(spark):
         assert abs(r["sum(taken)"] - r["target"]) <= 25 * mixing.BLOCK
 
 
+def test_tiny_sources_come_near_their_targets(spark):
+    rows = [(i, "w " * 300, "big") for i in range(200)] + [(500 + i, "a b c", f"tiny{i}") for i in range(6)]
+    got = mixing.op8(docs(spark, rows)).collect()
+    for r in got:
+        if r["doc_id"] >= 500:
+            assert abs(r.taken - r.target) <= 1 and r.taken <= 6
+    assert abs(sum(r.taken for r in got) - 1.5 * sum(r["size"] for r in got)) < 0.001 * 60000
+
+
 def test_nulls_empties_ties_and_no_rows(spark):
     rows = [(1, None, "a"), (1, None, "a"), (2, "", None), (None, "x y z " * 40, "a"), (None, "x y z " * 40, "a")]
     got = mixing.op8(docs(spark, rows)).collect()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -56,6 +57,34 @@ def test_context_decides_the_ambiguous():
     assert find_spans("IBAN GB82 WEST 1234 5698 7654 33.") == []
 
 
+def test_context_adjusts_every_kind():
+    def score(text):
+        return [s["score"] for s in find_spans(text)][0]
+
+    for kind, span in [("mail", "a.b@c.de"), ("server", "1.2.3.4"), ("visa", "4111111111111111"), ("call", "+1 (428) 555-5743"), ("bank", "GB82WEST12345698765432")]:
+        assert score(f"{kind} {span} ok") > score(f"x {span} ok") > score(f"invoice {span} ok")
+    assert redact("visa 4111111111111111, serial 4111111111111111", least=0.7) == "visa <CARD>, serial <CARD>"
+    assert redact("x 1.2.3.4" + " y" * 30 + " version 1.2.3.4", least=0.7).startswith("x <IP>") and redact("version 1.2.3.4", least=0.7) == "version 1.2.3.4"
+
+
+def test_recall_of_each_planted_kind():
+    rng = random.Random(1)
+    ssn = lambda: f"{rng.randrange(100, 900)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+    makers = {
+        "email": lambda: f"{rng.choice('abc')}{rng.randrange(99)}.x@mail{rng.randrange(9)}.example.org",
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "card": lambda: next(c for c in (str(rng.randrange(4 * 10**15, 5 * 10**15)) for _ in range(1000)) if luhn(c)),
+        "phone": lambda: f"+{rng.randrange(1, 99)} {rng.randrange(10**3, 10**4)} {rng.randrange(10**5, 10**6)}",
+        "iban": lambda: next(c for c in (f"DE{rng.randrange(10, 99)}{rng.randrange(10**17, 10**18)}" for _ in range(5000)) if mod97(c)),
+        "ssn": lambda: f"social security {ssn()}",
+        "localphone": lambda: f"call ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}",
+    }
+    for kind, make in makers.items():
+        found = [kind in {s["kind"] for s in find_spans(f"words before {make()} and after")} for _ in range(50)]
+        assert all(found), kind
+    assert not [s for _ in range(200) for s in find_spans(f"part {ssn()} of {rng.randrange(10**6)} in 2024, 3.14")]
+
+
 def test_redaction():
     assert redact("x a.b@c.de y 1.2.3.4") == "x <EMAIL> y <IP>"
     assert redact("nothing here") == "nothing here"
@@ -65,6 +94,8 @@ def test_long_texts_in_linear_time():
     assert base("a" * 300_000 + "@") == []
     assert base("@" + "1" * 300_000) == []
     assert len(base("a@b.c " * 50_000)) == 50_000
+    mixed = "a@b.c social security 123-45-6789 " * 20_000
+    assert len(find_spans(mixed)) == 40_000
 
 
 def test_query(spark):
@@ -72,6 +103,7 @@ def test_query(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     got = pii.op9(df).orderBy("doc_id").collect()
     assert got[2] == got[3] and len(got) == 4
+    assert got[2].scores == "0.90,0.80"
     assert got[2].spans == "email:2:10,card:11:27" and (got[2].n_email, got[2].n_card, got[2].n_ip) == (1, 1, 0)
     assert got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     for r, (_, text, _) in zip(got, rows, strict=True):

@@ -46,6 +46,31 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert abs(sum(r[4] for r in after) - 1.5 * sum(size)) < 0.02 * sum(size)
 
 
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    wide = docs.selectExpr("*", "doc_id AS key", "text AS score", "lang AS hash", "1 AS shard", "source AS size", "'x' AS kept", "2 AS predicted")
+    for name, stage in STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == []
+        got = stage(spark, wide, SF)
+        assert got.columns == stage(spark, docs, SF).columns
+        assert name == "mixing" or got.columns == COLUMNS
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, stage(spark, docs, SF).collect()), key=str)
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, stage in (STAGES[0], STAGES[2]):
+        assert stage(spark, docs, str(tmp_path)).count() == 40
+
+
+def test_a_very_long_text_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 30")
+    long = " ".join(f"w{i * 7919 % 100003}" for i in range(150_000))
+    more = spark.createDataFrame([(90001, long, "en", "s", len(long)), (90001, long, "en", "s", len(long))], docs.schema)
+    rows = docs.unionByName(more)
+    for name, stage in STAGES[:-1]:
+        kept = [r.n_chars for r in stage(spark, rows, SF).filter("doc_id = 90001").collect()]
+        assert kept == [len(long)] * 2, name
+
+
 def test_run_equals_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in STAGES:
