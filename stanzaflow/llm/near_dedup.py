@@ -5,7 +5,8 @@ hashes give band keys; of each minimum the low BITS bits are retained and packed
 band key are candidates: bit counts of the xor of two packed signatures, corrected for the chance that
 different minima agree in their low bits, estimate the similarity. Estimates far below the threshold (over
 five standard deviations) end there. What is left forms families of candidates; a family's shingle sets
-meet in one task, or in pairs of blocks if they are large, where each link is confirmed on the full sets.
+meet in one task, where each link is confirmed on the full sets. In a large family all documents first meet the least,
+in parts; what is linked with it is settled, and only the others meet each other and those, in pairs of blocks.
 
 Inside a block no pair is emitted but the links of a spanning forest, and a pair is compared in full only if
 its two documents are not yet connected, if the shingles that each shares with anyone allow the similarity,
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stanzaflow.llm.components import components
 from stanzaflow.llm.grouped import binary_rows, matrix, whole_groups
@@ -39,8 +40,8 @@ WORDS, BANDS, ROWS, BITS = 5, 28, 5, 2
 HASHES = BANDS * ROWS
 #: Band keys with more documents than this contribute a chain instead of estimated pairs.
 HOT = 64
-#: Bytes of shingle sets, and documents, in a block of a family.
-BLOCK, BLOCK_DOCS = 8 << 20, 1024
+#: Bytes of shingle sets, and documents, in a block of a family; parts of a block that meet their family's least document.
+BLOCK, BLOCK_DOCS, STAR = 8 << 20, 1024, 16
 #: Rows of some 100 bytes that are broadcast at most; beyond, a shuffled join does the same.
 BROADCAST_ROWS = 500_000
 
@@ -155,8 +156,10 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _forest(sets: list[np.ndarray], sig: np.ndarray, percent: int, least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the documents of a block: places in sets."""
+def _forest(
+    sets: list[np.ndarray], sig: np.ndarray, percent: int, least: float, joined: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the documents of a block: places in sets. Those that joined marks are connected already."""
     size = np.array([len(x) for x in sets])
     row = np.repeat(np.arange(len(sets)), size)
     _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -168,6 +171,8 @@ def _forest(sets: list[np.ndarray], sig: np.ndarray, percent: int, least: float)
     order = np.argsort(-held / size, kind="stable")
     order = order[100 * held[order] >= percent * size[order]]
     group, mark, links = np.arange(len(sets)), np.zeros(len(times), bool), []
+    if joined is not None and joined.any():
+        group[joined] = np.flatnonzero(joined)[0]
     for i, u in enumerate(order):
         v = order[i + 1 :]
         most = np.minimum(held[u], held[v])
@@ -190,17 +195,20 @@ def _forest(sets: list[np.ndarray], sig: np.ndarray, percent: int, least: float)
     return links
 
 
-def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """a, b: links between the documents of a family that connect all that links connect.
+def _star(sets: list[np.ndarray], centre: int, percent: int) -> list[tuple[int, int]]:
+    """Links of one document with the others."""
+    mine, links = sets[centre], []
+    for w, other in enumerate(sets):
+        if w != centre:
+            common = len(np.intersect1d(mine, other, assume_unique=True))
+            if 100 * common >= percent * (len(mine) + len(other) - common):
+                links.append((centre, w))
+    return links
 
-    docs: key, text; families: node, component, n, sig. Large families meet as pairs of blocks.
-    """
-    size = families.groupBy("component").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("docs"))
-    blocks = F.greatest(F.ceil(F.col("bytes") / block), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("int")
-    size = materialise(size.select("component", blocks.alias("blocks")))
-    dealt = families.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = materialise(dealt.select(F.col("node").alias("key"), "component", "block", "blocks", "sig"))
-    texts = docs.join(_few(dealt), "key").select("text", "key", "component", "block", "blocks", "sig")
+
+def _with_sets(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """dealt (key, ..) with the shingle set of each key's text as bytes; docs: key, text."""
+    columns = [c for c in dealt.columns if c != "key"]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,30 +218,87 @@ def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, block: i
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], binary], [*part.schema.names[1:], "set"])
 
-    sets = texts.mapInArrow(sets_of, "key long, component long, block int, blocks int, sig binary, set binary")
-    # Block i meets block j as (i, j), i < j; a family of one block meets itself.
-    partner = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))
-    )
-    met = sets.withColumn("other", F.explode(partner))
-    met = met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    met = met.select("component", "i", "j", "key", "sig", "set")
-    least = lowest_estimate(percent)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.select("key", *columns).schema)
+    return docs.join(_few(dealt), "key").select("text", "key", *columns).mapInArrow(sets_of, f"{shape}, set binary")
+
+
+def _confirm(met: DataFrame, percent: int) -> DataFrame:
+    """a, b: links inside each group (component, i, j) of met (.., role, key, sig, set).
+
+    role: 0 for any; 1 for those known to be connected with each other; 2 for a centre, which alone is compared.
+    """
+    by, least = ["component", "i", "j"], lowest_estimate(percent)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, ["component", "i", "j"]):
-            key, raw = t.column("key").to_numpy(), t.column("set")
+        for t, starts in whole_groups(batches, by):
+            key, role, raw = t.column("key").to_numpy(), t.column("role").to_numpy(), t.column("set")
             sig = matrix(t.column("sig"), HASHES * BITS // 8)
             found = []
             for a, b in zip(starts, starts[1:], strict=False):
                 if b - a > 1:
                     group = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(a, b)]
-                    found += [(key[a + u], key[a + w]) for u, w in _forest(group, sig[a:b], percent, least)]
+                    centre = np.flatnonzero(role[a:b] == 2)
+                    if len(centre):
+                        links = [e for c in centre for e in _star(group, int(c), percent)]
+                    else:
+                        links = _forest(group, sig[a:b], percent, least, role[a:b] == 1)
+                    found += [(key[a + u], key[a + w]) for u, w in links]
             columns = zip(*found) if found else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    by = ["component", "i", "j"]
-    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(confirm, "a long, b long")
+    rows = met.select(*by, "role", "key", "sig", "set").repartition(*by).sortWithinPartitions(*by)
+    return rows.mapInArrow(confirm, "a long, b long")
+
+
+def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """a, b: links between the documents of a family that connect all that links connect.
+
+    docs: key, text; families: node, component, n, sig. A family of one block meets as a whole. In a larger one, all
+    documents are compared with its least, in small parts; those linked with it are the core, which copies mostly are.
+    Of the rest, blocks meet each other and the core's blocks.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    lead = F.max(F.when(F.col("node") == F.col("component"), F.col("n") * 8)).alias("lead")
+    size = families.groupBy("component").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("docs"), lead)
+
+    def parts(size_: int, docs_: int) -> Column:
+        return F.greatest(F.ceil(F.col("bytes") / size_), F.ceil(F.col("docs") / docs_), F.lit(1)).cast("int")
+
+    large = parts(block, BLOCK_DOCS) > 1
+    # The least document goes to each part: copies of a long one shall not outweigh the family.
+    small = F.least(parts(block // STAR, BLOCK_DOCS // STAR), F.ceil(F.col("bytes") / F.col("lead")).cast("int"))
+    size = materialise(size.select("component", large.alias("large"), F.when(large, small).otherwise(1).alias("parts")))
+    dealt = families.join(size, "component").withColumnRenamed("node", "key")
+    dealt = dealt.withColumn("centre", F.col("large") & (F.col("key") == F.col("component")))
+    dealt = materialise(dealt.select("key", "component", "n", "sig", "large", "parts", "centre"))
+    sets = _with_sets(docs, dealt.select("key", "component", "sig", "large", "parts", "centre"))
+    own = F.array(F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    at = F.when(F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)
+    met = sets.withColumn("i", F.explode(at)).withColumn("j", F.when(F.col("large"), -1).otherwise(0))
+    links = materialise(_confirm(met.withColumn("role", F.when(F.col("centre"), 2).otherwise(0)), percent))
+
+    core = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    rest = dealt.filter("large").join(_few(materialise(core)).withColumn("core", F.lit(True)), "key", "left")
+    rest = rest.select("key", "component", "n", "sig", F.coalesce("core", "centre").alias("core"))
+    size = rest.groupBy("component", "core").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("docs"))
+    size = size.select("component", "core", parts(block, BLOCK_DOCS).alias("parts"))
+    size = size.groupBy("component").agg(F.sum(F.when(~F.col("core"), F.col("parts"))).alias("parts"), F.sum(F.when(F.col("core"), F.col("parts"))).alias("cores"))
+    size = materialise(size.filter("parts IS NOT NULL"))  # families all in their core are done
+    if size.isEmpty():
+        return links
+    rest = rest.join(size, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("parts"))).cast("int"))
+    rest = materialise(rest.withColumn("parts", F.col("parts").cast("int")).withColumn("cores", F.coalesce("cores", F.lit(0)).cast("int")))
+    sets = _with_sets(docs, rest.select("key", "component", "sig", "core", "block", "parts", "cores"))
+    # Of the rest, block i meets block j as (i, j), i < j, or itself where it is the only one; core block j as (i, -1 - j).
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("block")))
+    cores = F.when(F.col("cores") > 0, F.transform(F.sequence(F.lit(1), F.col("cores")), lambda j: -j)).otherwise(F.array().cast("array<int>"))
+    outer = sets.filter("NOT core").withColumn("other", F.explode(F.concat(others, cores)))
+    outer = outer.withColumn("i", F.when(F.col("other") < 0, F.col("block")).otherwise(F.least("block", "other")))
+    outer = outer.withColumn("j", F.when(F.col("other") < 0, F.col("other")).otherwise(F.greatest("block", "other")))
+    inner = sets.filter("core").withColumn("i", every).withColumn("j", -1 - F.col("block"))
+    met = outer.withColumn("role", F.lit(0)).select("component", "i", "j", "role", "key", "sig", "set")
+    met = met.unionByName(inner.withColumn("role", F.lit(1)).select(*met.columns))
+    return links.union(_confirm(met, percent))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, percent: int = 80, hot: int = HOT, block: int = BLOCK) -> DataFrame:

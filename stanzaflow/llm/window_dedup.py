@@ -204,7 +204,8 @@ def remove_repeats(df: DataFrame, key: str, text: str, width: int = WIDTH, most_
     )
     chars = groups.agg(F.sum("chars")).first()[0] or 0
     cells = min(most_cells, max(LEAST_CELLS, int(chars / CHARS_A_CELL).bit_length()))
-    repeated = groups.filter(F.col("first") < F.col("last")).select("digest", "first")
+    # Read twice; broadcast, copies of one text don't meet in a task.
+    repeated = _maybe_broadcast(materialise(groups.filter(F.col("first") < F.col("last")).select("digest", "first")))
     copies = materialise(
         digests.join(repeated, "digest").filter(F.col("key") > F.col("first")).select("key", "digest").distinct()
     )

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from stanzaflow.llm import near_dedup
 from stanzaflow.llm.components import components
 from stanzaflow.llm.near_dedup import HASHES, _forest, estimate, lowest_estimate, minima, near_duplicates, op3, packed
 from stanzaflow.llm.words import mix
@@ -79,6 +80,30 @@ def test_a_key_of_several_texts_links_their_classes(spark):
     assert run(spark, twice) == plain(twice, 80)
 
 
+def test_large_families(spark, monkeypatch):
+    """A family of several blocks: copies of its least document, others that hang on copies or on each other, and boilerplate."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(near_dedup, "STAR", 4)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(200)]
+
+    def changed(words, n, tag):
+        out = list(words)
+        for at in rng.sample(range(0, len(out), 6), n):
+            out[at] = f"{tag}{at}"
+        return out
+
+    rows = [(i, " ".join(changed(base, i % 3, f"x{i}"))) for i in range(1, 60)]
+    second = changed(base, 6, "s")
+    third = changed(second, 6, "t")
+    rows += [(100 + i, " ".join(changed(second, i % 2, f"y{i}"))) for i in range(30)]
+    rows += [(200 + i, " ".join(changed(third, i % 2, f"z{i}"))) for i in range(30)]
+    rows += [(300 + i, " ".join([*base[:120], *(f"u{i}_{k}" for k in range(80))])) for i in range(40)]
+    want = plain(rows, 80)
+    assert len({r[2] for r in want}) > 30
+    assert run(spark, rows, hot=4) == want and run(spark, rows, hot=4, block=20000) == want
+
+
 def test_no_rows_and_lone_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(3, "x y z")]) == [(3, 1, 3, True)]
