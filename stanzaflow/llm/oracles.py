@@ -38,6 +38,20 @@ links AS MATERIALIZED (
   SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
 ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least USING (doc_id)
+""",
+    "op5_suffix_dedup": f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+win AS MATERIALIZED (
+  SELECT doc_id, p, md5(array_to_string(w[p + 1:p + 50], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)
+), hit AS (
+  SELECT DISTINCT doc_id, p, CASE WHEN doc_id = low THEN high ELSE low END AS other
+  FROM win JOIN (SELECT k, min(doc_id) AS low, max(doc_id) AS high FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)) USING (k)
+), run AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p, other) AS r
+  FROM (SELECT *, coalesce((p > lag(p) OVER (PARTITION BY doc_id ORDER BY p, other) + 50)::INTEGER, 1) AS new FROM hit)
+)
+SELECT doc_id, min(p)::INTEGER AS "start", (max(p) + 50)::INTEGER AS "end", min(other) AS other_id FROM run GROUP BY doc_id, r
 """,
     "op6_decontamination": f"""
 WITH s AS MATERIALIZED (

@@ -251,7 +251,8 @@ def perplexities(docs: DataFrame, model: DataFrame, head: int = HEAD, shard_gram
         "shard", F.pmod("chunk", F.lit(replicas)).cast("long").alias("replica"), F.lit(1).alias("late"), F.lit(None).cast("long").alias("gram"), blank["logp"].alias("logp"), "chunk", "packed", "sizes"
     )
     by = ["shard", "replica"]
-    dealt = table.union(asked).repartition(shards * replicas, *by).sortWithinPartitions(*by, "late", "gram")
+    # More partitions than groups, so that few groups share one.
+    dealt = table.union(asked).repartition(4 * shards * replicas, *by).sortWithinPartitions(*by, "late", "gram")
     parts = dealt.mapInArrow(_answer, "chunk long, row int, part double")
     parts = parts.groupBy("chunk", "row").agg(F.sum("part").alias("part"))
     whole = own.join(parts, ["chunk", "row"], "left").withColumn("total", F.col("total") + F.coalesce("part", F.lit(0.0)))
