@@ -26,16 +26,9 @@ def count_in_set(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def translate_script(text: Column, source: str, target: str, phrases: dict[str, str] | None = None) -> Column:
-    """Character by character from source to target; phrases, longest first, take precedence."""
-    marks = {}
-    for i, phrase in enumerate(sorted(phrases or {}, key=lambda p: (-len(p), p))):
-        marks[chr(0xE000 + i)] = phrases[phrase]  # private-use characters stand in until the end
-        text = F.replace(text, F.lit(phrase), F.lit(chr(0xE000 + i)))
-    text = F.translate(text, source, target)
-    for mark, phrase in marks.items():
-        text = F.replace(text, F.lit(mark), F.lit(phrase))
-    return text
+def translate_script(text: Column, source: str, target: str) -> Column:
+    """Character by character from source to target; with phrases, operators.matching.convert_script."""
+    return F.translate(text, source, target)
 
 
 def numeral_year(text: Column, numerals: str = NUMERALS, digits: str = DIGITS) -> Column:

@@ -43,14 +43,17 @@ def era_columns(eras: list[tuple[str, int | None, int | None]], year: str, num:
 def scored_by_configs(df: DataFrame, text: str, lexicon: Lexicon, configs: list[tuple[str, float, tuple[str, ...], str]], keep: str) -> DataFrame:
     """df with n_chars and an exploded (config, value) for each (name, least specificity, excluded categories, mode).
 
-    Filters act before matching, so that each configuration matches anew, all in one narrow stage; mode is
-    'weighted' or 'tokens'.
+    Filters act before matching, so that configurations match anew unless they keep the same entries, all in one narrow
+    stage; mode is 'weighted' or 'tokens'.
     """
     plain = df.withColumn("_plain", normalise(F.col(text), keep))
+    kept = list(dict.fromkeys(lexicon.keep(least, exclude) for _, least, exclude, _ in configs))
+    for i, used in enumerate(kept):
+        plain = plain.withColumn(f"_hits{i}", fold(F.col("_plain"), used))
     cells = []
     for name, least, exclude, mode in configs:
         used = lexicon.keep(least, exclude)
-        hits = fold(F.col("_plain"), used)
+        hits = F.col(f"_hits{kept.index(used)}")
         value = raw_tokens(hits).cast("double") if mode == "tokens" else weighted_presence(hits, used)
         cells.append(F.struct(F.lit(name).alias("config"), value.alias("value")))
     out = plain.withColumn("n_chars", F.length("_plain")).withColumn("_cell", F.explode(F.array(*cells)))

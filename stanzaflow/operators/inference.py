@@ -6,6 +6,8 @@ can repeat them. Data that is resampled is numbered once, from 0, in a given ord
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stanzaflow.functions.numeric import hashed_draw, pooled, ratio100
@@ -31,15 +33,35 @@ def replicates(df: DataFrame, order: list[str], num: str, den: str, stratum: str
     return draws.join(rows, "_idx").groupBy("rep").agg(pooled(num, den).alias("density"))
 
 
+def poisson_replicates(df: DataFrame, key: list[str], num: str, den: str, stratum: str, b: int, seed: int) -> DataFrame:
+    """rep, density of b resamples in which each row counts a hashed Poisson(1) number of times.
+
+    For corpora: rows need no numbers and nothing is joined; sums of all replicates are taken where the rows are, and
+    b rows of each task are shuffled. key names a row.
+    """
+    rows = df.select(*key, num, den, F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep"))
+    parts = [F.lit(seed), F.lit(stratum), F.col("rep"), *[F.col(k) for k in key]]
+    share, times, chance = hashed_draw(F.lit(1 << 32), *parts), F.lit(0), math.exp(-1)
+    reached = 0.0
+    for k in range(13):  # P(13 or more) is below 2^-32
+        reached += chance
+        chance /= k + 1
+        times = times + (share >= int(reached * (1 << 32))).cast("int")
+    rows = rows.withColumn("_times", times)
+    return rows.groupBy("rep").agg(pooled(F.col("_times") * F.col(num), F.col("_times") * F.col(den)).alias("density"))
+
+
 def bootstrap_difference(
-    a: DataFrame, b: DataFrame, order: list[str], num: str, den: str, replicas: int = 10_000, seed: int = 42
+    a: DataFrame, b: DataFrame, order: list[str], num: str, den: str, replicas: int = 10_000, seed: int = 42, poisson: bool = False
 ) -> DataFrame:
     """point, lo, hi, p of density(b) - density(a): percentile interval; the two-sided p may exceed 1 or be 0.
 
-    No row where either side is empty.
+    Exact draws number the rows (order) and make replicas x rows of them: for analysis units. For corpora, poisson, with
+    order naming a row. No row where either side is empty.
     """
-    diffs = replicates(a, order, num, den, "a", replicas, seed).withColumnRenamed("density", "low").join(
-        replicates(b, order, num, den, "b", replicas, seed).withColumnRenamed("density", "high"), "rep"
+    resampled = poisson_replicates if poisson else replicates
+    diffs = resampled(a, order, num, den, "a", replicas, seed).withColumnRenamed("density", "low").join(
+        resampled(b, order, num, den, "b", replicas, seed).withColumnRenamed("density", "high"), "rep"
     )
     d = F.col("high") - F.col("low")
     stats = diffs.agg(
@@ -57,7 +79,7 @@ def permutation_p(df: DataFrame, order: list[str], group: str, num: str, den: st
     ours = pooled(F.when(F.col(group), F.col(num)), F.when(F.col(group), F.col(den)))
     rest = pooled(F.when(~F.col(group), F.col(num)), F.when(~F.col(group), F.col(den)))
     observed = rows.agg((ours - rest).alias("observed"))
-    shuffled = df.sparkSession.range(b).select(F.col("id").alias("rep")).crossJoin(F.broadcast(rows.select("_idx", num, den)))
+    shuffled = rows.select("_idx", num, den, F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep"))
     place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("_idx").cast("string")))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(place, "_idx"))
     drawn = shuffled.withColumn("_mine", rank <= size)

@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from stanzaflow.functions.arrays import let
 from stanzaflow.functions.numeric import ratio100
 from stanzaflow.functions.text import IDEOGRAPHS, normalise
 from stanzaflow.operators.lexicon import Lexicon
@@ -29,22 +30,26 @@ SCORE = ["n_chars", *[f"{side}_{c}" for side in ("signal", "control") for c in (
 
 def fold(text: Column, lexicon: Lexicon) -> Column:
     """Hits of normalised text by form, in form order."""
-    ordered = lexicon.ordered()
+    ordered = [(o, f, e) for o, f, e in lexicon.ordered() if f]
     if not ordered:
         return F.array().cast(HITS)
-    forms = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(f).alias("form"), F.lit(e.id).alias("entry_id")) for o, f, e in ordered])
-    state = f"struct<rest:string,hits:{HITS}>"
+    # What takes a form's place is of another length in bytes, so that the text's length tells how often it did.
+    used = {f: USED * (2 if len(f.encode()) == 1 else 1) for _, f, _ in ordered}
+    forms = F.array(*[
+        F.struct(F.lit(o).alias("ord"), F.lit(f).alias("form"), F.lit(e.id).alias("entry_id"), F.lit(used[f]).alias("used"), F.lit(len(f.encode()) - len(used[f])).alias("less"))
+        for o, f, e in ordered
+    ])
 
     def step(acc: Column, f: Column) -> Column:
-        size = F.length(f["form"])
-        n = (F.length(acc["rest"]) - F.length(F.replace(acc["rest"], f["form"], F.lit("")))) / size
-        hit = F.struct(f["ord"].alias("ord"), f["entry_id"].alias("entry_id"), n.cast("int").alias("n"))
-        found = F.struct(
-            F.replace(acc["rest"], f["form"], F.repeat(F.lit(USED), size)).alias("rest"), F.array_append(acc["hits"], hit).alias("hits")
-        )
-        return F.when(F.contains(acc["rest"], f["form"]), found.cast(state)).otherwise(acc)
+        def replaced(rest: Column) -> Column:
+            n = F.call_function("div", F.octet_length(acc["rest"]) - F.octet_length(rest), f["less"]).cast("int")
+            hit = F.struct(f["ord"].alias("ord"), f["entry_id"].alias("entry_id"), n.alias("n"))
+            return F.struct(rest.alias("rest"), F.array_append(acc["hits"], hit).alias("hits"))
+
+        found = let(F.replace(acc["rest"], f["form"], f["used"]), replaced)
+        return F.when(F.contains(acc["rest"], f["form"]), found).otherwise(acc)
 
-    start = F.struct(text.alias("rest"), F.array().alias("hits")).cast(state)
+    start = F.struct(text.alias("rest"), F.array().cast(HITS).alias("hits"))
     return F.aggregate(forms, start, step, lambda acc: acc["hits"])
 
 
@@ -111,6 +116,11 @@ def with_dual_score(
     )
 
 
+def joined_entries(hits: Column, separator: str = ";") -> Column:
+    """Entry ids in first-hit order as one text."""
+    return F.array_join(entries_hit(hits), separator)
+
+
 def contains_count(text: Column, forms: Iterable[str]) -> Column:
     """How many of the forms a raw text contains: no normalisation, no consumption."""
     forms = list(forms)
@@ -141,6 +151,36 @@ def match_by_grams(df: DataFrame, key: str, plain: str, forms: DataFrame) -> Dat
     return spans.select(key, F.explode(accepted).alias("s")).select(key, "s.ord", "s.entry_id", "s.pos")
 
 
+def convert_script(df: DataFrame, key: str, text: str, source: str, target: str, phrases: DataFrame) -> DataFrame:
+    """key and text, converted: phrases (form, becomes), longest first and left to right, then characters from source to target.
+
+    Phrases meet the texts' n-grams by equality, so that a dictionary of any size will do. key names a row; where a form
+    repeats, the least replacement counts. Null texts stay null.
+    """
+    once = phrases.groupBy("form").agg(F.min("becomes").alias("entry_id")).filter("form <> ''")
+    forms = once.select(F.dense_rank().over(Window.orderBy(F.length("form").desc(), "form")).alias("ord"), "form", F.length("form").alias("form_len"), "entry_id")
+    found = match_by_grams(df.select(key, text).filter(F.col(text).isNotNull()), key, text, forms).join(forms.select("ord", "form_len"), "ord")
+    places = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "form_len", F.col("entry_id").alias("becomes")))).alias("_at"))
+    joined = df.select(key, text).join(places, key, "left")
+
+    def between(chars: Column, at: Column, end: Column) -> Column:
+        return F.translate(F.array_join(F.slice(chars, at + 1, end - at), ""), source, target)
+
+    def pieces(x: Column) -> Column:
+        chars, spans = x["chars"], x["spans"]
+
+        def piece(s: Column, i: Column) -> Column:
+            last = F.get(spans, i - 1)
+            return F.concat(between(chars, F.when(i > 0, last["pos"] + last["form_len"]).otherwise(0), s["pos"]), s["becomes"])
+
+        end = F.element_at(spans, -1)
+        return F.concat(F.array_join(F.transform(spans, piece), ""), between(chars, end["pos"] + end["form_len"], F.size(chars)))
+
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    with_phrases = let(F.struct(chars.alias("chars"), F.col("_at").alias("spans")), pieces)
+    return joined.select(key, F.when(F.col("_at").isNull(), F.translate(text, source, target)).otherwise(with_phrases).alias(text))
+
+
 def _accept(spans: Column) -> Column:
     """Of a text's occurrences in form order those that touch no accepted one, in time linear in their lengths."""
 

@@ -10,6 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stanzaflow.operators.density import era_table, in_eras
 from stanzaflow.operators.matching import contains_count
 
 
@@ -27,19 +28,45 @@ def with_folds(df: DataFrame, label: str, order: str, folds: int = 5) -> DataFra
 
 
 def cross_validated_accuracy(df: DataFrame, vector: str, label: str, order: str, folds: int = 5, ridge: float = 0.01) -> DataFrame:
-    """fold, n, accuracy of a logistic regression; no row unless two labels and over 30 rows are there."""
+    """fold, n, accuracy of a logistic regression; no row unless two labels and over 30 rows are there.
+
+    The accuracies, a number for each fold, are taken at once, so that nothing stays in memory behind them.
+    """
     rows = with_folds(df.filter(F.col(label).isNotNull()), label, order, folds)
     rows = rows.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("_y", F.col(label).cast("double"))
     rows = rows.select("fold", "_x", "_y").persist()
-    shape = rows.agg(F.count(F.lit(1)), F.countDistinct("_y")).first()
-    out = df.sparkSession.createDataFrame([], "fold int, n long, accuracy double")
-    if shape[0] <= 30 or shape[1] < 2:
-        return out
+    n, labels = rows.agg(F.count(F.lit(1)), F.countDistinct("_y")).first()
+    out = []
     model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=ridge, predictionCol="_p")
-    for k in range(folds):
+    for k in range(folds if enough(n, labels) else 0):
         fitted = model.fit(rows.filter(F.col("fold") != k))
         right = fitted.transform(rows.filter(F.col("fold") == k)).groupBy("fold")
-        out = out.unionByName(right.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_p") == F.col("_y")).cast("double")).alias("accuracy")))
+        out += right.agg(F.count(F.lit(1)), F.avg((F.col("_p") == F.col("_y")).cast("double"))).collect()
+    rows.unpersist()
+    return df.sparkSession.createDataFrame([tuple(r) for r in out], "fold int, n long, accuracy double")
+
+
+def enough(n: int | Column, labels: int | Column) -> bool | Column:
+    """Whether a probe is worth fitting: two labels and over 30 rows."""
+    return (n > 30) & (labels > 1)
+
+
+def subgroups(df: DataFrame, year: str, label: str, eras: list[tuple[str, int | None, int | None]]) -> DataFrame:
+    """era, n, positives, fit (enough rows and labels) of the labelled rows of each era; a null year counts as -1."""
+    known = df.filter(F.col(label).isNotNull()).withColumn("_year", F.coalesce(year, F.lit(-1)))
+    by_era = in_eras(known, "_year", era_table(df.sparkSession, eras)).groupBy("era")
+    sums = by_era.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"), F.countDistinct(label).alias("_labels"))
+    return sums.select("era", "n", "positives", enough(F.col("n"), F.col("_labels")).alias("fit"))
+
+
+def subgroup_accuracy(df: DataFrame, vector: str, label: str, order: str, year: str, eras: list[tuple[str, int | None, int | None]]) -> DataFrame:
+    """era, n, accuracy of a probe fitted in each era that has enough; eras are a few."""
+    out = df.sparkSession.createDataFrame([], "era string, n long, accuracy double")
+    for era, low, high in eras:
+        own = in_eras(df.withColumn("_year", F.coalesce(year, F.lit(-1))), "_year", era_table(df.sparkSession, [(era, low, high)]))
+        folds = cross_validated_accuracy(own, vector, label, order)
+        means = folds.agg(F.sum("n").alias("n"), F.avg("accuracy").alias("accuracy")).filter("n IS NOT NULL")
+        out = out.union(means.select(F.lit(era), "n", "accuracy"))
     return out
 
 
@@ -83,15 +110,21 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = 51
 def shuffled_null(df: DataFrame, vector: str, label: str, order: str, accuracy: float, b: int = 200, seed: int = 42) -> DataFrame:
     """null_mean, null_std (population), p = share of shuffles whose accuracy reaches the given one."""
     rows = df.filter(F.col(label).isNotNull()).select(order, vector, label).persist()
-    stats = df.sparkSession.createDataFrame([], "rep int, accuracy double")
+    stats = []
     by_order = Window.orderBy(order)
     for rep in range(b):  # replicates; each is a distributed fit
         by_hash = Window.orderBy(F.md5(F.concat_ws("|", F.lit(f"{seed}|{rep}"), F.col(order).cast("string"))))
         places = rows.select(order, vector, F.row_number().over(by_order).alias("_i"))
         labels = rows.select(F.row_number().over(by_hash).alias("_i"), F.col(label))
         folds = cross_validated_accuracy(places.join(labels, "_i"), vector, label, order)
-        stats = stats.union(folds.agg(F.avg("accuracy")).select(F.lit(rep), F.col("avg(accuracy)")))
-    return stats.agg(
+        stats.append((rep, folds.agg(F.avg("accuracy")).first()[0]))
+    rows.unpersist()
+    return null_statistics(df.sparkSession.createDataFrame(stats, "rep int, accuracy double"), F.lit(accuracy))
+
+
+def null_statistics(replicates: DataFrame, accuracy: Column) -> DataFrame:
+    """null_mean, null_std (population) and p, the share that reaches an accuracy, of replicates (accuracy)."""
+    return replicates.agg(
         F.avg("accuracy").alias("null_mean"), F.stddev_pop("accuracy").alias("null_std"), F.avg((F.col("accuracy") >= accuracy).cast("double")).alias("p")
     )
 

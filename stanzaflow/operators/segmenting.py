@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stanzaflow.functions.text import IDEOGRAPHS, LINE_IDEOGRAPHS, count_in_set, kept_length, numeral_year
+from stanzaflow.functions.arrays import let, running
+from stanzaflow.functions.text import DIGITS, IDEOGRAPHS, LINE_IDEOGRAPHS, NUMERALS, count_in_set, kept_length, numeral_year
 
 #: Dating words and the years they stand for.
 MARKERS = [
@@ -29,37 +30,56 @@ SECTION_HEADER = (
 QUOTE = "『([^』]+)』"
 
 
-def occurrences(df: DataFrame, key: list[str], text: str, pattern: str, groups: tuple[int, ...] = (0,)) -> DataFrame:
-    """key, seq, start, end and g0, g1, .. of all matches; code points from 0, end exclusive.
+def matches(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Column:
+    """array<struct<start, end, g0, .., after>> of all matches: code points from 0, end exclusive; what stands between
+    a match and the next one or the text's end.
 
     Spark has no match positions: the pieces between matches, from splitting by the same pattern, give them.
     """
-    found = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(g)) for g in (0, *groups)]
-    zipped = F.arrays_zip(F.split(F.col(text), pattern, -1).alias("gap"), found[0].alias("hit"), *[f.alias(f"g{g}") for g, f in zip(groups, found[1:])])
-    rows = df.select(*key, F.posexplode(zipped).alias("seq", "m")).select(*key, "seq", "m.*")
-    order = Window.partitionBy(*key).orderBy("seq")
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.length("gap") + F.coalesce(F.length("hit"), F.lit(0))
-    rows = rows.withColumn("end", F.sum(size).over(before).cast("int")).filter("hit IS NOT NULL")
-    rows = rows.withColumn("start", F.col("end") - F.length("hit"))
-    return rows.select(*key, "seq", "start", "end", *[f"g{g}" for g in groups])
-
-
-def dated_sections(pages: DataFrame, key: str, text: str, header: str = SECTION_HEADER) -> DataFrame:
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = [hits if g == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
+
+    def placed(x: Column) -> Column:
+        sizes = F.transform(x["pieces"], lambda p, i: (F.length(p) + F.coalesce(F.length(F.get(x["hits"], i)), F.lit(0))).cast("long"))
+
+        def match(hit: Column, i: Column, ends: Column) -> Column:
+            end = F.get(ends, i).cast("int")
+            own = [F.get(x[f"g{g}"], i).alias(f"g{g}") for g in groups]
+            return F.struct((end - F.length(hit)).alias("start"), end.alias("end"), *own, F.get(x["pieces"], i + 1).alias("after"))
+
+        return let(running(sizes), lambda ends: F.transform(x["hits"], lambda hit, i: match(hit, i, ends)))
+
+    parts = F.struct(F.split(text, pattern, -1).alias("pieces"), hits.alias("hits"), *[f.alias(f"g{g}") for g, f in zip(groups, found, strict=True)])
+    return F.when(text.rlike(pattern), let(parts, placed))
+
+
+def occurrences(df: DataFrame, key: list[str], text: str, pattern: str, groups: tuple[int, ...] = (0,)) -> DataFrame:
+    """key, seq, start, end and g0, g1, .. of all matches, in one narrow stage; null texts have none."""
+    rows = df.select(*key, F.posexplode(matches(F.col(text), pattern, groups)).alias("seq", "m"))
+    return rows.select(*key, "seq", "m.start", "m.end", *[f"m.g{g}" for g in groups])
+
+
+def dated_sections(
+    pages: DataFrame, key: str, text: str, header: str = SECTION_HEADER, numerals: str = NUMERALS, digits: str = DIGITS
+) -> DataFrame:
     """key, offset, year_raw, ganzhi, year, text: from a header's end to the next header or the text's end.
 
-    A header whose year can't be read gives no section, but still ends the one before it.
+    A header whose year can't be read gives no section, but still ends the one before it. The body is the piece
+    behind the header, so that a page is cut up where it stands.
     """
-    heads = occurrences(pages, [key], text, header, (0, 1, 2))
-    following = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
-    heads = heads.withColumn("_next", following).join(pages.select(key, F.col(text).alias("_page")), key)
-    body = F.substr("_page", F.col("end") + 1, F.coalesce("_next", F.length("_page")) - F.col("end"))
+    heads = pages.select(key, F.explode(matches(F.col(text), header, (0, 1, 2))).alias("m"))
     out = heads.select(
-        key, F.col("end").alias("offset"), F.trim("g0").alias("year_raw"), F.trim("g1").alias("ganzhi"), numeral_year(F.col("g2")).alias("year"), body.alias("text")
-    )
+        key, F.col("m.end").alias("offset"), F.trim("m.g0").alias("year_raw"), F.trim("m.g1").alias("ganzhi"),
+        numeral_year(F.col("m.g2"), numerals, digits).alias("year"), F.col("m.after").alias("text"),
+    )
     return out.filter("year IS NOT NULL")
 
 
+def dated_within(pages: DataFrame, key: str, text: str, low: int = 1600, high: int = 1950, **header: str) -> DataFrame:
+    """Dated sections of pages without their front matter; years outside low..high go after that cut, not before it."""
+    return cut_front_matter(dated_sections(pages, key, text, **header), key).filter(F.col("year").between(low, high))
+
+
 def cut_front_matter(sections: DataFrame, key: str) -> DataFrame:
     """Sections from the first one of a page's earliest year on."""
     page = Window.partitionBy(key)

@@ -30,10 +30,15 @@ def ordered_distinct(df: DataFrame, value: str, seq: str, prefixes: tuple[str, .
     return df.groupBy(value).agg(F.min(seq).alias(seq))
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
-    """df with a table's columns by key, defaults where the key or the value is missing. The table is reference
-    data; adaptive execution broadcasts it if it is small when it has been read."""
-    joined = df.join(table, key, "left")
+def lookup(df: DataFrame, table: DataFrame, key: str, defaults: dict[str, object], seq: str | None = None) -> DataFrame:
+    """df with a table's columns by key, defaults where the key or the value is missing.
+
+    Of rows that repeat a key the last by seq counts; without seq, the greatest by all columns. The table is reference
+    data; adaptive execution broadcasts it if it is small when it has been read.
+    """
+    value = F.struct(*[c for c in table.columns if c not in (key, seq)])
+    once = table.groupBy(key).agg(F.max_by(value, F.col(seq) if seq else value).alias("_v")).select(key, "_v.*")
+    joined = df.join(once, key, "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
@@ -45,13 +50,19 @@ def first_of_parent(df: DataFrame, parent: list[str], seq: list[str], n: int) ->
 
 def best_title(books: DataFrame, query: str, pos: str = "pos") -> DataFrame:
     """The first book whose title contains the query, else the first book, else none."""
-    return books.orderBy(F.contains("title", F.lit(query)).desc(), pos).limit(1)
+    return best_titles(books.withColumn("query", F.lit(query)), pos)
+
+
+def best_titles(books: DataFrame, pos: str = "pos") -> DataFrame:
+    """For each query of books (query, title, ..): the first book whose title contains it, else its first book."""
+    by = Window.partitionBy("query").orderBy(F.coalesce(F.contains("title", F.col("query")), F.lit(False)).desc(), pos)
+    return books.withColumn("_rank", F.row_number().over(by)).filter("_rank = 1").drop("_rank")
 
 
 def tree_walk(edges: DataFrame, root: str, view: str = "tree_edges", depth: int = 100) -> DataFrame:
     """urn, path of all nodes below a root, depth first by path; edges (urn, parent, pos).
 
-    A node that is its own child is not followed.
+    A node that is its own child is not followed. Places from a million on are written longer, behind the others.
     """
     edges.createOrReplaceTempView(view)
     return edges.sparkSession.sql(
@@ -59,7 +70,8 @@ def tree_walk(edges: DataFrame, root: str, view: str = "tree_edges", depth: int
         WITH RECURSIVE walk(urn, path, depth) MAX RECURSION LEVEL {depth} AS (
           SELECT CAST(:root AS STRING), '', 0
           UNION ALL
-          SELECT e.urn, concat(w.path, '/', lpad(CAST(e.pos AS STRING), 6, '0')), w.depth + 1
+          SELECT e.urn, concat(w.path, '/', CASE WHEN e.pos < 1000000 THEN lpad(CAST(e.pos AS STRING), 6, '0')
+                 ELSE concat('~', lpad(CAST(e.pos AS STRING), 19, '0')) END), w.depth + 1
           FROM walk w JOIN {view} e ON e.parent = w.urn AND e.urn <> e.parent
         )
         SELECT urn, path, depth FROM walk

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stanzaflow.functions.numeric import pooled
-from stanzaflow.functions.text import IDEOGRAPHS, normalise
+from stanzaflow.functions.numeric import pooled, truthy
+from stanzaflow.functions.text import IDEOGRAPHS, fixed, normalise
 from stanzaflow.operators import density, inference
 from stanzaflow.operators.lexicon import Lexicon
 from stanzaflow.operators.matching import with_dual_score
@@ -32,11 +32,19 @@ def trajectory(scored: DataFrame, eras: list = density.ERAS["trajectory"]) -> di
 
 
 def curve(scored: DataFrame, year: str = "year") -> DataFrame:
-    """n, signal and control density by year, of units with a year that is neither null nor 0."""
-    known = scored.filter(F.col(year).isNotNull() & (F.col(year) != 0))
+    """n, signal and control density by year, in order, of units with a year that is neither null nor 0."""
+    known = scored.filter(truthy(F.col(year)))
     return known.groupBy(year).agg(
         F.count(F.lit(1)).alias("n"), pooled("signal_weighted", "n_chars").alias("signal"), pooled("control_tokens", "n_chars").alias("control")
-    )
+    ).orderBy(year)
+
+
+def yearly(scored: DataFrame, author: str = "author", year: str = "year") -> DataFrame:
+    """Rows of schemas.YEARLY by year: densities of each unit with three decimals, its signal entries joined by `;`."""
+    return scored.select(
+        F.col(author).alias("author"), F.col(year).alias("year"), "n_chars", fixed(F.col("signal_density100")).alias("loyalist_density100"),
+        fixed(F.col("control_density100")).alias("control_density100"), F.array_join("signal_entries", ";").alias("loyalist_entries"),
+    ).orderBy("year")
 
 
 def crosssource(sources: dict[str, DataFrame]) -> DataFrame:
@@ -56,6 +64,11 @@ def equivalence(a: DataFrame, b: DataFrame, order: list[str], replicas: int = 10
     return boot.withColumn("verdict", density.verdict(F.col("lo"), F.col("hi")))
 
 
+def label_groups(authors: DataFrame, author: str, groups: dict[str, set[str]]) -> DataFrame:
+    """One row: for each named set of labels the authors that have one, sorted and distinct. Authors are a few."""
+    return authors.agg(*[F.sort_array(F.collect_set(F.when(F.col("label").isin(sorted(g)), F.col(author)))).alias(n) for n, g in groups.items()])
+
+
 def validation(scored: DataFrame, author: str, label: str, seq: str, group: set[str], others: set[str], replicas: int = 10_000) -> dict[str, DataFrame]:
     """Authors' densities with their last label; the difference of two label groups with a permutation p."""
     authors = scored.groupBy(author).agg(
@@ -64,8 +77,6 @@ def validation(scored: DataFrame, author: str, label: str, seq: str, group: set[
     both = scored.filter(F.col(label).isin(sorted(group | others))).withColumn("_group", F.col(label).isin(sorted(group)))
     return {
         "authors": authors,
-        "groups": authors.agg(
-            *[F.sort_array(F.collect_set(F.when(F.col("label").isin(sorted(g)), F.col(author)))).alias(n) for n, g in (("group", group), ("others", others))]
-        ),
+        "groups": label_groups(authors, author, {"group": group, "others": others}),
         "permutation": inference.permutation_p(both, [seq], "_group", "signal_weighted", "n_chars", replicas),
     }

@@ -118,7 +118,7 @@ SELECT doc_id, entry_id, sum(n)::BIGINT AS tokens FROM ("""
 def _(spark, d):
     """The join plan: its accepted positions counted by entry equal the fold's."""
     plain = units(spark, d).select("doc_id", tx.normalise(F.col("text"), KEEP).alias("plain"))
-    found = mt.match_by_grams(plain, "doc_id", "plain", F.broadcast(lx.form_table(lx.table(spark, SIGNAL))))
+    found = mt.match_by_grams(plain, "doc_id", "plain", lx.form_table(lx.table(spark, SIGNAL)))
     return found.groupBy("doc_id", "entry_id").agg(F.count(F.lit(1)).alias("tokens"))
 
 

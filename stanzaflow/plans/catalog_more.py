@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from stanzaflow.functions import numeric, text as tx
-from stanzaflow.operators import inference, probe, segmenting as sg, selecting as sl
+from stanzaflow.operators import inference, matching as mt, probe, segmenting as sg, selecting as sl
 from stanzaflow.plans.catalog import _MID, _RUP, long, query, r6, scored, table
 from stanzaflow.plans.sample import CONTROL, SIGNAL, density, scored as scored_sql
 
@@ -37,8 +37,9 @@ def _(spark, d):
     "SELECT doc_id, md5(replace(replace(translate(replace(replace(text, 'thing', chr(57344)), 'the', chr(57345)), 'aeiou', 'AEIOU'), chr(57344), 'THING'), chr(57345), 'THE')) AS digest FROM documents",
 )
 def _(spark, d):
-    out = tx.translate_script(F.col("text"), "aeiou", "AEIOU", {"the": "THE", "thing": "THING"})
-    return table(spark, d, "documents").select("doc_id", F.md5(out).alias("digest"))
+    phrases = spark.createDataFrame([("the", "THE"), ("thing", "THING")], "form string, becomes string")
+    out = mt.convert_script(table(spark, d, "documents"), "doc_id", "text", "aeiou", "AEIOU", phrases)
+    return out.select("doc_id", F.md5("text").alias("digest"))
 
 
 def _occurrences_sql(pattern: str, groups: int) -> str:
@@ -103,13 +104,7 @@ _SECTIONS = f"""{_occurrences_sql(_HEADER, 2)}, sec AS (
 
 
 def _sections(spark, d):
-    docs = table(spark, d, "documents")
-    heads = sg.occurrences(docs, ["doc_id"], "text", _HEADER, (0, 1, 2))
-    following = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
-    heads = heads.withColumn("_next", following).join(docs.select("doc_id", "text"), "doc_id")
-    body = F.substr("text", F.col("end") + 1, F.coalesce("_next", F.length("text")) - F.col("end"))
-    year = tx.numeral_year(F.col("g2"), _NUMERALS, "0123456789")
-    return heads.select("doc_id", F.col("end").alias("offset"), "g1", year.alias("year"), body.alias("body"))
+    return sg.dated_sections(table(spark, d, "documents"), "doc_id", "text", _HEADER, _NUMERALS, "0123456789")
 
 
 @query("numeral_year", f"WITH {_SECTIONS} SELECT doc_id, \"offset\", year FROM sec")
@@ -119,7 +114,7 @@ def _(spark, d):
 
 @query("section_split", f"WITH {_SECTIONS} SELECT doc_id, \"offset\", g1 AS head, year, md5(body) AS digest FROM sec")
 def _(spark, d):
-    return _sections(spark, d).select("doc_id", long("offset").alias("offset"), F.col("g1").alias("head"), "year", F.md5("body").alias("digest"))
+    return _sections(spark, d).select("doc_id", long("offset").alias("offset"), F.col("ganzhi").alias("head"), "year", F.md5("text").alias("digest"))
 
 
 @query(

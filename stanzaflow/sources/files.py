@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -15,9 +15,13 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header line."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+    """CSV with a header line. With a key, the last line of each counts; lines are numbered as they are read, within a file."""
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    if key is None:
+        return rows
+    numbered = rows.select(F.struct(*rows.columns).alias("_row"), F.monotonically_increasing_id().alias("_line"))
+    return numbered.groupBy(f"_row.{key}").agg(F.max_by("_row", "_line").alias("_last")).select("_last.*")
 
 
 def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

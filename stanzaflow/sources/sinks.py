@@ -15,16 +15,26 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def merge_jsonl(df: DataFrame, path: str, schema: str, key: list[str], seq: str) -> None:
-    """Lay df over the JSON lines at a path by key. The merge is written beside them and then takes their place."""
+    """Lay df over the JSON lines at a path by key.
+
+    The merge is written beside them and takes their place, which is emptied by renaming: whatever stops it, either the
+    lines or the merge are there whole. A place found empty with its old lines beside it gets them back first.
+    """
     spark = df.sparkSession
+    path = path.rstrip("/")
+    beside, aside = f"{path}.merging", f"{path}.before"
+    target, new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, aside))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(old) and not files.exists(target):
+        files.rename(old, target)
+    files.delete(old, True)
     if exists(spark, path):
         df = upsert(read_jsonl(spark, path, f"{schema}, {seq} long"), df, key, seq).drop("place")
-    beside = f"{path.rstrip('/')}.merging"
     df.write.mode("overwrite").json(beside)
-    target, source = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside))
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    files.rename(source, target)
+    if files.exists(target):
+        files.rename(target, old)
+    files.rename(new, target)
+    files.delete(old, True)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str], decimals: list[str]) -> None:

@@ -94,7 +94,18 @@ def test_text_functions(spark):
     assert one(spark, "一八九五年", numeral_year) == 1895 and one(spark, "一○五", numeral_year) is None
     assert one(spark, "矣x也矣", lambda c: count_in_set(c, "矣也")) == 3
     assert one(spark, "{{header\n|a}}b{{x{{y}}}}[[c|d]][[e]]<br/>f（按g）h", clean_markup) == "bde\nfh"
-    assert one(spark, "后台台风", lambda c: translate_script(c, "台风", "臺風", {"后台": "後臺"})) == "後臺臺風"
+    assert one(spark, "后台台风", lambda c: translate_script(c, "台风", "臺風")) == "后臺臺風"
+
+
+def test_script_conversion_by_phrases(spark):
+    rows = [(1, "后台台风"), (2, None), (3, ""), (4, "\ue000台\ue001后台\uf900𠀀后"), (5, "发头发发头"), (6, "台" * 3000 + "头发")]
+    phrases = spark.createDataFrame([("后台", "後臺"), ("头发", "頭髮"), ("发头", "X"), ("发", "發"), ("", "no"), ("头发", "頭髮髮")], "form string, becomes string")
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: r.t for r in mt.convert_script(df, "id", "t", "台风", "臺風", phrases).collect()}
+    assert got == {1: "後臺臺風", 2: None, 3: "", 4: "\ue000臺\ue001後臺\uf900𠀀后", 5: "X發X", 6: "臺" * 3000 + "頭髮"}
+    many = spark.createDataFrame([(chr(0x4E00 + i) + chr(0x4E01 + i), f"<{i}>") for i in range(7000)], "form string, becomes string")
+    long = spark.createDataFrame([(1, chr(0x4E00 + 6999) + chr(0x4E01 + 6999))], "id long, t string")
+    assert mt.convert_script(long, "id", "t", "a", "b", many).first().t == "<6999>"
 
 
 def test_fixed_rounds_as_the_exact_binary_value(spark):
