@@ -281,9 +281,13 @@ def confirmed_links(docs: DataFrame, families: DataFrame, percent: int, block: i
     rest = dealt.filter("large").join(_few(materialise(core)).withColumn("core", F.lit(True)), "key", "left")
     rest = rest.select("key", "component", "n", "sig", F.coalesce("core", "centre").alias("core"))
     size = rest.groupBy("component", "core").agg((F.sum("n") * 8).alias("bytes"), F.count(F.lit(1)).alias("docs"))
-    size = size.select("component", "core", parts(block, BLOCK_DOCS).alias("parts"))
-    size = size.groupBy("component").agg(F.sum(F.when(~F.col("core"), F.col("parts"))).alias("parts"), F.sum(F.when(F.col("core"), F.col("parts"))).alias("cores"))
-    size = materialise(size.filter("parts IS NOT NULL"))  # families all in their core are done
+    size = size.select("component", "core", "docs", parts(block, BLOCK_DOCS).alias("parts")).groupBy("component").agg(
+        *[F.sum(F.when(of, F.col(c))).alias(name) for c, of, name in (
+            ("parts", ~F.col("core"), "parts"), ("parts", F.col("core"), "cores"), ("docs", ~F.col("core"), "few"), ("docs", F.col("core"), "many"))]
+    ).filter("parts IS NOT NULL")  # families all in their core are done
+    # A few others meet a large core in smaller parts, so long as they are not repeated more often than the core is large.
+    finer = F.least(F.ceil(F.col("many") / (BLOCK_DOCS // STAR)), F.floor(F.col("many") / F.col("few")))
+    size = materialise(size.select("component", "parts", F.greatest("cores", finer.cast("long")).alias("cores")))
     if size.isEmpty():
         return links
     rest = rest.join(size, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("parts"))).cast("int"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from stanzaflow.functions.arrays import let, running
 from stanzaflow.llm.scratch import materialise
 from stanzaflow.llm.spans import SPANS, digest_columns
 
@@ -31,35 +32,10 @@ ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 LEAST, BAR = 20, 12.0
 #: Random samples.
 RANDOM = 4000
-#: Matches whose positions are summed together.
-STEP = 256
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
 _CODES = 128
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value made once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def running(sizes: Column) -> Column:
-    """Running sums of an array of longs that isn't empty, by blocks of STEP."""
-    nothing = F.array().cast("array<bigint>")
-
-    def within(block: Column, base: Column) -> Column:
-        first = F.struct(base.alias("at"), nothing.alias("out"))
-        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"] + x).alias("out"))
-        return F.aggregate(block, first, step, lambda s: s["out"])
-
-    def sums(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda t, x: t + x))
-        bases = F.aggregate(totals, F.array(F.lit(0).cast("long")), lambda s, t: F.array_append(s, F.element_at(s, -1) + t))
-        return _let(bases, lambda base: F.flatten(F.transform(blocks, lambda b, i: within(b, F.get(base, i)))))
-
-    count = F.floor((F.size(sizes) - 1) / STEP).cast("int")
-    return _let(F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(sizes, i * STEP + 1, F.lit(STEP))), sums)
-
-
 def found(text: Column, pattern: str, group: int, rank: int, kind: str, least: int = 0) -> Column:
     """Spans of a pattern's matches whose group has at least `least` characters, in order, each with its match as `token`."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -83,7 +59,7 @@ def found(text: Column, pattern: str, group: int, rank: int, kind: str, least: i
         return F.filter(F.zip_with(parts, ends, span), lambda s: s.isNotNull())
 
     none = F.array().cast(SPANS.replace("score:double", "score:double,token:string"))
-    return F.coalesce(F.when(text.rlike(pattern), _let(parts, spans)), none)
+    return F.coalesce(F.when(text.rlike(pattern), let(parts, spans)), none)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -116,7 +92,7 @@ def _codes(text: Column) -> Column:
 
 def _pairs(text: Column) -> Column:
     """_CODES times a code plus the next one's, for each character; null for the last."""
-    return _let(_codes(text), lambda codes: F.transform(codes, lambda c, i: c * _CODES + F.get(codes, i + 1)))
+    return let(_codes(text), lambda codes: F.transform(codes, lambda c, i: c * _CODES + F.get(codes, i + 1)))
 
 
 def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
@@ -182,7 +158,7 @@ def secret_spans(text: Column, table: list[float], bar: float = BAR) -> Column:
         touched = lambda s: _touches(s, kinds[0]) | _touches(s, kinds[1]) | _touches(s, kinds[2])
         return F.concat(base, F.filter(all_["random"], lambda s: ~touched(s)))
 
-    return _let(F.struct(*[x.alias(k) for k, x in zip(BASE, base_spans(text), strict=True)], random.alias("random")), together)
+    return let(F.struct(*[x.alias(k) for k, x in zip(BASE, base_spans(text), strict=True)], random.alias("random")), together)
 
 
 def op1(documents: DataFrame) -> DataFrame:
