@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stanzaflow.llm.scratch import materialise
+from stanzaflow.llm.scratch import integer_key, materialise
 from stanzaflow.llm.words import slices, text_bytes
 
 BITS, ORDER, QUANTILE = 12, 5, 0.99
@@ -132,7 +132,7 @@ def order_tables(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         d1, d2, d3 = discounts(list(seen))
         n = F.col("n")
         shared = grams.withColumn("context", F.shiftright("gram", BITS)).withColumn("off", F.when(n == 1, d1).when(n == 2, d2).otherwise(d3))
-        contexts = materialise(shared.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("off")))
+        contexts = shared.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("off"))
         alpha = shared.drop("off").join(contexts.drop("off"), "context")
         alpha = alpha.select("gram", ((n - F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)) / F.col("total")).alias("alpha"))
         tables.append((alpha, contexts.select("context", (F.col("off") / F.col("total")).alias("gamma"))))
@@ -321,6 +321,6 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, **s
 
 def op7(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Perplexity of each document under a model of those that labels call good, and whether it is kept."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("key"), "lang", "text")
-    trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("key")).distinct()
+    docs = documents.select(integer_key(documents, "doc_id").alias("key"), "lang", "text")
+    trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(integer_key(labels, "doc_id").alias("key")).distinct()
     return quality(docs, trusted).withColumnRenamed("key", "doc_id")

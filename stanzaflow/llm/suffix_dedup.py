@@ -5,8 +5,12 @@ with the least hash of GRAM words among the GAP + 1 positions of some stretch. E
 positions, so that any passage of `least` words that occurs twice has, in both places, a kept suffix within
 GAP words of its beginning, followed by least - GAP words of the passage: its head.
 
+A match of a suffix with its neighbour in the array extends from the head to the left and to the right. Only with the
+nearest neighbours compared, a partner with less on one side and more on the other would be missed; all extensions that
+reach `least` words are therefore compared, each once:
+
 1. Heads are counted by hash; suffixes whose head occurs once end there.
-2. Of the others' surroundings, each window of `least` words whose least hash stands at a shared head is
+2. Of the others' extensions, each window of `least` words whose least hash stands at a shared head is
    taken, once, as 96 bits of hash. Equal windows have equal least hashes, and so no repeated one is left out.
 3. Windows are sorted: range-partitioned by hash and document, so that even one very frequent passage spreads
    over tasks. Rows of a hash that another document also has are matches. The first and the last hash of a
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stanzaflow.llm.grouped import whole_groups
-from stanzaflow.llm.scratch import materialise
+from stanzaflow.llm.scratch import integer_key, materialise
 from stanzaflow.llm.words import U64, mix, runs, slices, sliding_min, text_bytes, within, word_hashes
 
 LEAST, GRAM, GAP = 50, 8, 17
@@ -76,7 +80,7 @@ def _windows(words: np.ndarray, at: np.ndarray, kept: np.ndarray, least: int) ->
 
 def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
     """key, start, end (words, end exclusive), other: maximal passages of `least` words that other keys hold."""
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = df.select(integer_key(df, key).alias("key"), F.col(text).alias("text"))
     docs = docs.filter(F.col("key").isNotNull() & (F.length("text") >= 2 * least - 1))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
