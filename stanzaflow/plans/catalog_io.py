@@ -68,7 +68,7 @@ def _(spark, d):
     path = folder(spark)
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role").orderBy("turn").coalesce(1)
     rows.write.option("header", True).csv(path)
-    return files.read_csv(spark, path, "conv_id long, turn int, role string", "conv_id")
+    return files.read_csv(spark, path, "conv_id long, turn long, role string", "conv_id")
 
 
 @query("io_export_tsv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
@@ -125,7 +125,7 @@ def _(spark, d):
     rows = table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
     book = json.loads(sinks.notebook("t", ["print(1)"], {str(r.n_nationkey): f"{r.n_name} é".encode() for r in rows}))
     packed = json.loads(book["cells"][1]["source"].split("in ", 1)[1].split(".items()")[0].replace("'", '"'))
-    return spark.createDataFrame([(int(k), v, len(book["cells"])) for k, v in packed.items()], "n_nationkey long, packed string, cells int")
+    return spark.createDataFrame([(int(k), v, len(book["cells"])) for k, v in packed.items()], "n_nationkey int, packed string, cells int")
 
 
 @query("io_presence", "SELECT TRUE AS there, FALSE AS missing, 'nation' AS first")
@@ -290,13 +290,14 @@ def _(spark, d):
 
 @query(
     "label_groups",
-    """SELECT (SELECT list(s ORDER BY s) FROM (SELECT source AS s FROM documents GROUP BY source HAVING arg_max(lang, doc_id) = 'en')) AS "group",
-  (SELECT list(s ORDER BY s) FROM (SELECT source AS s FROM documents GROUP BY source HAVING arg_max(lang, doc_id) IN ('de', 'fr'))) AS others""",
+    """SELECT (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT source AS s FROM documents GROUP BY source HAVING arg_max(lang, doc_id) = 'en')) AS "group",
+  (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT source AS s FROM documents GROUP BY source HAVING arg_max(lang, doc_id) IN ('de', 'fr'))) AS others""",
 )
 def _(spark, d):
     """Authors of two label sets, sorted and distinct."""
     authors = table(spark, d, "documents").groupBy("source").agg(F.max_by("lang", "doc_id").alias("label"))
-    return analyses.label_groups(authors, "source", {"group": {"en"}, "others": {"de", "fr"}})
+    groups = analyses.label_groups(authors, "source", {"group": {"en"}, "others": {"de", "fr"}})
+    return groups.select(*[F.array_join(c, ",").alias(c) for c in groups.columns])
 
 
 @query("offset_range", f"""WITH {_SECTIONS} SELECT doc_id, min("offset") AS first, max("offset") AS last, min(year) AS low, max(year) AS high FROM sec GROUP BY doc_id""")
