@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stanzaflow.operators import density, inference, probe
+from stanzaflow.plans import analyses
 
 
 def test_changepoint_and_short_series(spark):
@@ -90,3 +91,29 @@ def test_embedding_is_a_masked_mean(spark):
 
     got = probe.embed(spark.createDataFrame([("ac",), ("b",)], "t string"), "t", encoder).collect()
     assert [r.embedding for r in got] == [[98.0, 1.0], [98.0, 1.0]]
+
+
+#: A published yearly series (year, characters, weighted presence, control tokens) and its results.
+SERIES = [
+    (1884, 857, 0.85, 0), (1885, 537, 0.0, 2), (1886, 1270, 0.0, 7), (1887, 2826, 7.25, 6), (1889, 626, 0.0, 2), (1890, 495, 0.0, 3),
+    (1891, 793, 0.0, 1), (1894, 523, 0.0, 0), (1895, 2842, 3.6, 3), (1896, 1750, 0.8, 3), (1897, 2388, 1.0, 9), (1899, 948, 3.6, 4),
+    (1900, 1027, 2.7, 2), (1901, 2598, 0.8, 6), (1903, 2754, 0.8, 4), (1905, 776, 0.85, 3), (1907, 720, 2.8, 2), (1909, 3609, 3.55, 6),
+    (1910, 2387, 0.0, 2), (1911, 2209, 0.85, 5), (1912, 8379, 5.4, 22), (1913, 5675, 6.35, 10), (1914, 2198, 1.65, 4), (1915, 2346, 5.45, 10),
+    (1916, 7837, 10.95, 26), (1917, 20625, 10.0, 32),
+]
+SIGNAL_BY_ERA = {"pre": 0.10218241453261007, "rupture": 0.1306532663316583, "post": 0.07961296346980504}
+CONTROL_BY_ERA = {"pre": 0.2649173710104705, "rupture": 0.23450586264656617, "post": 0.21251589844316005}
+
+
+def test_published_series(spark):
+    rows = [(year, n, w, 100 * w / n, t) for year, n, w, t in SERIES]
+    df = spark.createDataFrame(rows, "year int, n_chars int, signal_weighted double, signal_density100 double, control_tokens int")
+    found = analyses.trajectory(df)
+    for table, want in (("eras", SIGNAL_BY_ERA), ("control", CONTROL_BY_ERA)):
+        got = found[table].first().asDict()
+        assert got == {f"{era}_density": pytest.approx(x, rel=1e-12) for era, x in want.items()}
+    assert found["changepoint"].first().changepoint == 1897
+    boot = inference.bootstrap_difference(df.filter("year <= 1894"), df.filter("year BETWEEN 1895 AND 1900"), ["year"], "signal_weighted", "n_chars", 2000).first()
+    assert boot.point == pytest.approx(0.028470851799048236) and abs(boot.lo + 0.0856) < 0.01 and abs(boot.hi - 0.2026) < 0.01 and abs(boot.p - 0.565) < 0.06
+    loose = inference.bootstrap_difference(df.filter("year <= 1894"), df.filter("year BETWEEN 1895 AND 1900"), ["year"], "signal_weighted", "n_chars", 2000, poisson=True).first()
+    assert loose.point == boot.point and abs(loose.lo - boot.lo) < 0.03 and abs(loose.hi - boot.hi) < 0.05

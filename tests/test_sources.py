@@ -4,7 +4,7 @@ import urllib.parse
 from pyspark.sql import functions as F
 
 from stanzaflow import schemas
-from stanzaflow.operators import lexicon as lx
+from stanzaflow.operators import lexicon as lx, selecting as sl
 from stanzaflow.plans.sample import CONTROL, KEEP, SIGNAL
 from stanzaflow.sources import files, sinks, web
 from stanzaflow.streaming.scoring import score_stream, windowed_density
@@ -97,3 +97,32 @@ def test_streamed_scores_equal_batch(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(str, batch.collect()))
     windows = windowed_density(batch, "ts", "2 hours", "1 hour").collect()
     assert sorted(r.units for r in windows) == [2, 2, 2]
+
+
+def test_an_interrupted_merge_loses_nothing(spark, tmp_path):
+    path, schema = f"{tmp_path}/rows", "k int, v string"
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], f"{schema}, seq long")
+    sinks.merge_jsonl(rows, path, schema, ["k"], "seq")
+    (tmp_path / "rows").rename(tmp_path / "rows.before")  # stopped between the two renamings
+    sinks.merge_jsonl(spark.createDataFrame([(2, "B", 3)], f"{schema}, seq long"), f"{path}/", schema, ["k"], "seq")
+    assert sorted(map(tuple, files.read_jsonl(spark, path, schema).collect())) == [(1, "a"), (2, "B")]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["rows"]
+
+
+def test_keyed_csv_and_lookups_take_the_last_row(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("poet,birth\n甲,1800\n乙,1810\n甲,1801\n")
+    meta = files.read_csv(spark, f"{tmp_path}/m.csv", "poet string, birth int", "poet")
+    assert sorted(map(tuple, meta.collect())) == [("乙", 1810), ("甲", 1801)]
+    left = spark.createDataFrame([("甲",), ("甲",), ("丙",), (None,)], "poet string")
+    twice = spark.createDataFrame([("甲", 1800, 2), ("甲", 1801, 1), (None, 7, 1)], "poet string, birth int, seq int")
+    got = sl.lookup(left, twice, "poet", {"birth": 0}, "seq").collect()
+    assert sorted((r.poet or "", r.birth) for r in got) == [("", 0), ("丙", 0), ("甲", 1800), ("甲", 1800)]
+    assert {r.birth for r in sl.lookup(left, twice.drop("seq"), "poet", {"birth": 0}).filter("poet = '甲'").collect()} == {1801}
+
+
+def test_books_by_query_and_trees_of_many_children(spark):
+    books = spark.createDataFrame([("x", 0, "abc"), ("x", 1, "a x"), ("y", 0, "abc"), ("y", 1, None), ("z", 0, None)], "query string, pos int, title string")
+    assert {r["query"]: r.title for r in sl.best_titles(books).collect()} == {"x": "a x", "y": "abc", "z": None}
+    assert sl.best_title(books.filter("query = 'x'").drop("query"), "bc").first().title == "abc"
+    edges = spark.createDataFrame([("a", "r", 5), ("b", "r", 999_999), ("c", "r", 1_000_000), ("d", "r", 12_345_678), ("e", "a", 0)], "urn string, parent string, pos long")
+    assert [r.urn for r in sl.tree_walk(edges, "r").orderBy("path").collect()] == ["r", "a", "e", "b", "c", "d"]
