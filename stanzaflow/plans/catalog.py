@@ -10,6 +10,7 @@ from stanzaflow.functions import numeric, text as tx
 from stanzaflow.operators import density as dn, inference, lexicon as lx, matching as mt, selecting as sl
 from stanzaflow.plans import analyses
 from stanzaflow.plans.sample import CONTROL, KEEP, SETTINGS, SIGNAL, UNITS, Sql, density, scored as scored_sql, units
+from stanzaflow.sources.files import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,7 +35,8 @@ def long(c: Column | str) -> Column:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def scored(spark: SparkSession, d: str, least: float = 0.8, **kw) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stanzaflow.operators.lexicon import Entry, Lexicon
+from stanzaflow.sources.files import spread
 
 KEEP = "A-Za-z"
 SIGNAL = Lexicon(
@@ -39,7 +40,7 @@ YEAR = "1600 + (doc_id * 37) % 351"
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with a year made of doc_id."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("year", F.expr(f"CAST({YEAR} AS INT)"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("year", F.expr(f"CAST({YEAR} AS INT)"))
 
 
 def _chain(name: str, source: str, text: str, lexicon: Lexicon, tag: str) -> str:

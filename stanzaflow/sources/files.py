@@ -32,6 +32,12 @@ def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew where it has fewer partitions than there are cores: a small table that was written in one piece."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether an optional input is there, on any file system that Spark reads."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
