@@ -39,7 +39,7 @@ BASE = 1 << BITS
 #: One of so many trusted documents gives thresholds instead of counts.
 HELD_OUT = 5
 #: n-grams that go to the documents; rows of a shard of the others; bytes of packed n-grams that a task should get.
-HEAD, SHARD_GRAMS, TASK_BYTES = 1 << 16, 1 << 20, 16 << 20
+HEAD, SHARD_GRAMS, TASK_BYTES = 1 << 16, 1 << 18, 4 << 20
 #: Text bytes in a chunk; different n-grams that a counting task holds before it sends them on.
 CHUNK_BYTES, HELD_GRAMS = 2 << 20, 1 << 21
 #: Keys of 8 bytes, and languages, that are broadcast at most; beyond, a shuffled join does the same.
@@ -154,8 +154,7 @@ def log_probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
             p = p.withColumn("suffix", _low(k - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
         # A context never seen leaves all to the lower order.
         kept = [c for c in wanted.columns if c in need.columns]
-        p = p.select(*kept, (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p"))
-        lower = materialise(p)
+        lower = p.select(*kept, (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p"))
     return lower.select("gram", "n", F.log("p").cast("float").alias("logp"))
 
 

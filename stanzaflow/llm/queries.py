@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stanzaflow.llm import decontam, knn, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity, window_dedup
 from stanzaflow.llm.scratch import bounded_batches
+from stanzaflow.sources.files import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "embeddings") else rows
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
