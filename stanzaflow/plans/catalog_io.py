@@ -175,7 +175,7 @@ def _(spark, d):
         answers[_asked(**query_)] = {"query": {"pages": {"1": {"links": [{"title": x} for x in by[1]]}}}, "continue": {"plcontinue": "2", "continue": "||"}}
         answers[_asked(**query_, plcontinue="2")] = {"query": {"pages": {"1": {"links": [{"title": x} for x in by[2]]}}}}
         answers[_asked(action="query", list="search", srsearch=title, srlimit=50, **_J)] = {"query": {"search": [{"title": x} for x in by[3]]}}
-    return web.read(spark, "wiki_links", titles, **_offline(answers))
+    return web.links(spark, titles, **_offline(answers))
 
 
 @query("web_prefix", "SELECT r_name AS title, (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1)::INTEGER AS seq, r_name || '/' || n_name AS page FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -14,7 +14,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -73,28 +73,43 @@ class _Pages(_Reader):
             raise RuntimeError(f"no page {title}")
 
 
-class _Links(_Reader):
-    """Titles linked from pages: expanded links, then paginated links, then search hits that name the page."""
+class _Shown(_Reader):
+    """Links of the main namespace that a page shows."""
 
     def read(self, partition: Item) -> Iterator[tuple]:
         _, title = partition.value
-        ask, seq = _transport(self.options).get, 0
-        prefix = self.options.get("prefix", "")
-        found = [x["*"] for x in ask({"action": "parse", "page": prefix + title, "prop": "links", "format": "json"}).get("parse", {}).get("links", []) if x.get("ns") == 0]
-        more: dict = {}
+        page = self.options.get("prefix", "") + title
+        answer = _transport(self.options).get({"action": "parse", "page": page, "prop": "links", "format": "json"})
+        shown = answer.get("parse", {}).get("links", [])
+        yield from ((title, pos, x["*"]) for pos, x in enumerate(x for x in shown if x.get("ns") == 0))
+
+
+class _Listed(_Reader):
+    """Links that a page's index lists, through at most `max_pages` answers."""
+
+    def answers(self, title: str) -> Iterator[dict]:
+        query = {"action": "query", "prop": "links", "titles": title, "plnamespace": 0, "pllimit": "max", "format": "json"}
+        ask, place = _transport(self.options).get, None
         for _ in range(int(self.options.get("max_pages", 20))):
-            query = {"action": "query", "prop": "links", "titles": prefix + title, "plnamespace": 0, "pllimit": "max", "format": "json"}
-            answer = ask(query | more)
-            for page in answer.get("query", {}).get("pages", {}).values():
-                found += [x["title"] for x in page.get("links", [])]
-            more = {k: v for k, v in answer.get("continue", {}).items() if k == "plcontinue"}
-            if not more:
-                break
-        hits = ask({"action": "query", "list": "search", "srsearch": title, "srlimit": 50, "format": "json"})
-        found += [x["title"] for x in hits.get("query", {}).get("search", []) if f"（{title}）" in x["title"] or f"({title})" in x["title"]]
-        for link in found:
-            yield title, seq, link
-            seq += 1
+            answer = ask(query if place is None else {**query, "plcontinue": place})
+            yield answer
+            place = answer.get("continue", {}).get("plcontinue")
+            if place is None:
+                return
+
+    def read(self, partition: Item) -> Iterator[tuple]:
+        _, title = partition.value
+        pages = (page for answer in self.answers(self.options.get("prefix", "") + title) for page in answer.get("query", {}).get("pages", {}).values())
+        yield from ((title, pos, x["title"]) for pos, x in enumerate(x for page in pages for x in page.get("links", [])))
+
+
+class _Found(_Reader):
+    """Titles that a search finds."""
+
+    def read(self, partition: Item) -> Iterator[tuple]:
+        _, title = partition.value
+        answer = _transport(self.options).get({"action": "query", "list": "search", "srsearch": title, "srlimit": int(self.options.get("hits", 50)), "format": "json"})
+        yield from ((title, pos, x["title"]) for pos, x in enumerate(answer.get("query", {}).get("search", [])))
 
 
 class _Prefixed(_Reader):
@@ -120,11 +135,13 @@ class _Books(_Reader):
 
 
 class _Tree(_Reader):
-    """Edges and passages of a work: level by level from each root; a node that is its own child isn't followed."""
+    """Edges and passages of a work: level by level from each root, at most `most_children` of a node; a node that is
+    its own child isn't followed."""
 
     def read(self, partition: Item) -> Iterator[tuple]:
         _, root = partition.value
         ask, queue, seen = _transport(self.options).get, [root], {root}
+        most = int(self.options.get("most_children", 200))
         for urn in queue:
             answer = ask({"urn": urn})
             for key in ("fulltext", "text"):
@@ -133,7 +150,7 @@ class _Tree(_Reader):
                         if isinstance(passage, str):
                             yield root, urn, None, pos, passage
             children = answer.get("subsections") or answer.get("chapters") or []
-            for pos, child in enumerate(children[:200] if isinstance(children, list) else []):
+            for pos, child in enumerate(children[:most] if isinstance(children, list) else []):
                 child = child if isinstance(child, str) else child.get("urn")
                 if child and child != urn:
                     yield root, child, urn, pos, None
@@ -159,7 +176,9 @@ def _source(kind: str, columns: str, reader: type) -> type[DataSource]:
 
 SOURCES = [
     _source("wiki_pages", "title string, wikitext string", _Pages),
-    _source("wiki_links", "title string, seq int, link string", _Links),
+    _source("wiki_shown", "title string, pos int, link string", _Shown),
+    _source("wiki_listed", "title string, pos int, link string", _Listed),
+    _source("wiki_found", "title string, pos int, link string", _Found),
     _source("wiki_prefix", "title string, seq int, page string", _Prefixed),
     _source("text_books", "query string, pos int, title string, urn string", _Books),
     _source("text_tree", "root string, urn string, parent string, pos int, passage string", _Tree),
@@ -171,3 +190,15 @@ def read(spark: SparkSession, kind: str, titles: list[str], **options: str) -> D
     for source in SOURCES:
         spark.dataSource.register(source)
     return spark.read.format(kind).options(titles=json.dumps(titles), **options).load()
+
+
+def links(spark: SparkSession, titles: list[str], **options: str) -> DataFrame:
+    """title, seq, link of pages: shown links, then listed ones, then finds that name the page in brackets; repeats stay."""
+    finds = read(spark, "wiki_found", titles, **options)
+    named = finds.filter(F.contains("link", F.concat(F.lit("（"), "title", F.lit("）"))) | F.contains("link", F.concat(F.lit("("), "title", F.lit(")"))))
+    parts = [read(spark, "wiki_shown", titles, **options), read(spark, "wiki_listed", titles, **options), named]
+    every = parts[0].withColumn("step", F.lit(0))
+    for step, part in enumerate(parts[1:], 1):
+        every = every.unionByName(part.withColumn("step", F.lit(step)))
+    seq = F.row_number().over(Window.partitionBy("title").orderBy("step", "pos")) - 1
+    return every.select("title", seq.alias("seq"), "link")

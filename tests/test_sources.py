@@ -78,7 +78,7 @@ def test_web_sources_from_files(spark):
     }
     how = {"transport": "stanzaflow.sources.web.FileTransport", "answers": json.dumps(answers)}
     assert [tuple(r) for r in web.read(spark, "wiki_pages", ["p", "missing"], **how).collect()] == [("p", "text")]
-    links = web.read(spark, "wiki_links", ["甲"], prefix="作者:", **how).orderBy("seq").collect()
+    links = web.links(spark, ["甲"], prefix="作者:", **how).orderBy("seq").collect()
     assert [r.link for r in links] == ["a", "b", "a", "d（甲）"]
     assert web.read(spark, "wiki_prefix", ["g"], **how).first().page == "g/1"
     assert web.read(spark, "text_books", ["t"], **how).first().urn == "u"
@@ -126,3 +126,9 @@ def test_books_by_query_and_trees_of_many_children(spark):
     assert sl.best_title(books.filter("query = 'x'").drop("query"), "bc").first().title == "abc"
     edges = spark.createDataFrame([("a", "r", 5), ("b", "r", 999_999), ("c", "r", 1_000_000), ("d", "r", 12_345_678), ("e", "a", 0)], "urn string, parent string, pos long")
     assert [r.urn for r in sl.tree_walk(edges, "r").orderBy("path").collect()] == ["r", "a", "e", "b", "c", "d"]
+
+
+def test_a_small_table_is_dealt_over_all_cores(spark):
+    rows = spark.range(100, numPartitions=1)
+    assert files.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and files.spread(rows).count() == 100
+    assert files.spread(spark.range(100, numPartitions=64)).rdd.getNumPartitions() == 64
