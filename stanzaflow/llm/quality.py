@@ -39,7 +39,7 @@ BASE = 1 << BITS
 #: One of so many trusted documents gives thresholds instead of counts.
 HELD_OUT = 5
 #: n-grams that go to the documents; rows of a shard of the others; bytes of packed n-grams that a task should get.
-HEAD, SHARD_GRAMS, TASK_BYTES = 1 << 16, 1 << 18, 4 << 20
+HEAD, SHARD_GRAMS, TASK_BYTES = 1 << 16, 1 << 19, 8 << 20
 #: Text bytes in a chunk; different n-grams that a counting task holds before it sends them on.
 CHUNK_BYTES, HELD_GRAMS = 2 << 20, 1 << 21
 #: Keys of 8 bytes, and languages, that are broadcast at most; beyond, a shuffled join does the same.
@@ -154,7 +154,8 @@ def log_probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
             p = p.withColumn("suffix", _low(k - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
         # A context never seen leaves all to the lower order.
         kept = [c for c in wanted.columns if c in need.columns]
-        lower = p.select(*kept, (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p"))
+        p = p.select(*kept, (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("below")).alias("p"))
+        lower = materialise(p)
     return lower.select("gram", "n", F.log("p").cast("float").alias("logp"))
 
 
@@ -243,15 +244,16 @@ def perplexities(docs: DataFrame, model: DataFrame, head: int = HEAD, shard_gram
     own, sent = met.filter("shard IS NULL").select("key", "lang", "chunk", "row", "total", "n"), met.filter("shard IS NOT NULL")
     size = sent.agg(F.sum(F.length("packed"))).first()[0] or 0
     replicas = max(1, -(-size // (shards * task_bytes)))
-    blank = {"logp": F.lit(None).cast("float"), "chunk": F.lit(None).cast("long"), "packed": F.lit(None).cast("binary"), "sizes": F.lit(None).cast("array<int>")}
+    # The model's shards are packed once; copies of these few rows go to the replicas.
+    table = rest.select((F.col("gram") % _PRIME % shards).alias("shard"), "gram", "logp").repartition(shards, "shard")
+    table = materialise(table.mapInArrow(_pack_shards, "shard long, packed binary, sizes array<int>"))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicas - 1).cast("long")))
-    table = rest.select((F.col("gram") % _PRIME % shards).alias("shard"), copies.alias("replica"), F.lit(0).alias("late"), "gram", "logp", *[blank[c].alias(c) for c in ("chunk", "packed", "sizes")])
-    asked = sent.select(
-        "shard", F.pmod("chunk", F.lit(replicas)).cast("long").alias("replica"), F.lit(1).alias("late"), F.lit(None).cast("long").alias("gram"), blank["logp"].alias("logp"), "chunk", "packed", "sizes"
-    )
+    table = table.select("shard", copies.alias("replica"), F.lit(0).alias("late"), F.lit(0).cast("long").alias("chunk"), "packed", "sizes")
+    own_replica = F.pmod("chunk", F.lit(replicas)).cast("long").alias("replica")
+    asked = sent.select("shard", own_replica, F.lit(1).alias("late"), "chunk", "packed", "sizes")
     by = ["shard", "replica"]
     # More partitions than groups, so that few groups share one.
-    dealt = table.union(asked).repartition(4 * shards * replicas, *by).sortWithinPartitions(*by, "late", "gram")
+    dealt = table.union(asked).repartition(4 * shards * replicas, *by).sortWithinPartitions(*by, "late")
     parts = dealt.mapInArrow(_answer, "chunk long, row int, part double")
     parts = parts.groupBy("chunk", "row").agg(F.sum("part").alias("part"))
     whole = own.join(parts, ["chunk", "row"], "left").withColumn("total", F.col("total") + F.coalesce("part", F.lit(0.0)))
@@ -261,32 +263,37 @@ def perplexities(docs: DataFrame, model: DataFrame, head: int = HEAD, shard_gram
 _FIELDS = ["key", "lang", "chunk", "row", "total", "n", "shard", "packed", "sizes"]
 
 
+def _pack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's shards of the model (shard, gram, logp), each packed by ascending n-grams."""
+    held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    if held:
+        shard, gram, logp = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((gram, shard))
+        shard, gram, logp = shard[order], gram[order], logp[order]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
+            packed = [np.diff(gram[a:b], prepend=0).astype("<u8"), logp[a:b].astype("<f4")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[a : a + 1]), pa.array([_pack(packed)], pa.binary()), pa.array([[b - a, b - a]], pa.list_(pa.int32()))], ["shard", "packed", "sizes"]
+            )
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows of the model, then packed n-grams, by shard and replica: sums by chunk and row."""
-    at, grams, logps, ready = None, [], [], None
+    """From packed shards of the model, then packed n-grams, by shard and replica: sums by chunk and row."""
+    at, grams, logps = None, np.zeros(0, np.int64), np.zeros(0)
     for batch in batches:
-        shard, replica, late = (batch.column(c).to_numpy() for c in range(3))
-        cuts = np.flatnonzero(np.diff(shard) | np.diff(replica) | np.diff(late)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(shard)], strict=True):
-            if a == b:
+        for shard, replica, late, chunk, packed, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (shard, replica) != at:
+                at, grams, logps = (shard, replica), np.zeros(0, np.int64), np.zeros(0)
+            if not late:
+                step, logps = _unpack(packed, sizes, ["<u8", "<f4"])
+                grams = np.cumsum(step).astype(np.int64)
                 continue
-            if (shard[a], replica[a]) != at:
-                at, grams, logps, ready = (shard[a], replica[a]), [], [], None
-            if not late[a]:
-                grams.append(batch.column(3)[a:b].to_numpy())
-                logps.append(batch.column(4)[a:b].to_numpy())
-                continue
-            if ready is None:
-                ready = [np.concatenate(x) if x else np.zeros(0) for x in (grams, logps)]
-            for i in range(a, b):
-                step, owners, row, often = _unpack(batch.column(6)[i].as_py(), batch.column(7)[i].as_py(), _TYPES)
-                each = np.cumsum(step).astype(np.int64)
-                logp = ready[1][np.searchsorted(ready[0], each)].astype(float)  # each n-gram of a document is in the model
-                part = np.bincount(row, np.repeat(logp, owners) * often)
-                who = np.flatnonzero(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(who), batch.column(5)[i].as_py())), pa.array(who.astype(np.int32)), pa.array(part[who])], ["chunk", "row", "part"]
-                )
+            step, owners, row, often = _unpack(packed, sizes, _TYPES)
+            logp = logps[np.searchsorted(grams, np.cumsum(step).astype(np.int64))].astype(float)  # every n-gram is in the model
+            part = np.bincount(row, np.repeat(logp, owners) * often)
+            who = np.flatnonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), chunk)), pa.array(who.astype(np.int32)), pa.array(part[who])], ["chunk", "row", "part"])
 
 
 def held_out(key: Column) -> Column:
