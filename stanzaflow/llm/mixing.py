@@ -100,6 +100,12 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return levelled.select("source", "place", "source_size", target.alias("target"))
 
 
+def draw(*parts: Column) -> Column:
+    """60 bits of an MD5 of parts, nulls left out: the same in another engine."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def block_size(targets: DataFrame) -> int:
     """BLOCK, or less where the smallest target would have few blocks; never under one token."""
     least = targets.filter("target > 0").agg(F.min("target")).first()[0]
@@ -114,7 +120,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 0, block: in
         targets = F.broadcast(targets)
     n_shards = F.least(F.ceil(F.col("source_size") / F.lit(float(shard))), F.lit(MOST_SHARDS))
     placed = sizes.join(targets, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.greatest(n_shards, F.lit(1))))
+    placed = placed.withColumn("shard", draw(F.lit(seed), F.col(key)) % F.greatest(n_shards, F.lit(1)))
 
     def seats_of_sources(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
@@ -135,13 +141,13 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str, seed: int = 0, block: in
     quotas = shards.join(seats, "place").groupBy("place").applyInPandas(
         seats_of_shards, "place int, shard long, shard_size long, quota long"
     )
-    stream = Window.partitionBy("place", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key, "size")
+    stream = Window.partitionBy("place", "shard").orderBy(draw(F.lit(seed + 1), F.col(key)), key, "size")
     placed = placed.withColumn("finish", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["place", "shard"])
     length = F.lit(block).cast("long")
     blocks = F.greatest(F.ceil(F.col("shard_size") / F.lit(float(block))), F.lit(1))
     quota = F.col("quota")
-    offset = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("place"), F.col("shard")), blocks)
+    offset = draw(F.lit(seed + 2), F.col("place"), F.col("shard")) % blocks
 
     def div(a: Column, b: Column) -> Column:
         return F.call_function("div", a, b)

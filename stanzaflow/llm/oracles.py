@@ -61,6 +61,34 @@ WITH s AS MATERIALIZED (
   FROM (SELECT item_id, {_SHINGLES} AS h FROM (SELECT item_id, {_WORDS.format("lower(text)")} AS w FROM benchmark))
 ), c AS (SELECT doc_id, item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_shared FROM s JOIN q USING (h) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c WHERE 100 * n_shared >= 80 * n_item
+""",
+    "op8_mixing": f"""
+WITH w AS MATERIALIZED (SELECT doc_id, source, len({_WORDS.format("text")})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM w GROUP BY source),
+p AS (SELECT *, ([5, 2, 1][place % 3 + 1])::DOUBLE AS weight, 2::DOUBLE * source_size AS lim FROM s),
+l AS MATERIALIZED (SELECT *, lim / weight AS ratio,
+    (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(lim) OVER (ORDER BY lim / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY lim / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM p),
+t AS MATERIALIZED (SELECT source, place, source_size, coalesce(least(lim, (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1) * weight), lim) AS target,
+    least(greatest(ceil(source_size / 262144::DOUBLE), 1), 65536)::BIGINT AS shards FROM l),
+b AS (SELECT coalesce(greatest(1, least(16, floor(min(target) / 16))), 16)::BIGINT AS block FROM t WHERE target > 0),
+q AS (SELECT place, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, place) AS r
+  FROM (SELECT place, target, unnest(range(0, (2 * target / block)::BIGINT + 2)) AS j FROM t, b WHERE target > 0)),
+seats AS (SELECT place, count(*) AS seats FROM q WHERE r <= (SELECT round_even(sum(target) / any_value(block), 0) FROM t, b) GROUP BY place),
+d AS MATERIALIZED (SELECT doc_id, size, source_size, target, place, ('0x' || substr(md5(concat_ws('|', 0, doc_id)), 1, 15))::BIGINT % shards AS shard,
+    ('0x' || substr(md5(concat_ws('|', 1, doc_id)), 1, 15))::BIGINT AS h FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source),
+c AS MATERIALIZED (SELECT place, shard, sum(size)::BIGINT AS shard_size, greatest(ceil(sum(size) / any_value(block)::DOUBLE), 1)::BIGINT AS blocks FROM d, b GROUP BY ALL),
+g AS (SELECT place, shard, count(*) FILTER (r <= seats) AS quota FROM (
+    SELECT place, shard, row_number() OVER (PARTITION BY place ORDER BY shard_size::DOUBLE / (2 * j + 1) DESC, shard) AS r
+    FROM (SELECT *, unnest(range(0, 2 * blocks)) AS j FROM c WHERE shard_size > 0)) JOIN seats USING (place) GROUP BY place, shard),
+m AS (SELECT d.*, blocks, block, coalesce(quota, 0) AS quota, ('0x' || substr(md5(concat_ws('|', 2, place, shard)), 1, 15))::BIGINT % blocks AS off,
+    (sum(size) OVER (PARTITION BY place, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS finish
+  FROM d JOIN c USING (place, shard) LEFT JOIN g USING (place, shard), b),
+x AS (SELECT *, least(finish // block, blocks - 1) AS n1, least((finish - size) // block, blocks - 1) AS n0 FROM m)
+SELECT doc_id, size, source_size, target, (
+    block * ((n1 * quota + off) // blocks) + (((n1 + 1) * quota + off) // blocks - (n1 * quota + off) // blocks) * (finish - n1 * block)
+  - block * ((n0 * quota + off) // blocks) - (((n0 + 1) * quota + off) // blocks - (n0 * quota + off) // blocks) * (finish - size - n0 * block))::BIGINT AS taken
+FROM x
 """,
     "op10_topk": """
 WITH v AS (
