@@ -40,7 +40,8 @@ def curve(scored: DataFrame, year: str = "year") -> DataFrame:
 
 
 def yearly(scored: DataFrame, author: str = "author", year: str = "year") -> DataFrame:
-    """Rows of schemas.YEARLY by year: densities of each unit with three decimals, its signal entries joined by `;`."""
+    """The lines of a file of schemas.YEARLY by year: densities of each unit as text with three decimals, its signal
+    entries in first-hit order joined by `;`."""
     return scored.select(
         F.col(author).alias("author"), F.col(year).alias("year"), "n_chars", fixed(F.col("signal_density100")).alias("loyalist_density100"),
         fixed(F.col("control_density100")).alias("control_density100"), F.array_join("signal_entries", ";").alias("loyalist_entries"),
