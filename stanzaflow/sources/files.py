@@ -32,10 +32,14 @@ def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
 
 
+#: Bytes of files up to which a table is dealt over all cores.
+SMALL = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt anew where it has fewer partitions than there are cores: a small table that was written in one piece."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """df, dealt over all cores if its files are SMALL: they may have been written in one piece, which one core would read."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -128,7 +128,9 @@ def test_books_by_query_and_trees_of_many_children(spark):
     assert [r.urn for r in sl.tree_walk(edges, "r").orderBy("path").collect()] == ["r", "a", "e", "b", "c", "d"]
 
 
-def test_a_small_table_is_dealt_over_all_cores(spark):
-    rows = spark.range(100, numPartitions=1)
+def test_a_small_table_is_dealt_over_all_cores(spark, tmp_path, monkeypatch):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
     assert files.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and files.spread(rows).count() == 100
-    assert files.spread(spark.range(100, numPartitions=64)).rdd.getNumPartitions() == 64
+    monkeypatch.setattr(files, "SMALL", 10)
+    assert files.spread(rows).rdd.getNumPartitions() == 1
