@@ -38,7 +38,7 @@ SMALL = 64 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt over all cores if its files are SMALL: they may have been written in one piece, which one core would read."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
