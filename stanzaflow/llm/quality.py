@@ -245,7 +245,7 @@ def perplexities(docs: DataFrame, model: DataFrame, head: int = HEAD, shard_gram
     size = sent.agg(F.sum(F.length("packed"))).first()[0] or 0
     replicas = max(1, -(-size // (shards * task_bytes)))
     # The model's shards are packed once; copies of these few rows go to the replicas.
-    table = rest.select((F.col("gram") % _PRIME % shards).alias("shard"), "gram", "logp").repartition(shards, "shard")
+    table = rest.select((F.col("gram") % _PRIME % shards).alias("shard"), "gram", "logp").repartition(4 * shards, "shard")
     table = materialise(table.mapInArrow(_pack_shards, "shard long, packed binary, sizes array<int>"))
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicas - 1).cast("long")))
     table = table.select("shard", copies.alias("replica"), F.lit(0).alias("late"), F.lit(0).cast("long").alias("chunk"), "packed", "sizes")
