@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stanzaflow.llm import decontam, knn, mixing, near_dedup, pii, quality, secrets, suffix_dedup, toxicity, window_dedup
+from stanzaflow.llm import decontam, knn, mixing, near_dedup, packing, pii, quality, secrets, suffix_dedup, toxicity, window_dedup
 from stanzaflow.llm.scratch import bounded_batches
 from stanzaflow.sources.files import spread
 
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name in ("documents", "embeddings") else rows
 
 
+def _plain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": lambda spark, d: secrets.op1(_table(spark, d, "documents")),
@@ -28,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": lambda spark, d: mixing.op8(_table(spark, d, "documents")),
         "op9_pii": lambda spark, d: pii.op9(_table(spark, d, "documents")),
         "op10_topk": lambda spark, d: knn.op10(_table(spark, d, "embeddings")),
+        "op11_packing": lambda spark, d: packing.op11(_plain(spark, d, "documents"), _word_bpe()),
     }
 
 
