@@ -106,5 +106,61 @@ WITH v AS (
   FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op12_spelling": """
+WITH RECURSIVE step(i, c, b) AS (
+  SELECT i, i, 0 FROM range(16) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b + 1 FROM step WHERE b < 4
+), crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM step WHERE b = 4),
+r AS MATERIALIZED (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM (
+    SELECT doc_id, run, count(*) AS n FROM (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+      FROM documents) GROUP BY ALL)
+), h AS MATERIALIZED (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x) + 1), lambda i:
+      (strpos('0123456789ABCDEF', substr(x, CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END, 1)) - 1)::BIGINT)),
+      lambda c, v: xor(c >> 4, t[(xor(c, v) & 15) + 1])), 4294967295) AS h
+  FROM r, crc
+), w AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5
+), i AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, i) || '?' || substr(word, i + 2) AS hole, substr(word, 1, i) || substr(word, i + 2) AS less
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n FROM i a JOIN i b USING (hole) WHERE a.word <> b.word
+  UNION SELECT i.word, w.word, w.n FROM i JOIN w ON i.less = w.word
+  UNION SELECT w.word, i.word, i.n FROM i JOIN w ON i.less = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, (list(near ORDER BY n DESC, near))[1] AS near FROM near GROUP BY word
+), f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN near END AS form, CASE WHEN most >= 5 * w.n THEN most END AS form_n
+  FROM w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, coalesce(form, word) AS at FROM f UNION SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL
+), root AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN root USING (word)
+""",
+    "op13_hard_negatives": """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id::BIGINT AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS MATERIALIZED (SELECT row_number() OVER () AS a, * FROM (SELECT DISTINCT id, label, e FROM v WHERE id % 100 = 0)),
+s AS MATERIALIZED (
+  SELECT a.a, a.id AS anchor_id, v.id, v.label = a.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM a JOIN v ON v.id <> a.id AND len(v.e) = len(a.e)
+), p AS (
+  SELECT a, anchor_id, id AS positive_id, score AS positive_score, place
+  FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS place FROM s WHERE same) WHERE place <= 5
+), n AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.a, place ORDER BY s.score DESC, s.id)::INTEGER AS rank,
+         s.id AS negative_id, positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT * FROM n WHERE rank <= 10
 """,
 }

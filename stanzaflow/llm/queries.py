@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stanzaflow.llm import decontam, knn, mixing, near_dedup, packing, pii, quality, secrets, suffix_dedup, toxicity, window_dedup
+from stanzaflow.llm import decontam, knn, mixing, near_dedup, negatives, packing, pii, quality, secrets, spelling, suffix_dedup, toxicity, window_dedup
 from stanzaflow.llm.scratch import bounded_batches
 from stanzaflow.sources.files import spread
 
@@ -39,6 +39,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": lambda spark, d: pii.op9(_table(spark, d, "documents")),
         "op10_topk": lambda spark, d: knn.op10(_table(spark, d, "embeddings")),
         "op11_packing": lambda spark, d: packing.op11(_plain(spark, d, "documents"), _word_bpe()),
+        "op12_spelling": lambda spark, d: spelling.op12(_plain(spark, d, "documents")),
+        "op13_hard_negatives": lambda spark, d: negatives.op13(_plain(spark, d, "embeddings")),
     }
 
 
