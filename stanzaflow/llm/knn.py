@@ -26,18 +26,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from stanzaflow.llm import dense
+from stanzaflow.llm.dense import EXACT, Best, by_length
 from stanzaflow.llm.scratch import integer_key, materialise
 
 #: Rows that pivots and sure scores come from, and pivots; these only steer the cost.
 SAMPLE, PIVOTS, RINGS = 2048, 48, 4
-#: Data and queries that meet in one local solve, at most (2 x 64 components x 8 bytes: some MB).
+#: Data and queries that meet in one local solve, at most: some MB of vectors, and scores in slices (see dense).
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
 #: Components are multiplied by this and rounded down.
 FACTOR = 1024
-#: Scaled components below this are exact as doubles and as 64-bit integers.
-EXACT = float(1 << 53)
-#: Bytes of a score that doesn't fit into 64 bits, whose components are below 2^1034.
-_WIDE = 280
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -69,58 +67,12 @@ def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cell, np.sqrt(((rows - centres[cell]) ** 2).sum(1))
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and matrix of each vector length in a batch (id, v)."""
-    v = batch.column(1)
-    lengths = v.value_lengths().to_numpy(zero_copy_only=False)
-    flat, at = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
-    for n in np.unique(lengths):
-        own = np.flatnonzero(lengths == n)
-        yield own, flat[at[own][:, None] + np.arange(n)[None]]
-
-
 def floors(rows: np.ndarray) -> np.ndarray:
-    """floor(FACTOR * x), exact as a double unless that is too large for one."""
-    with np.errstate(over="ignore"):
-        return np.floor(FACTOR * rows)
-
-
-def _whole(rows: np.ndarray) -> np.ndarray:
-    """floor(FACTOR * x) in unbounded integers. Doubles from 2^53 on are whole numbers themselves."""
-    out = [int(x) * FACTOR if abs(x) >= EXACT else int(np.floor(FACTOR * x)) for x in rows.ravel().tolist()]
-    return np.array(out, object).reshape(rows.shape)
+    return dense.floors(rows, FACTOR)
 
 
 def products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Integer inner products of vectors scaled by FACTOR, in doubles where these are exact, else in 64-bit or unbounded integers."""
-    q, d = floors(queries), floors(data)
-    high, wide = np.abs(q).max(initial=0), np.abs(d).max(initial=0)
-    if max(high, wide) < EXACT:
-        most = int(high) * int(wide) * max(1, d.shape[1])
-        if most < 1 << 53:
-            return (q @ d.T).astype(np.int64)
-        if most < 1 << 62:
-            return q.astype(np.int64) @ d.astype(np.int64).T
-    return _whole(queries) @ _whole(data).T
-
-
-def _clipped(score: np.ndarray) -> tuple[np.ndarray, list]:
-    """Scores as 64-bit integers; those at an end of their range also as bytes in their order, others None."""
-    ends = (-(1 << 63), (1 << 63) - 1)
-    if score.dtype != object:
-        return score, [None] * len(score)
-    bytes_ = [None if ends[0] < s < ends[1] else (int(s) + (1 << 8 * _WIDE - 1)).to_bytes(_WIDE, "big") for s in score]
-    return np.clip(score, *ends).astype(np.int64), bytes_
-
-
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids, descending."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        place = np.flatnonzero(score >= least)
-    else:
-        place = np.arange(len(score))
-    return place[np.lexsort((ids[place], -score[place]))][:k]
+    return dense.products(queries, data, FACTOR)
 
 
 @dataclass
@@ -211,7 +163,7 @@ def replicated(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(batch.num_rows, t) for t in (np.int32, np.int32, float, float)]
-            for own, rows in _rows(batch):
+            for own, rows in by_length(batch.column(1)):
                 for column, found in zip(out, cells.place(rows), strict=True):
                     column[own] = found
             yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in out], *batch.columns], ["cell", "ring", "along", "across", "id", "v"])
@@ -228,7 +180,7 @@ def replicated(data: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for own, rows in _rows(batch):
+            for own, rows in by_length(batch.column(1)):
                 which, where = cells.wanted(ids[own], rows, k)
                 at = pa.array(own[which])
                 yield pa.RecordBatch.from_arrays([pa.array(where), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "id", "v"])
@@ -257,20 +209,15 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS
     # A block of data meets a block of queries; a cell that no query asks for goes nowhere.
     left = placed.filter(F.col("cell").isin(list(asked))).select("cell", part(blocks).alias("b"), every(asked).alias("a"), "id", "v")
     right = sent.select("cell", every(blocks).alias("b"), part(asked).alias("a"), "id", "v")
-    nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64").assign(wide=None)
 
     def solve(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        best, asked = Best(len(theirs), k), theirs["id"].to_numpy()
         if len(mine) and len(theirs):
             ids, rows = mine["id"].to_numpy(), np.array(mine["v"].tolist(), float)
-            score = products(np.array(theirs["v"].tolist(), float), rows)
-            for q, row in zip(theirs["id"], score, strict=True):
-                other = np.flatnonzero(ids != q)
-                best = other[_best(row[other], ids[other], k)]
-                if len(best):
-                    clipped, wide = _clipped(row[best])
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": clipped, "wide": pd.Series(wide, dtype=object)}))
-        return pd.concat(out) if out else nothing
+            for q, d, score in dense.score_blocks(np.array(theirs["v"].tolist(), float), rows, FACTOR):
+                best.add(q, ids[d], score, asked[q][:, None] != ids[d][None])
+        row, ids, score, wide = best.found()
+        return pd.DataFrame({"query_id": asked[row], "vec_id": ids, "score": score, "wide": pd.Series(wide, dtype=object)})
 
     local = left.groupBy("cell", "b", "a").cogroup(right.groupBy("cell", "b", "a")).applyInPandas(
         solve, "query_id long, vec_id long, score long, wide binary"
