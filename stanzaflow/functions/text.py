@@ -52,26 +52,30 @@ def clean_markup(text: Column) -> Column:
 
 
 def fixed(x: Column, places: int = 3) -> Column:
-    """A number below 2^18 with three or fewer decimals, rounding its exact binary value half to even.
+    """A number with three or fewer decimals, rounding its exact binary value half to even; `nan`, `inf` and `-inf` by name.
 
-    The value is taken apart into two whole numbers of 44 bits behind the point each, which keeps every bit of
-    numbers down to 2^-35; the remainder is compared with one half in whole numbers.
+    The fraction, which a double holds apart from its whole part without loss, is taken as two whole numbers of 44 bits
+    behind the point each: every bit down to 2^-88. What remains is compared with one half in whole numbers. From 9 x 10^18 on, where no
+    fraction is left, the shortest digits that name the double are followed by zeros.
     """
-    unit, size = 1 << 44, F.abs(x)
-    scaled = size * float(unit)
+    unit, half, size = 1 << 44, 1 << 43, F.abs(x)
+    calm = F.when(size < 9e18, size)
+    whole = calm.cast("long")
+    scaled = (calm - whole.cast("double")) * float(unit)
     high = F.floor(scaled)
     low = F.floor((scaled - high) * float(unit))
-    wide = high.cast("decimal(20,0)") * F.lit(10**places).cast("decimal(8,0)")
-    quotient = F.floor(wide / F.lit(unit).cast("decimal(15,0)")).cast("long")
-    rest = (wide - quotient.cast("decimal(20,0)") * F.lit(unit).cast("decimal(15,0)")).cast("long")
-    carried = low * 10**places
-    rest = rest + F.call_function("div", carried, F.lit(unit))
+    wide, carried = high * 10**places, low * 10**places
+    rest = wide % unit + F.call_function("div", carried, F.lit(unit))
     below = carried % unit
-    whole = quotient + (rest >= unit).cast("long")
+    n = F.call_function("div", wide, F.lit(unit)) + F.call_function("div", rest, F.lit(unit))
     rest = rest % unit
-    half = unit // 2
-    up = (rest > half) | ((rest == half) & ((below > 0) | (whole % 2 == 1)))
-    n = (whole + up.cast("long")).cast("string")
-    text = F.lpad(n, F.greatest(F.length(n), F.lit(places + 1)), F.lit("0"))
-    text = F.concat(F.substr(text, F.lit(1), F.length(text) - places), F.lit("."), F.right(text, F.lit(places)))
-    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    odd = (n + whole % 2 * 10**places) % 2 == 1
+    up = (rest > half) | ((rest == half) & ((below > 0) | odd))
+    n = n + up.cast("long")
+    over = n >= 10**places
+    digits = (whole + over.cast("long")).cast("string")
+    behind = F.lpad((n - F.when(over, 10**places).otherwise(0)).cast("string"), places, "0")
+    text = F.concat(digits, F.lit("."), behind) if places else digits
+    huge = F.format_string(f"%.{places}f", size)
+    text = F.when(size.isNull(), None).when(F.isnan(size), "nan").when(size == float("inf"), "inf").when(size >= 9e18, huge).otherwise(text)
+    return F.when(((x < 0) | (x.cast("string") == "-0.0")) & ~F.isnan(x), F.concat(F.lit("-"), text)).otherwise(text)

@@ -17,6 +17,9 @@ ERAS = {
     "crosssource": [("mid", 1700, 1860), ("rupture", 1894, None), ("single_rupture", 1895, 1900), ("single_post", 1901, None)],
 }
 
+#: Intervals that are broadcast, at most.
+BROADCAST_INTERVALS = 10_000
+
 
 def era_table(spark: SparkSession, eras: list[tuple[str, int | None, int | None]]) -> DataFrame:
     """era, low, high with open ends filled."""
@@ -24,8 +27,27 @@ def era_table(spark: SparkSession, eras: list[tuple[str, int | None, int | None]
 
 
 def in_eras(df: DataFrame, year: str, eras: DataFrame) -> DataFrame:
-    """df once for each era that holds its year. Eras are a definition: a few literal rows, broadcast."""
-    return df.join(F.broadcast(eras), F.col(year).between(F.col("low"), F.col("high"))).drop("low", "high")
+    """df once for each era that holds its year, bounds inclusive."""
+    return in_intervals(df, year, eras)
+
+
+def in_intervals(df: DataFrame, point: str, intervals: DataFrame, broadcast_rows: int = BROADCAST_INTERVALS) -> DataFrame:
+    """df once for each interval (low, high, ..: whole numbers, inclusive) that holds its point, with the interval's other columns.
+
+    A few intervals, which are counted, are broadcast. More meet the points by equality of bins: an interval lies in one or two bins of the least
+    power of two that is as long as itself, and a point looks into one bin of each of those sizes that are in use, at most 64.
+    """
+    few = intervals.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if few:
+        return df.join(F.broadcast(intervals), F.col(point).between(F.col("low"), F.col("high"))).drop("low", "high")
+    level = F.least(F.lit(62), F.ceil(F.log2(F.col("high").cast("double") - F.col("low").cast("double") + 1)).cast("int"))
+    right = intervals.filter("low <= high").withColumn("_level", level)
+    levels = [r[0] for r in right.select("_level").distinct().collect()]  # at most 63 numbers
+    shift = lambda x: F.call_function("shiftright", F.col(x).cast("long"), F.col("_level"))
+    right = right.withColumn("_bin", F.explode(F.sequence(shift("low"), shift("high"))))
+    left = df.filter(F.col(point).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>"))).withColumn("_bin", shift(point))
+    met = left.join(right, ["_level", "_bin"]).filter(F.col(point).between(F.col("low"), F.col("high")))
+    return met.drop("_level", "_bin", "low", "high")
 
 
 def era_columns(eras: list[tuple[str, int | None, int | None]], year: str, num: str, den: str) -> list[Column]:

@@ -1,16 +1,30 @@
 """Resampling and segmentation inference as relational plans.
 
 Draws are hashes of (seed, stratum, replicate, draw): they don't depend on partitioning, and another engine
-can repeat them. Data that is resampled is numbered once, from 0, in a given order.
+can repeat them. Exact resamples come in two ways: by number (rows are numbered from 0 and draws are joined), or split, where the
+draws of each replicate are dealt to shards of rows by hashed binomials and made inside them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stanzaflow.functions import draws
 from stanzaflow.functions.numeric import hashed_draw, pooled, ratio100
+from stanzaflow.operators.scans import ranked
+from stanzaflow.sources.scratch import materialise
+
+#: Rows of a shard that draws are dealt to, about; bits that number shards, at most; draws made at once in a task.
+SHARD_ROWS, SHARD_BITS, DRAWS = 2048, 16, 1 << 20
+#: Bins that a replicate's hashes are counted in, in one pass; replicates whose counts are merged together; bits of a hash.
+BINS, TOGETHER, HASH_BITS = 64, 128, 62
 
 
 def clusters(df: DataFrame, cluster: str, num: str, den: str) -> DataFrame:
@@ -19,8 +33,8 @@ def clusters(df: DataFrame, cluster: str, num: str, den: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with _idx from 0 and the row count _size. One ordered task: meant for analysis units or cluster sums."""
-    return df.withColumn("_idx", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    """df with _idx from 0 and the row count _size."""
+    return ranked(df, [], order, "_idx", "_size")
 
 
 def replicates(df: DataFrame, order: list[str], num: str, den: str, stratum: str, b: int, seed: int) -> DataFrame:
@@ -33,6 +47,60 @@ def replicates(df: DataFrame, order: list[str], num: str, den: str, stratum: str
     return draws.join(rows, "_idx").groupBy("rep").agg(pooled(num, den).alias("density"))
 
 
+def split_replicates(df: DataFrame, key: list[str], num: str, den: str, stratum: str, b: int, seed: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """rep, density, draws: b exact resamples with replacement, as many draws as rows, without b rows for each row.
+
+    Rows lie in 2^bits shards by the hash of their key. A replicate's n draws go down the tree of shards: at a node
+    with k draws the left half gets Binomial(k, its share of the rows), by a hash of (replicate, node). A shard's task walks its own path,
+    so that nothing is handed from task to task, makes its draws by hashes of (replicate, shard, draw) and hands on sums by
+    replicate. Rows with the same key and values are one row with a count, so that copies don't fill a shard. The driver sees one count a shard.
+    """
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])), 1, 8), 16, 10).cast("long")
+    # The key's own string orders the rows of a shard, so that any split of the table gives the same draws.
+    name = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    rows = df.select(hashed.alias("hash"), name.alias("name"), F.col(num).cast("double").alias("num"), F.col(den).cast("double").alias("den"))
+    rows = materialise(rows.groupBy("hash", "name", "num", "den").agg(F.count(F.lit(1)).alias("times")))
+    n = rows.agg(F.sum("times")).first()[0] or 0
+    bits = min(SHARD_BITS, max(0, -(-n // shard_rows) - 1).bit_length())
+    sharded = rows.withColumn("shard", F.shiftright("hash", 32 - bits))
+    levels = [np.zeros(1 << bits, np.int64)]
+    for r in sharded.groupBy("shard").agg(F.sum("times").alias("n")).collect():  # at most 2^SHARD_BITS rows
+        levels[0][r.shard] = r.n
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1].reshape(-1, 2).sum(1))
+    levels.reverse()
+    start = draws.base(seed, stratum)
+
+    def dealt(shard: int) -> np.ndarray:
+        reps, k = np.arange(b), np.full(b, n)
+        for level in range(bits):
+            node = shard >> (bits - level)
+            share = levels[level + 1][2 * node] / levels[level][node]
+            left = draws.binomial(k, share, draws.drawn(start, reps, (1 << level) + node) / 2.0**32)
+            k = k - left if shard >> (bits - level - 1) & 1 else left
+        return k
+
+    def resample(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("name", "ascending"), ("num", "ascending"), ("den", "ascending")])
+        shard = table["shard"][0].as_py()
+        values = [np.nan_to_num(table[c].fill_null(0).to_numpy(), nan=np.nan) for c in ("num", "den")]
+        upto = np.cumsum(table["times"].to_numpy())
+        k, sums = dealt(shard), np.zeros((2, b))
+        first = 0
+        while first < b:  # replicates with together some DRAWS draws
+            last = max(first + 1, int(np.searchsorted(np.cumsum(k[first:]), DRAWS, side="right")) + first)
+            rep = np.repeat(np.arange(first, last), k[first:last])
+            draw = np.arange(len(rep)) - np.repeat(np.cumsum(k[first:last]) - k[first:last], k[first:last])
+            row = np.searchsorted(upto, draws.places(draws.drawn(start, rep, (1 << bits) + shard, draw), int(upto[-1])), side="right")
+            for total, value in zip(sums, values, strict=True):
+                total[first:last] = np.bincount(rep - first, value[row], last - first)
+            first = last
+        return pa.table({"rep": np.arange(b), "num": sums[0], "den": sums[1], "draws": k})
+
+    parts = sharded.groupBy("shard").applyInArrow(resample, "rep long, num double, den double, draws long")
+    return parts.groupBy("rep").agg(pooled("num", "den").alias("density"), F.sum("draws").alias("draws"))
+
+
 def poisson_replicates(df: DataFrame, key: list[str], num: str, den: str, stratum: str, b: int, seed: int) -> DataFrame:
     """rep, density of b resamples in which each row counts a hashed Poisson(1) number of times.
 
@@ -52,14 +120,19 @@ def poisson_replicates(df: DataFrame, key: list[str], num: str, den: str, stratu
 
 
 def bootstrap_difference(
-    a: DataFrame, b: DataFrame, order: list[str], num: str, den: str, replicas: int = 10_000, seed: int = 42, poisson: bool = False
-) -> DataFrame:
+    a: DataFrame, b: DataFrame, order: list[str], num: str, den: str, replicas: int = 10_000, seed: int = 42, poisson: bool = False,
+    split: bool = False, shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
     """point, lo, hi, p of density(b) - density(a): percentile interval; the two-sided p may exceed 1 or be 0.
 
-    Exact draws number the rows (order) and make replicas x rows of them: for analysis units. For corpora, poisson, with
-    order naming a row. No row where either side is empty.
+    By number, exact draws number the rows (order) and make replicas x rows of them: for analysis units. Split, they are
+    as exact and made inside shards of rows: for tables of any size. With poisson, rows count a random number of times, which is not exact. For
+    the last two, order names a row. No row where either side is empty.
     """
-    resampled = poisson_replicates if poisson else replicates
+    if split:
+        resampled = lambda *args: split_replicates(*args, shard_rows=shard_rows).drop("draws")
+    else:
+        resampled = poisson_replicates if poisson else replicates
     diffs = resampled(a, order, num, den, "a", replicas, seed).withColumnRenamed("density", "low").join(
         resampled(b, order, num, den, "b", replicas, seed).withColumnRenamed("density", "high"), "rep"
     )
@@ -72,26 +145,116 @@ def bootstrap_difference(
     return stats.crossJoin(point).filter("lo IS NOT NULL").select((F.col("_b") - F.col("_a")).alias("point"), "lo", "hi", "p")
 
 
-def permutation_p(df: DataFrame, order: list[str], group: str, num: str, den: str, b: int = 10_000, seed: int = 42) -> DataFrame:
-    """observed, p (one-sided, (count + 1) / (b + 1)) of density(group) - density(rest) under shuffled labels."""
-    rows = numbered(df.select(*dict.fromkeys([*order, group, num, den])), order)
-    size = rows.agg(F.count_if(F.col(group))).first()[0]
-    ours = pooled(F.when(F.col(group), F.col(num)), F.when(F.col(group), F.col(den)))
-    rest = pooled(F.when(~F.col(group), F.col(num)), F.when(~F.col(group), F.col(den)))
-    observed = rows.agg((ours - rest).alias("observed"))
-    shuffled = rows.select("_idx", num, den, F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep"))
-    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("_idx").cast("string")))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(place, "_idx"))
-    drawn = shuffled.withColumn("_mine", rank <= size)
-    stat = drawn.groupBy("rep").agg(
-        (
-            pooled(F.when(F.col("_mine"), F.col(num)), F.when(F.col("_mine"), F.col(den)))
-            - pooled(F.when(~F.col("_mine"), F.col(num)), F.when(~F.col("_mine"), F.col(den)))
-        ).alias("stat")
-    )
+def permutation_p(df: DataFrame, order: list[str], group: str, num: str, den: str, b: int = 10_000, seed: int = 42, md5: bool = False) -> DataFrame:
+    """observed, p (one-sided, (count + 1) / (b + 1)) of density(group) - density(rest) under shuffled labels.
+
+    A shuffle gives the group's labels to the rows with the least hashes of (seed, replicate, row number). Nothing is sorted: the
+    size-th least hash of each replicate is found by counting hashes in bins and counting again inside the bin that holds it. A null label is no label, a null number adds nothing.
+    """
+    rows = df.select(*dict.fromkeys([*order, group, num, den])).filter(F.col(group).isNotNull())
+    rows = numbered(rows, order).select("_idx", F.col(group).alias("mine"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(a) for c, a in ((num, "num"), (den, "den"))])
+    rows = materialise(rows)
+    sums = [F.sum(F.when(of, F.col(c))) for of in (F.col("mine"), ~F.col("mine")) for c in ("num", "den")]
+    n, size, *whole = rows.agg(F.count(F.lit(1)), F.count_if("mine"), *[F.coalesce(s, F.lit(0.0)) for s in sums]).first()
+    observed = _density(*whole[:2]) - _density(*whole[2:])
+    num_, den_, _ = selected_sums(rows, n, size, b, seed, md5)
+    stat = _density(num_, den_) - _density(whole[0] + whole[2] - num_, whole[1] + whole[3] - den_)
     # Sums taken in another order may differ in the last bits: equal statistics count as reached.
-    count = stat.crossJoin(observed).agg(F.first("observed").alias("observed"), F.count_if(F.col("stat") >= F.col("observed") - 1e-12).alias("c"))
-    return count.select("observed", ((F.col("c") + 1) / (b + 1)).alias("p"))
+    reached = int((stat >= observed - 1e-12).sum())
+    return df.sparkSession.createDataFrame([(float(observed), (reached + 1) / (b + 1))], "observed double, p double")
+
+
+def _density(num: np.ndarray | float, den: np.ndarray | float) -> np.ndarray | float:
+    num, den = np.asarray(num, float), np.asarray(den, float)
+    return np.where(den == 0, 0.0, 100 * num / np.where(den == 0, 1, den))
+
+
+def hashes(seed: int, reps: np.ndarray, idx: np.ndarray, md5: bool) -> np.ndarray:
+    """A hash of HASH_BITS bits for each replicate and row."""
+    if md5:
+        one = lambda r, i: int(hashlib.md5(f"{seed}|{r}|{i}".encode()).hexdigest()[:15], 16) << 2
+        return np.array([[one(r, i) for i in idx.tolist()] for r in reps.tolist()], np.uint64).reshape(len(reps), len(idx))
+    return draws.drawn(draws.base(seed, "permutation"), reps[:, None], idx[None]) << np.uint64(HASH_BITS - 32)  # different for different rows
+
+
+def selected_sums(rows: DataFrame, n: int, size: int, b: int, seed: int, md5: bool = False, bins: int = BINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of b replicates the sums of num and den over the `size` rows (_idx, num, den) with the least hashes, and a bound above just these.
+
+    A replicate holds a range that its bound lies in, first one around the expected quantile. A pass counts each replicate's hashes in
+    bins of its range, in arrays whose size is bounded by b and not by the rows; bins merge by addition, and the bin with the bound is the
+    next range. The few numbers of each replicate that a pass needs go through the driver.
+    """
+    top = 1 << HASH_BITS
+    low, high = np.zeros(b, np.int64), np.full(b, top, np.int64)
+    need, num, den = np.full(b, size, np.int64), np.zeros(b), np.zeros(b)
+    if 0 < size < n:
+        middle, wide = top * (size / n), top * (12 * math.sqrt(size * (n - size) / n) + 12) / n
+        low[:], high[:] = max(0, int(middle - wide)), min(top, int(middle + wide))
+    open_ = np.arange(b) if 0 < size < n else np.arange(0)
+    if size >= n:
+        num[:], den[:] = rows.agg(F.coalesce(F.sum("num"), F.lit(0.0)), F.coalesce(F.sum("den"), F.lit(0.0))).first()
+    bound = np.full(b, top if size >= n else 0, np.int64)
+    fresh = np.ones(b, bool)  # nothing below the range has been added yet
+    while len(open_):
+        found = _merged(rows, open_, low, high, seed, md5, bins)
+        again = []
+        for rep, (count, nums, dens) in found:
+            # Bin 0 holds what is below the range; after the first pass that has been added before.
+            if not fresh[rep]:
+                count[0] = nums[0] = dens[0] = 0
+            upto = np.cumsum(count)
+            if count[0] > need[rep] or upto[-1] < need[rep]:  # the range missed the bound: take all
+                low[rep], high[rep] = 0, top
+                again.append(rep)
+                continue
+            at = int(np.searchsorted(upto, need[rep]))
+            width = -(-(int(high[rep]) - int(low[rep])) // bins)
+            last = at + 1 if upto[at] == need[rep] or width == 1 else at  # a whole bin, or one hash shared by rows
+            num[rep] += nums[:last].sum()
+            den[rep] += dens[:last].sum()
+            bound[rep] = int(low[rep]) + at * width
+            if last == at:
+                need[rep] -= upto[at] - count[at]
+                low[rep], high[rep] = int(low[rep]) + (at - 1) * width, min(int(high[rep]), int(low[rep]) + at * width)
+                fresh[rep] = False
+                again.append(rep)
+        open_ = np.array(sorted(again), np.int64)
+    return num, den, bound
+
+
+def _merged(rows: DataFrame, open_: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int, md5: bool, bins: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each open replicate the counts and sums of num and den below its range (place 0) and in the bins of it."""
+    shared = rows.sparkSession.sparkContext.broadcast((open_, low[open_], high[open_]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, lows, highs = shared.value
+        width = (-(-(highs - lows) // bins)).astype(np.uint64)
+        held = np.zeros((3, len(reps), bins + 1))
+        for batch in batches:
+            idx, num, den = (c.to_numpy() for c in batch.columns)
+            step = max(1, DRAWS // max(1, len(idx)))
+            for lo in range(0, len(reps), step):
+                own = slice(lo, lo + step)
+                hashed = hashes(seed, reps[own], idx, md5)
+                below = hashed < lows[own, None].astype(np.uint64)
+                place = np.where(below, 0, (hashed - lows[own, None].astype(np.uint64)) // width[own, None] + np.uint64(1)).astype(np.int64)
+                here = below | (hashed < highs[own, None].astype(np.uint64))
+                r, c = np.nonzero(here)
+                cell, cells = r * (bins + 1) + place[r, c], hashed.shape[0] * (bins + 1)
+                for total, weight in zip(held, (None, num[c], den[c]), strict=True):
+                    total[own] += np.bincount(cell, weight, cells).reshape(-1, bins + 1)
+        for lo in range(0, len(reps), TOGETHER):
+            part = held[:, lo : lo + TOGETHER]
+            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([part.tobytes()], pa.binary())], ["block", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf.block[:1], "sums": [sum(np.frombuffer(s) for s in pdf.sums).tobytes()]})
+
+    merged = rows.select("_idx", "num", "den").mapInArrow(count, "block long, sums binary").groupBy("block").applyInPandas(add, "block long, sums binary")
+    for r in merged.toLocalIterator():  # one block of replicates at a time
+        sums = np.frombuffer(r.sums).reshape(3, -1, bins + 1).copy()
+        for i in range(sums.shape[1]):
+            yield int(open_[r.block + i]), sums[:, i]
 
 
 def changepoint(df: DataFrame, order: str, value: str, least: int = 2) -> DataFrame:

@@ -1,9 +1,9 @@
 """Greedy lexicon matching: longest forms first, left to right, no character used twice.
 
-Two plans for the same result. `fold` walks the ordered forms inside one expression: a narrow stage without a
-shuffle, for lexicons of some hundred forms. `match_by_grams` joins the texts' n-grams with the forms by
-equality, for large lexicons or where positions are wanted. Substring semantics: a match may straddle what
-normalisation has removed.
+Three plans for the same result. `fold` walks the ordered forms inside one expression: a narrow stage without a
+shuffle, for lexicons of some hundred forms. `match_positions` runs an automaton over Arrow batches, a narrow stage as well, for
+thousands of forms or where positions are wanted. Beyond what may be broadcast, `match_by_grams` joins the texts' n-grams with the forms by
+equality. Substring semantics: a match may straddle what normalisation has removed.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from stanzaflow.functions.arrays import let
 from stanzaflow.functions.numeric import ratio100
 from stanzaflow.functions.text import IDEOGRAPHS, normalise
+from stanzaflow.operators import automaton
 from stanzaflow.operators.lexicon import Lexicon
 
 #: Stands for used characters; must be outside the normalised alphabet.
@@ -151,12 +152,28 @@ def match_by_grams(df: DataFrame, key: str, plain: str, forms: DataFrame) -> Dat
     return spans.select(key, F.explode(accepted).alias("s")).select(key, "s.ord", "s.entry_id", "s.pos")
 
 
+def match_positions(df: DataFrame, key: str, plain: str, forms: DataFrame) -> DataFrame:
+    """key, ord, entry_id, pos of accepted matches: by an automaton in one narrow stage, or, where the forms are too many to broadcast, by an equi-join."""
+    if not automaton.fits(forms):
+        return match_by_grams(df, key, plain, forms)
+    hits = automaton.with_hits(df.select(key, plain), plain, forms, "_hits")
+    return hits.select(key, F.explode("_hits").alias("h")).select(key, "h.ord", "h.entry_id", "h.pos")
+
+
 def convert_script(df: DataFrame, key: str, text: str, source: str, target: str, phrases: DataFrame) -> DataFrame:
     """key and text, converted: phrases (form, becomes), longest first and left to right, then characters from source to target.
 
-    Phrases meet the texts' n-grams by equality, so that a dictionary of any size will do. key names a row; where a form
-    repeats, the least replacement counts. Null texts stay null.
+    One narrow stage with an automaton of the phrases; where they are too many to broadcast, they meet the texts' n-grams by equality, and
+    then key must name a row. Where a form repeats, the least replacement counts. Null texts stay null.
     """
+    once = phrases.filter("form <> ''").groupBy("form").agg(F.min("becomes").alias("becomes"))
+    if automaton.fits(once):
+        longest = F.concat(F.lpad((F.lit(1 << 30) - F.length("form")).cast("string"), 10, "0"), "form")  # longer forms first
+        return automaton.converted(df.select(key, text), text, source, target, once.withColumn("ord", longest))
+    return _convert_by_grams(df, key, text, source, target, phrases)
+
+
+def _convert_by_grams(df: DataFrame, key: str, text: str, source: str, target: str, phrases: DataFrame) -> DataFrame:
     once = phrases.groupBy("form").agg(F.min("becomes").alias("entry_id")).filter("form <> ''")
     forms = once.select(F.dense_rank().over(Window.orderBy(F.length("form").desc(), "form")).alias("ord"), "form", F.length("form").alias("form_len"), "entry_id")
     found = match_by_grams(df.select(key, text).filter(F.col(text).isNotNull()), key, text, forms).join(forms.select("ord", "form_len"), "ord")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stanzaflow.operators.density import era_table, in_eras
 from stanzaflow.operators.matching import contains_count
+from stanzaflow.operators.scans import ranked
 
 
 def weak_label(text: Column, signal: Iterable[str], control: Iterable[str]) -> Column:
@@ -22,9 +23,8 @@ def weak_label(text: Column, signal: Iterable[str], control: Iterable[str]) -> C
 
 def with_folds(df: DataFrame, label: str, order: str, folds: int = 5) -> DataFrame:
     """df with a stratified, unshuffled fold: equal parts of each label in order."""
-    by = Window.partitionBy(label)
-    place = F.row_number().over(by.orderBy(order)) - 1
-    return df.withColumn("fold", F.floor(place * folds / F.count(F.lit(1)).over(by)).cast("int"))
+    placed = ranked(df, [label], [order], "_place", "_size")
+    return placed.withColumn("fold", F.floor(F.col("_place") * folds / F.col("_size")).cast("int")).drop("_place", "_size")
 
 
 def cross_validated_accuracy(df: DataFrame, vector: str, label: str, order: str, folds: int = 5, ridge: float = 0.01) -> DataFrame:

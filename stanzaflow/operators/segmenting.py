@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stanzaflow.functions.arrays import let, running
 from stanzaflow.functions.text import DIGITS, IDEOGRAPHS, LINE_IDEOGRAPHS, NUMERALS, count_in_set, kept_length, numeral_year
+from stanzaflow.operators.scans import carried
 
 #: Dating words and the years they stand for.
 MARKERS = [
@@ -103,18 +104,19 @@ def marker_scan(df: DataFrame, key: list[str], text: str, markers: list[tuple[st
     return hits.withColumn("year", years[F.col("marker")])
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, carry: list[str]) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, carry: list[str], cuts: int | None = None) -> DataFrame:
     """left with the carried columns of the last right row at or before it, null where there is none.
 
-    One sort of both sides together instead of a range join; a right row on a tie comes first.
+    One sort of both sides together instead of a range join, cut by position so that a key of any size is spread over
+    tasks. A right row on a tie comes first; of several the greatest by the carried columns counts. A null key is a key; a null position
+    comes before all others.
     """
     value = F.struct(*carry)
     shape = value.alias("_carried")
     rows = right.select(*by, on, shape, F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
     ours = left.select(*by, on, F.lit(None).cast(right.select(shape).schema[0].dataType).alias("_carried"), F.lit(1).alias("_side"), F.struct("*").alias("_row"))
-    order = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = ours.union(rows.select(ours.columns)).withColumn("_last", F.last("_carried", ignorenulls=True).over(order))
-    return both.filter("_side = 1").select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in carry])
+    both = carried(ours.union(rows.select(ours.columns)), by, [on], "_carried", ["_side"], cuts)
+    return both.filter("_side = 1").select("_row.*", *[F.col(f"_carried.{c}").alias(c) for c in carry])
 
 
 def clauses(df: DataFrame, key: list[str], text: str, ends: str = CLAUSE_ENDS, keep: str = LINE_IDEOGRAPHS) -> DataFrame:

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from stanzaflow.plans import analyses, catalog, catalog_io, catalog_more  # noqa: F401
+from stanzaflow.plans import analyses, catalog, catalog_exact, catalog_io, catalog_more  # noqa: F401
 from stanzaflow.plans.catalog import scored, units
 from stanzaflow.plans.sample import CONTROL, KEEP, SIGNAL
 
