@@ -129,6 +129,7 @@ def bootstrap_difference(
     as exact and made inside shards of rows: for tables of any size. With poisson, rows count a random number of times, which is not exact. For
     the last two, order names a row. No row where either side is empty.
     """
+    a, b = (materialise(side.select(*dict.fromkeys([*order, num, den]))) for side in (a, b))  # a few columns, read several times
     if split:
         resampled = lambda *args: split_replicates(*args, shard_rows=shard_rows).drop("draws")
     else:
@@ -151,7 +152,7 @@ def permutation_p(df: DataFrame, order: list[str], group: str, num: str, den: st
     A shuffle gives the group's labels to the rows with the least hashes of (seed, replicate, row number). Nothing is sorted: the
     size-th least hash of each replicate is found by counting hashes in bins and counting again inside the bin that holds it. A null label is no label, a null number adds nothing.
     """
-    rows = df.select(*dict.fromkeys([*order, group, num, den])).filter(F.col(group).isNotNull())
+    rows = materialise(df.select(*dict.fromkeys([*order, group, num, den])).filter(F.col(group).isNotNull()))
     rows = numbered(rows, order).select("_idx", F.col(group).alias("mine"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(a) for c, a in ((num, "num"), (den, "den"))])
     rows = materialise(rows)
     sums = [F.sum(F.when(of, F.col(c))) for of in (F.col("mine"), ~F.col("mine")) for c in ("num", "den")]

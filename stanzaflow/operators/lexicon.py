@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stanzaflow import schemas
+from stanzaflow.operators.scans import ranked
 
 
 @dataclass(frozen=True)
@@ -49,9 +50,9 @@ def form_table(entries: DataFrame) -> DataFrame:
         "entry_pos", F.posexplode("forms").alias("form_pos", "form"), F.col("id").alias("entry_id"), "category",
         F.coalesce("specificity", F.lit(1.0)).alias("specificity"),
     )
-    order = Window.orderBy(F.length("form").desc(), "entry_pos", "form_pos")
-    ranked = forms.withColumn("ord", F.row_number().over(order)).withColumn("form_len", F.length("form"))
-    return ranked.select("ord", "form", "form_len", "entry_id", "category", "specificity")
+    forms = forms.withColumn("form_len", F.length("form")).withColumn("_shorter", -F.length("form"))
+    placed = ranked(forms, [], ["_shorter", "entry_pos", "form_pos"], "ord").withColumn("ord", F.col("ord").cast("int") + 1)
+    return placed.select("ord", "form", "form_len", "entry_id", "category", "specificity")
 
 
 def load(spark: SparkSession, path: str) -> Lexicon:

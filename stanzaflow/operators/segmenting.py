@@ -109,7 +109,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, car
 
     One sort of both sides together instead of a range join, cut by position so that a key of any size is spread over
     tasks. A right row on a tie comes first; of several the greatest by the carried columns counts. A null key is a key; a null position
-    comes before all others.
+    comes before all others. Both sides are read three times, for bounds, summaries and rows: write out what is dear to make.
     """
     value = F.struct(*carry)
     shape = value.alias("_carried")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stanzaflow.operators.scans import ranked
 from stanzaflow.sources.scratch import materialise
 
 #: Titles outside the main namespace begin with these.
@@ -49,6 +50,11 @@ def first_of_parent(df: DataFrame, parent: list[str], seq: list[str], n: int) ->
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def placed(df: DataFrame, parent: list[str], seq: list[str], name: str) -> DataFrame:
+    """df with each row's place, from 0, in its parent."""
+    return ranked(df, parent, seq, name).withColumn(name, F.col(name).cast("int"))
+
+
 def best_title(books: DataFrame, query: str, pos: str = "pos") -> DataFrame:
     """The first book whose title contains the query, else the first book, else none."""
     return best_titles(books.withColumn("query", F.lit(query)), pos)

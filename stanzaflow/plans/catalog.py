@@ -56,19 +56,20 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", long(F.length(plain)).alias("n_chars"), F.md5(plain).alias("digest"))
 
 
-_ENTRIES = ", ".join(
-    f"({i}, '{e.id}', {j}, '{form}', '{e.category}', {e.specificity}::DOUBLE)" for i, e in enumerate(SIGNAL.entries) for j, form in enumerate(e.forms)
-)
-
-
 @query(
     "lexicon_ordered",
-    f"""SELECT row_number() OVER (ORDER BY length(form) DESC, ep, fp)::BIGINT AS ord, form, entry_id, category, specificity
-FROM (VALUES {_ENTRIES}) AS t(ep, entry_id, fp, form, category, specificity)""",
+    """WITH f AS (SELECT p_brand, p_name, dense_rank() OVER (ORDER BY p_brand) AS ep, p_partkey AS fp, (p_size % 10 + 1) / 10.0::DOUBLE AS s FROM part)
+SELECT row_number() OVER (ORDER BY length(p_name) DESC, ep, fp)::BIGINT AS ord, p_name AS form, p_brand AS entry_id, left(p_brand, 7) AS category,
+  max(s) OVER (PARTITION BY p_brand) AS specificity FROM f""",
 )
 def _(spark, d):
-    forms = lx.form_table(lx.table(spark, SIGNAL))
-    return forms.select(long("ord").alias("ord"), "form", "entry_id", "category", "specificity")
+    """The parts of each brand as an entry's forms."""
+    forms = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
+    entries = table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(
+        F.transform(forms, lambda f: f["p_name"]).alias("forms"), F.max((F.col("p_size") % 10 + 1) / F.lit(10.0)).alias("specificity")
+    )
+    entries = sl.placed(entries.withColumn("category", F.substring("id", 1, 7)), [], ["id"], "entry_pos")
+    return lx.form_table(entries).select(long("ord").alias("ord"), "form", "entry_id", "category", "specificity")
 
 
 @query("match_tokens", f"WITH {scored_sql()} SELECT doc_id, n::BIGINT AS n_chars, t::BIGINT AS tokens FROM scored")

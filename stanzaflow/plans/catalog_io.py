@@ -1,17 +1,13 @@
 """More of the catalog: sources and sinks as round trips, and the remaining operators.
 
-Round trips write below spark.checkpoint.dir, or a temporary folder where the master is local.
+Round trips write below spark.checkpoint.dir, or a folder of their own where the master is local.
 """
 
 from __future__ import annotations
 
-import json
 import math
-import tempfile
-import urllib.parse
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stanzaflow import schemas
 from stanzaflow.functions import text as tx
@@ -20,52 +16,43 @@ from stanzaflow.plans import analyses
 from stanzaflow.plans.catalog import _MID, _RUP, long, query, r6, scored, table, units
 from stanzaflow.plans.catalog_more import _HEADER, _NUMERALS, _SECTIONS, _contains
 from stanzaflow.plans.sample import CONTROL, KEEP, SIGNAL, UNITS, Sql, scored as scored_sql
-from stanzaflow.sources import files, sinks, web
+from stanzaflow.sources import answers as web, files, sinks
+from stanzaflow.sources.scratch import materialise, new_path
 from stanzaflow.streaming.scoring import score_stream, windowed_density
 
 
-def folder(spark: SparkSession) -> str:
-    """A new path that the driver and all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        shared = f"file://{tempfile.mkdtemp(prefix='stanzaflow-')}"
-    return f"{shared}/stanzaflow/{uuid.uuid4().hex}"
-
-
 # ---- files --------------------------------------------------------------------------------------------
 
 
 @query("io_jsonl", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def _(spark, d):
-    path = folder(spark)
+    path = new_path(spark)
     sinks.write_jsonl(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), path)
     return files.read_jsonl(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
 
 
-_DOCUMENT = {
-    "lexicon": "sample", "version": "1", "description": "", "categories": {c: c for c in SIGNAL.categories()},
-    "entries": [{"id": e.id, "forms": list(e.forms), "category": e.category, "specificity": e.specificity} for e in SIGNAL.entries],
-}
-
-
 @query(
     "io_document",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{e.id}', '{e.category}', {e.specificity}::DOUBLE, {len(e.forms)})" for i, e in enumerate(SIGNAL.entries))
-    + ") AS t(entry_pos, id, category, specificity, forms)",
+    """WITH e AS (SELECT p_brand, list(p_name ORDER BY p_partkey) AS forms, count(*) AS n FROM part GROUP BY p_brand)
+SELECT (row_number() OVER (ORDER BY p_brand) - 1)::INTEGER AS entry_pos, p_brand AS id, left(p_brand, 7) AS category, round(1 / n, 6) AS specificity, n::INTEGER AS forms FROM e""",
 )
 def _(spark, d):
-    path = folder(spark)
-    spark.createDataFrame([(json.dumps(_DOCUMENT, indent=1),)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
-    entries = lx.entries_table(files.read_document(spark, path, schemas.LEXICON))
-    return entries.select("entry_pos", "id", "category", "specificity", F.size("forms").alias("forms"))
+    """A lexicon document made of a table, one entry a brand, written as one JSON object and read back."""
+    path = new_path(spark)
+    parts = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
+    entries = table(spark, d, "part").groupBy("p_brand").agg(F.transform(parts, lambda p: p["p_name"]).alias("forms"))
+    entry = F.struct(
+        F.col("p_brand").alias("id"), "forms", F.substring("p_brand", 1, 7).alias("category"), F.round(1 / F.size("forms"), 6).alias("specificity")
+    )
+    document = entries.agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(F.lit("brands").alias("lexicon"), F.lit("1").alias("version"), "entries")
+    document.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.text(path)  # a lexicon is one document
+    read = lx.entries_table(files.read_document(spark, path, schemas.LEXICON))
+    return read.select("entry_pos", "id", "category", "specificity", F.size("forms").alias("forms"))
 
 
 @query("io_csv_last_wins", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
 def _(spark, d):
-    path = folder(spark)
+    path = new_path(spark)
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role").orderBy("turn").coalesce(1)
     rows.write.option("header", True).csv(path)
     return files.read_csv(spark, path, "conv_id long, turn long, role string", "conv_id")
@@ -73,7 +60,7 @@ def _(spark, d):
 
 @query("io_export_tsv", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def _(spark, d):
-    path = folder(spark)
+    path = new_path(spark)
     table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).option("sep", "\t").csv(path)
     return files.read_export(spark, path, ["n_nationkey", "n_name", "n_regionkey"])
 
@@ -83,7 +70,7 @@ def _(spark, d):
     "SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN n_name || '!' ELSE n_name END AS n_name FROM nation",
 )
 def _(spark, d):
-    path, schema = folder(spark), "n_nationkey int, n_name string"
+    path, schema = new_path(spark), "n_nationkey int, n_name string"
     rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_nationkey").cast("long").alias("seq"))
     sinks.merge_jsonl(rows.filter("n_nationkey < 15"), path, schema, ["n_nationkey"], "seq")
     sinks.merge_jsonl(rows.filter("n_nationkey >= 10").withColumn("n_name", F.concat("n_name", F.lit("!"))), path, schema, ["n_nationkey"], "seq")
@@ -92,7 +79,7 @@ def _(spark, d):
 
 @query("io_csv_decimals", "SELECT c_custkey, printf('%.3f', c_acctbal / 7) AS balance FROM customer")
 def _(spark, d):
-    path = folder(spark)
+    path = new_path(spark)
     rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal").cast("double") / 7).alias("balance"))
     sinks.write_csv(rows, path, ["c_custkey"], ["balance"])
     return files.read_csv(spark, path, "c_custkey long, balance string")
@@ -119,44 +106,56 @@ def _(spark, d):
     return sinks.series(rows, "year", ["region", "nation"], 1894)
 
 
-@query("io_notebook", "SELECT n_nationkey, base64(encode(n_name || ' é')) AS packed, 3 AS cells FROM nation")
+@query("io_notebook", "SELECT doc_id, base64(encode(coalesce(text, ''))) AS packed, 3::INTEGER AS cells FROM documents")
 def _(spark, d):
-    """Texts as a notebook carries them, read back from one notebook's first cell."""
-    rows = table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
-    book = json.loads(sinks.notebook("t", ["print(1)"], {str(r.n_nationkey): f"{r.n_name} é".encode() for r in rows}))
-    packed = json.loads(book["cells"][1]["source"].split("in ", 1)[1].split(".items()")[0].replace("'", '"'))
-    return spark.createDataFrame([(int(k), v, len(book["cells"])) for k, v in packed.items()], "n_nationkey int, packed string, cells int")
+    """A notebook for each document, which carries its text, read back from its first cell."""
+    blobs = F.array(F.struct(F.concat("doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("data")))
+    books = table(spark, d, "documents").select("doc_id", sinks.notebooks(F.concat(F.lit("Document "), "doc_id"), ["print(1)"], blobs).alias("book"))
+    cells = F.from_json("book", "cells array<struct<cell_type: string, source: array<string>>>")["cells"]
+    packed = F.regexp_extract(F.get(F.get(cells, F.lit(1))["source"], F.lit(0)), "txt.: .([A-Za-z0-9+/=]*)", 1)
+    return books.select("doc_id", packed.alias("packed"), F.size(cells).alias("cells"))
 
 
-@query("io_presence", "SELECT TRUE AS there, FALSE AS missing, 'nation' AS first")
+@query("io_presence", "SELECT TRUE AS there, FALSE AS missing, 'orders' AS first, count(*)::BIGINT AS rows FROM orders")
 def _(spark, d):
-    first = files.first_existing(spark, [f"{d}/none.parquet", f"{d}/nation.parquet", f"{d}/region.parquet"])
-    rows = [(files.exists(spark, f"{d}/region.parquet"), files.exists(spark, f"{d}/none"), first.rsplit("/", 1)[1].removesuffix(".parquet"))]
-    return files.literal(spark, rows, "there boolean, missing boolean, first string")
+    first = files.first_existing(spark, [f"{d}/none.parquet", f"{d}/orders.parquet", f"{d}/region.parquet"])
+    found = [files.exists(spark, f"{d}/{name}") for name in ("region.parquet", "none")]
+    name = first.rsplit("/", 1)[1].removesuffix(".parquet")
+    return spark.read.parquet(first).agg(F.lit(found[0]).alias("there"), F.lit(found[1]).alias("missing"), F.lit(name).alias("first"), F.count(F.lit(1)).alias("rows"))
 
 
-# ---- paginated sources, answered from the tables ------------------------------------------------------
+# ---- web interfaces, answered from the tables ---------------------------------------------------------
 
 _J = {"format": "json"}
 
 
-def _asked(**params) -> str:
-    return urllib.parse.urlencode(sorted(params.items()))
+def _nations(spark, d) -> DataFrame:
+    return table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
 
 
-def _offline(answers: dict) -> dict:
-    return {"transport": "stanzaflow.sources.web.FileTransport", "answers": json.dumps(answers)}
+def _grouped_titles(rows: DataFrame, by: str, value: Column, of: str = "list") -> DataFrame:
+    """by, list: what is made of rows, in the order of nations."""
+    held = F.array_sort(F.collect_list(F.struct("n_nationkey", value.alias("v"))))
+    return rows.groupBy(by).agg(F.transform(held, lambda x: x["v"]).alias(of))
 
 
-def _nations(spark, d) -> list:
-    return table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")).orderBy("n_nationkey").collect()  # 25 rows
+@query("web_pages", "SELECT n_name AS title, '[[' || n_name || ']]' AS wikitext FROM nation WHERE n_nationkey % 5 <> 0")
+def _(spark, d):
+    rows = table(spark, d, "nation")
+    text = F.to_json(F.struct(F.struct(F.struct(F.format_string("[[%s]]", "n_name").alias("*")).alias("wikitext")).alias("parse")))
+    known = rows.filter("n_nationkey % 5 <> 0").select(web.asked(action="parse", page=F.col("n_name"), prop="wikitext", **_J).alias("asked"), text.alias("answer"))
+    found = web.pages(rows.select(F.col("n_name").alias("title")), web.from_table(known))
+    return found.filter("wikitext IS NOT NULL").select("title", "wikitext")
 
 
-@query("web_pages", "SELECT n_name AS title, '[[' || n_name || ']]' AS wikitext FROM nation WHERE n_nationkey % 5 <> 0")
+@query("fetched_texts", "SELECT doc_id::VARCHAR AS title, md5(text) AS digest FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL")
 def _(spark, d):
-    rows = _nations(spark, d)
-    answers = {_asked(action="parse", page=r.n_name, prop="wikitext", **_J): {"parse": {"wikitext": {"*": f"[[{r.n_name}]]"}}} for r in rows if r.n_nationkey % 5}
-    return web.read(spark, "wiki_pages", [r.n_name for r in rows], **_offline(answers))
+    """Every document as a page of its number; a third of them are missing."""
+    docs = table(spark, d, "documents")
+    text = F.to_json(F.struct(F.struct(F.struct(F.col("text").alias("*")).alias("wikitext")).alias("parse")))
+    known = docs.filter("doc_id % 3 <> 0").select(web.asked(action="parse", page=F.col("doc_id"), prop="wikitext", **_J).alias("asked"), text.alias("answer"))
+    found = web.pages(docs.select(F.col("doc_id").cast("string").alias("title")), web.from_table(known))
+    return found.filter("wikitext IS NOT NULL").select("title", F.md5("wikitext").alias("digest"))
 
 
 @query(
@@ -166,25 +165,36 @@ SELECT title, (row_number() OVER (PARTITION BY title ORDER BY k % 4, k) - 1)::IN
 )
 def _(spark, d):
     """Expanded links, two pages of further links, then search hits that name the page in brackets."""
-    answers, titles = {}, sorted({r.r_name for r in _nations(spark, d)})
-    for title in titles:
-        mine = [r for r in _nations(spark, d) if r.r_name == title]
-        by = [[r.n_name for r in mine if r.n_nationkey % 4 == k] for k in range(4)]
-        query_ = {"action": "query", "prop": "links", "titles": title, "plnamespace": 0, "pllimit": "max", **_J}
-        answers[_asked(action="parse", page=title, prop="links", **_J)] = {"parse": {"links": [{"ns": 0, "*": x} for x in by[0]] + [{"ns": 4, "*": x} for x in by[3]]}}
-        answers[_asked(**query_)] = {"query": {"pages": {"1": {"links": [{"title": x} for x in by[1]]}}}, "continue": {"plcontinue": "2", "continue": "||"}}
-        answers[_asked(**query_, plcontinue="2")] = {"query": {"pages": {"1": {"links": [{"title": x} for x in by[2]]}}}}
-        answers[_asked(action="query", list="search", srsearch=title, srlimit=50, **_J)] = {"query": {"search": [{"title": x} for x in by[3]]}}
-    return web.links(spark, titles, **_offline(answers))
+    rows, titled = _nations(spark, d), F.struct(F.col("n_name").alias("title"))
+    key = F.col("n_nationkey") % 4
+    query_ = {"action": "query", "prop": "links", "plnamespace": 0, "pllimit": "max", **_J}
+    title = F.col("r_name")
+
+    def answers(part: DataFrame, question: Column, answer: Column) -> DataFrame:
+        return part.select(question.alias("asked"), F.to_json(F.struct(answer)).alias("answer"))
+
+    shown = _grouped_titles(rows.filter(key.isin(0, 3)), "r_name", F.struct(F.when(key == 0, 0).otherwise(4).alias("ns"), F.col("n_name").alias("*")))
+    first, second, hits = (_grouped_titles(rows.filter(key == k), "r_name", titled) for k in (1, 2, 3))
+    page = lambda: F.struct(F.create_map(F.lit("1"), F.struct(F.col("list").alias("links"))).alias("pages")).alias("query")
+    every = table(spark, d, "region").select("r_name")
+    one = every.join(first, "r_name", "left").select(
+        web.asked(titles=title, **query_).alias("asked"),
+        F.to_json(F.struct(page(), F.struct(F.lit("2").alias("plcontinue"), F.lit("||").alias("continue")).alias("continue"))).alias("answer"),
+    )
+    known = answers(shown, web.asked(action="parse", page=title, prop="links", **_J), F.struct(F.col("list").alias("links")).alias("parse")).union(one)
+    known = known.union(answers(second, web.asked(titles=title, plcontinue="2", **query_), page()))
+    known = known.union(answers(hits, web.asked(action="query", list="search", srsearch=title, srlimit=50, **_J), F.struct(F.col("list").alias("search")).alias("query")))
+    found = web.links(every.select(title.alias("title")), web.from_table(known))
+    place = sl.placed(found, ["title"], ["step", "page", "pos"], "seq")
+    return place.select("title", "seq", "link")
 
 
 @query("web_prefix", "SELECT r_name AS title, (row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1)::INTEGER AS seq, r_name || '/' || n_name AS page FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(spark, d):
-    found: dict = {}
-    for r in _nations(spark, d):
-        found.setdefault(r.r_name, []).append({"title": f"{r.r_name}/{r.n_name}"})
-    answers = {_asked(action="query", list="prefixsearch", pssearch=f"{t}/", pslimit=60, **_J): {"query": {"prefixsearch": x}} for t, x in found.items()}
-    return web.read(spark, "wiki_prefix", sorted(found), **_offline(answers))
+    lists = _grouped_titles(_nations(spark, d), "r_name", F.struct(F.concat_ws("/", "r_name", "n_name").alias("title")))
+    question = web.asked(action="query", list="prefixsearch", pssearch=F.concat("r_name", F.lit("/")), pslimit=60, **_J)
+    known = lists.select(question.alias("asked"), F.to_json(F.struct(F.struct(F.col("list").alias("prefixsearch")).alias("query"))).alias("answer"))
+    return web.prefixed(table(spark, d, "region").select(F.col("r_name").alias("title")), web.from_table(known))
 
 
 @query(
@@ -194,23 +204,24 @@ QUALIFY row_number() OVER (PARTITION BY q ORDER BY contains(title, q) DESC, n_na
 )
 def _(spark, d):
     """Of each query's books the first whose title contains the query, else the first; a query is a region's first two letters."""
-    answers: dict = {}
-    for r in _nations(spark, d):
-        answers.setdefault(_asked(title=r.r_name[:2]), {"books": []})["books"].append({"title": r.n_name, "urn": str(r.n_nationkey)})
-    books = web.read(spark, "text_books", sorted({r.r_name[:2] for r in _nations(spark, d)}), **_offline(answers))
-    return sl.best_titles(books).select("query", "title")
+    rows = _nations(spark, d).withColumn("q", F.left("r_name", F.lit(2)))
+    lists = _grouped_titles(rows, "q", F.struct(F.col("n_name").alias("title"), F.col("n_nationkey").cast("string").alias("urn")))
+    known = lists.select(web.asked(title=F.col("q")).alias("asked"), F.to_json(F.struct(F.col("list").alias("books"))).alias("answer"))
+    return sl.best_titles(web.books(lists.select(F.col("q").alias("query")), web.from_table(known))).select("query", "title")
 
 
 @query("web_passages", "SELECT 'n' || n_regionkey AS urn, string_agg(n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
 def _(spark, d):
     """A work's tree by level, with values that are no text left out, and the passages of each node joined."""
-    rows = _nations(spark, d)
-    regions = sorted({r.n_regionkey for r in rows})
-    answers: dict = {_asked(urn="root"): {"subsections": ["root", *[{"urn": f"n{k}"} for k in regions]]}}
-    for k in regions:
-        answers[_asked(urn=f"n{k}")] = {"fulltext": [x for r in rows if r.n_regionkey == k for x in (r.n_name, 5)]}
-    tree = web.read(spark, "text_tree", ["root"], **_offline(answers))
-    return sg.joined_passages(tree.filter("passage IS NOT NULL").withColumnRenamed("passage", "text"), ["urn"], "pos", "text").select("urn", "text")
+    rows = table(spark, d, "nation").withColumn("urn", F.concat(F.lit("n"), "n_regionkey"))
+    texts = _grouped_titles(rows, "urn", F.to_json(F.array("n_name")))
+    mixed = F.concat_ws(",5,", F.transform("list", lambda t: F.substring(t, F.lit(2), F.length(t) - 2)))  # a number behind each text
+    known = texts.select(web.asked(urn=F.col("urn")).alias("asked"), F.concat(F.lit('{"fulltext":['), mixed, F.lit(',5]}')).alias("answer"))
+    children = rows.agg(F.sort_array(F.collect_set("urn")).alias("c"))
+    top = F.concat(F.lit('{"subsections":["root",'), F.concat_ws(",", F.transform("c", lambda u: F.to_json(F.struct(u.alias("urn"))))), F.lit("]}"))
+    known = known.union(children.select(web.asked(urn="root").alias("asked"), top.alias("answer")))
+    _, passages = web.tree(spark.range(1).select(F.lit("root").alias("root")), web.from_table(known))
+    return sg.joined_passages(passages.withColumnRenamed("passage", "text"), ["urn"], "pos", "text").select("urn", "text")
 
 
 # ---- selection, segmentation and scores that no other query holds ------------------------------------------
@@ -410,7 +421,7 @@ def _(spark, d):
 
 def _streamed(spark: SparkSession, d: str, build) -> DataFrame:
     """What a stream over the documents has written when it has read all of them."""
-    path, source = folder(spark), f"{d}/documents.parquet"
+    path, source = new_path(spark), f"{d}/documents.parquet"
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source if not source.endswith(".parquet") else f"{source}*")
     writer = build(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -8,6 +8,7 @@ from stanzaflow.functions import numeric, text as tx
 from stanzaflow.operators import inference, matching as mt, probe, segmenting as sg, selecting as sl
 from stanzaflow.plans.catalog import _MID, _RUP, long, query, r6, scored, table
 from stanzaflow.plans.sample import CONTROL, SIGNAL, density, scored as scored_sql
+from stanzaflow.sources.scratch import materialise
 
 # ---- cleaning and segmentation ------------------------------------------------------------------------
 
@@ -78,7 +79,7 @@ def _(spark, d):
     docs = table(spark, d, "documents")
     quotes = sg.quoted_spans(docs, ["doc_id"], "text", _QUOTE, "A-Za-z", 0).select("doc_id", F.col("offset").alias("pos"))
     marks = sg.marker_scan(docs, ["doc_id"], "text", _MARKS)
-    dated = sg.asof_backward(quotes, marks, ["doc_id"], "pos", ["marker", "year"])
+    dated = sg.asof_backward(materialise(quotes), materialise(marks), ["doc_id"], "pos", ["marker", "year"])
     return dated.select("doc_id", long("pos").alias("offset"), "marker", "year")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stanzaflow.functions.text import fixed
 from stanzaflow.operators.selecting import upsert
@@ -63,3 +63,14 @@ def notebook(title: str, cells: list[str], blobs: dict[str, bytes]) -> str:
     code = [{"cell_type": "code", "metadata": {}, "execution_count": None, "outputs": [], "source": c} for c in [restore, *cells]]
     head = {"cell_type": "markdown", "metadata": {}, "source": f"# {title}"}
     return json.dumps({"cells": [head, *code], "metadata": {}, "nbformat": 4, "nbformat_minor": 5}, ensure_ascii=False)
+
+
+def notebooks(title: Column, cells: list[str], blobs: Column) -> Column:
+    """A self-contained notebook for each row, as JSON text: its blobs (array of name, data) ride along in base64, a first cell restores them."""
+    pairs = F.concat_ws(", ", F.transform(blobs, lambda b: F.concat(F.lit("'"), b["name"], F.lit("': '"), F.regexp_replace(F.base64(b["data"]), r"\s", ""), F.lit("'"))))
+    head = "import base64, pathlib\nfor name, data in {"
+    tail = "}.items():\n    pathlib.Path(name).write_bytes(base64.b64decode(data))\n"
+    plain = lambda kind, source, rest: F.concat(F.lit(f'{{"cell_type":"{kind}","metadata":{{}},{rest}"source":'), F.to_json(F.array(source)), F.lit("}"))
+    ran = '"execution_count":null,"outputs":[],'
+    every = [plain("markdown", F.concat(F.lit("# "), title), ""), *(plain("code", c, ran) for c in (F.concat(F.lit(head), pairs, F.lit(tail)), *map(F.lit, cells)))]
+    return F.concat(F.lit('{"cells":['), F.concat_ws(",", *every), F.lit('],"metadata":{},"nbformat":4,"nbformat_minor":5}'))
