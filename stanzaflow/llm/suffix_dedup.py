@@ -1,23 +1,25 @@
-"""Operator 5, repeated passages by sorted windows at sparse suffixes.
+"""Operator 5, repeated passages by a sparse suffix array.
 
 Of all suffixes of all texts, only those at content-selected positions are kept: the minimisers, which begin
 with the least hash of GRAM words among the GAP + 1 positions of some stretch. Equal stretches select equal
 positions, so that any passage of `least` words that occurs twice has, in both places, a kept suffix within
 GAP words of its beginning, followed by least - GAP words of the passage: its head.
 
-A match of a suffix with its neighbour in the array extends from the head to the left and to the right. Only with the
-nearest neighbours compared, a partner with less on one side and more on the other would be missed; all extensions that
-reach `least` words are therefore compared, each once:
+1. Heads are counted by hash; suffixes whose head occurs in one document end there. The others are kept with the GAP words
+   behind the head and the GAP words before it.
+2. The suffixes are sorted by head and the words behind it: range-partitioned by head, in suffix order inside. Neighbours are compared word by
+   word: the length that they share behind the head, as in a suffix array, bounds the intervals of suffixes that share r words, for every r.
+3. Matches extend to the left: suffixes of an interval that also share the f words before the head, f + r reaching `least` words with the
+   head, hold the same passage. All f from 0 to GAP are looked at, not the nearest neighbour alone, so that no partner is missed.
+4. A head of over BLOCK suffixes is split: either r or f is over GAP / 2, so that its suffixes are sorted in smaller blocks of a head
+   with half the words behind it, and in blocks of a head with half the words before it. What is over BLOCK even there shares 42 words or more with all its
+   block: its extensions to `least` words are sorted themselves, by hash and document, so that even one very frequent passage spreads over
+   tasks. Rows of a hash that another document also has are matches. The first and the last hash of a task may go on in others: their rows
+   are judged by the smallest and largest key of the hash over all tasks.
+5. Matches that overlap or touch are merged into a document's repeated passages, of all its words that lie in `least` words that another
+   document holds. The smallest key that shares some of them is named (of two documents, for each the other).
 
-1. Heads are counted by hash; suffixes whose head occurs once end there.
-2. Of the others' extensions, each window of `least` words whose least hash stands at a shared head is
-   taken, once, as 96 bits of hash. Equal windows have equal least hashes, and so no repeated one is left out.
-3. Windows are sorted: range-partitioned by hash and document, so that even one very frequent passage spreads
-   over tasks. Rows of a hash that another document also has are matches. The first and the last hash of a
-   task may go on in others: their rows are judged by the smallest and largest key of the hash over all tasks.
-4. Matching windows that overlap or touch are merged into a document's repeated passages, of all its words
-   that lie in a repeated window. The smallest key that shares one of its windows is named (of two
-   documents, for each the other).
+Words are compared by 32 bits of hash around a head of 64 bits, so that a neighbour seems to share a word more once in four billion comparisons.
 
 Defined results: null and empty texts, and those under `least` words, have no passages. Rows with a null key
 are left out. Rows that repeat a key are one document, whose passages don't match each other. Only the named
@@ -32,13 +34,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stanzaflow.llm.grouped import whole_groups
+from stanzaflow.llm.grouped import binary_rows, matrix, whole_groups
 from stanzaflow.llm.scratch import integer_key, materialise
-from stanzaflow.llm.words import U64, mix, runs, slices, sliding_min, text_bytes, within, word_hashes
+from stanzaflow.llm.words import U64, mix, runs, slices, sliding_min, text_bytes, word_hashes
 
 LEAST, GRAM, GAP = 50, 8, 17
 #: Keys of 8 bytes that are broadcast at most; beyond, a shuffled join does the same.
 BROADCAST_KEYS = 2_000_000
+#: Suffixes that are compared in one block, and parts that a block's suffixes are told apart in when blocks are marked.
+BLOCK, SALTS = 1024, 16
+#: Words that a half of what lies around a head has, and the extensions to the left (a bit each) that are found by the words behind it.
+HALF = GAP // 2 + 1
+BEHIND = (1 << HALF) - 1
+_SUFFIX = "head long, hot boolean, mask int, left binary, right binary, key long, pos int"
 
 
 def selected(words: np.ndarray, offsets: np.ndarray, gram: int = GRAM, gap: int = GAP) -> np.ndarray:
@@ -69,16 +77,104 @@ def _heads(batch: pa.RecordBatch, text: int, least: int) -> Iterator[tuple]:
         yield a, words, at, kept, row, hashed
 
 
-def _windows(words: np.ndarray, at: np.ndarray, kept: np.ndarray, least: int) -> np.ndarray:
-    """Where windows of least words begin, within a row, whose least hash stands at one of the kept positions."""
+def _around(words: np.ndarray, at: np.ndarray, kept: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of kept positions: the words before the head, nearest first, and behind it, and for each f whether the passage that begins f words before
+    lies in the row and has its least hash here (a bit each)."""
+    short = (mix(words, 71) >> U64(32)).astype(">u4")
+
+    def taken(place: np.ndarray) -> np.ndarray:
+        inside = (place >= at[row, None]) & (place < at[row + 1, None])
+        return np.where(inside, short[np.clip(place, 0, len(short) - 1)], 0).astype(">u4")
+
+    left = taken(kept[:, None] - 1 - np.arange(GAP)[None])
+    right = taken(kept[:, None] + least - GAP + np.arange(GAP)[None])
     hashed = runs(words, GRAM)
-    mine = np.full(len(hashed), ~U64(0))
-    mine[kept] = hashed[kept]
-    start = within(at, least)
-    return start[sliding_min(mine, GAP + 1)[start] == sliding_min(hashed, GAP + 1)[start]]
+    lowest = sliding_min(hashed, GAP + 1)
+    start = kept[:, None] - np.arange(GAP + 1)[None]
+    whole = (start >= at[row, None]) & (start + least <= at[row + 1, None])
+    first = whole & (lowest[np.clip(start, 0, len(lowest) - 1)] == hashed[kept, None])
+    return left, right, (first << np.arange(GAP + 1)[None]).sum(1).astype(np.int32)
+
+
+def _chained(words: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, .. words of each row of a matrix."""
+    out = np.zeros((len(words), words.shape[1] + 1), U64)
+    for i in range(words.shape[1]):
+        out[:, i + 1] = mix(out[:, i] ^ words[:, i].astype(U64), i + 1)
+    return out
+
+
+def _context(column: pa.Array) -> np.ndarray:
+    return matrix(column, 4 * GAP).view(">u4")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted suffixes (block, f from..to, mask, left, right, key, pos) the passages that other keys hold: key, first and last place, other."""
+    for t, starts in whole_groups(batches, ["block"]):
+        low, high, mask, key, pos = (t.column(i).to_numpy() for i in (1, 2, 3, 6, 7))
+        left, right = _chained(_context(t.column(4))), _context(t.column(5))
+        shared = np.zeros(len(key), np.int64)  # words behind the head that a suffix shares with the one before it in the array
+        shared[1:] = np.minimum.accumulate(right[1:] == right[:-1], 1).sum(1)
+        shared[starts[:-1]] = -1
+        found = [[], [], []]
+        for f in range(GAP + 1):
+            interval = np.cumsum(shared < GAP - f)
+            rows = np.flatnonzero((mask >> f & 1 == 1) & (low <= f) & (f <= high))
+            if not len(rows):
+                continue
+            rows = rows[np.lexsort((key[rows], left[rows, f], interval[rows]))]
+            new = np.ones(len(rows), bool)
+            new[1:] = (interval[rows][1:] != interval[rows][:-1]) | (left[rows, f][1:] != left[rows, f][:-1])
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(rows)))
+            least, most = np.repeat(key[rows[begin]], size), np.repeat(key[rows[np.append(begin[1:], len(rows)) - 1]], size)
+            own = least < most
+            rows, least, most = rows[own], least[own], most[own]
+            for held, more in zip(found, (key[rows], pos[rows] - f, np.where(key[rows] == least, most, least)), strict=True):
+                held.append(more)
+        if found[0]:
+            key, pos, other = (np.concatenate(x) for x in found)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pos.astype(np.int32)), pa.array(other)], ["key", "pos", "other"])
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All extensions to `least` words of suffixes (head, f from..to, mask, left, right, key, pos), by 96 bits of hash."""
+    for batch in batches:
+        head, low, high, mask, key, pos = (batch.column(i).to_numpy() for i in (0, 1, 2, 3, 6, 7))
+        left, right = _chained(_context(batch.column(4))), _chained(_context(batch.column(5)))
+        for f in range(GAP + 1):
+            rows = np.flatnonzero((mask >> f & 1 == 1) & (low <= f) & (f <= high))
+            around = left[rows, f] * U64(0x9E3779B97F4A7C15) + right[rows, GAP - f]
+            hashed = mix(head[rows].view(U64) ^ mix(around, 5), f)
+            more = (mix(head[rows].view(U64) + mix(around, 6), f) >> U64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashed.view(np.int64)), pa.array(more.view(np.int32)), pa.array(key[rows]), pa.array((pos[rows] - f).astype(np.int32))],
+                ["hash", "more", "key", "pos"],
+            )
+
+
+def _blocks(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The suffixes in blocks of bounded size, and those of heads whose halves are hot as well."""
+    columns = ["low", "high", "mask", "left", "right", "key", "pos"]
+    narrow = rows.filter("NOT hot").withColumn("block", F.col("head")).withColumn("low", F.lit(0)).withColumn("high", F.lit(GAP))
+    half = 4 * HALF
+    sides = [
+        F.struct(F.xxhash64("head", F.lit(0), F.substring("right", 1, half)).alias("block"), F.lit(0).alias("low"), F.lit(HALF - 1).alias("high")),
+        F.struct(F.xxhash64("head", F.lit(1), F.substring("left", 1, half)).alias("block"), F.lit(HALF).alias("low"), F.lit(GAP).alias("high")),
+    ]
+    used = [F.col("mask").bitwiseAND(BEHIND) != 0, F.col("mask").bitwiseAND(~BEHIND) != 0]
+    wide = rows.filter("hot").withColumn("s", F.explode(F.array(*[F.when(u, s) for u, s in zip(used, sides, strict=True)]))).filter("s IS NOT NULL")
+    wide = wide.select("head", "s.*", *columns[2:])
+    large = materialise(wide.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("block"))
+    # A large block's suffixes are found by its number and a salt, so that no task holds one whole.
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("large", F.lit(True))
+    wide = wide.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
+    wide = materialise(wide.join(salted, ["block", "salt"], "left").drop("salt"))
+    fine = narrow.select("block", *columns).union(wide.filter("large IS NULL").select("block", *columns))
+    return fine, wide.filter("large").select("head", *columns)
 
 
-def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """key, start, end (words, end exclusive), other: maximal passages of `least` words that other keys hold."""
     docs = df.select(integer_key(df, key).alias("key"), F.col(text).alias("text"))
     docs = docs.filter(F.col("key").isNotNull() & (F.length("text") >= 2 * least - 1))
@@ -93,33 +189,39 @@ def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST) ->
                 )
 
     kept = docs.mapInArrow(heads, "head long, key long, pos int")
-    shared = kept.groupBy("head").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    shared = materialise(shared.select("head"))
-    places = materialise(kept.join(shared, "head").groupBy("key").agg(F.collect_set("pos").alias("places")))
+    shared = kept.groupBy("head").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    shared = materialise(shared.select("head", (F.col("n") > block).cast("int").alias("hot")))
+    # A place is twice its position, and one more where its head is hot.
+    places = materialise(kept.join(shared, "head").groupBy("key").agg(F.collect_set(2 * F.col("pos") + F.col("hot")).alias("places")))
     which = places.select("key")
     narrow = F.broadcast(which) if which.count() <= BROADCAST_KEYS else which
     met = docs.join(narrow, "key", "left_semi").join(places, "key").select("key", "places", "text")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, places = batch.column(0).to_numpy(), batch.column(1)
-            for a, words, at, kept, row, _ in _heads(batch, 2, least):
-                keep = np.zeros(len(kept), bool)
+            for a, words, at, kept, row, hashed in _heads(batch, 2, least):
+                place = 2 * (kept - at[row])
+                keep, hot = np.zeros(len(kept), bool), np.zeros(len(kept), bool)
                 for r in np.unique(row):
-                    mine = slice(*np.searchsorted(row, [r, r + 1]))
-                    keep[mine] = np.isin(kept[mine] - at[r], places[a + int(r)].values.to_numpy())
+                    mine, held = slice(*np.searchsorted(row, [r, r + 1])), places[a + int(r)].values.to_numpy()
+                    hot[mine] = np.isin(place[mine] + 1, held)
+                    keep[mine] = hot[mine] | np.isin(place[mine], held)
                 if not keep.any():
                     continue
-                start = _windows(words, at, kept[keep], least)
-                row = np.searchsorted(at, start, "right") - 1
-                more = (runs(mix(words, 71), least)[start] >> U64(32)).astype(np.uint32)
+                kept, row, hashed, hot, place = kept[keep], row[keep], hashed[keep], hot[keep], place[keep]
+                left, right, mask = _around(words, at, kept, row, least)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs(words, least)[start].view(np.int64)), pa.array(more.view(np.int32)), pa.array(key[a + row]),
-                     pa.array((start - at[row]).astype(np.int32))],
-                    ["hash", "more", "key", "pos"],
+                    [pa.array(hashed.view(np.int64)), pa.array(hot), pa.array(mask), binary_rows(left), binary_rows(right), pa.array(key[a + row]),
+                     pa.array((place // 2).astype(np.int32))],
+                    ["head", "hot", "mask", "left", "right", "key", "pos"],
                 )
 
-    array = met.mapInArrow(windows, "hash long, more int, key long, pos int").repartitionByRange("hash", "more", "key")
+    rows = materialise(met.mapInArrow(suffixes, _SUFFIX).filter("mask <> 0"))
+    fine, hot = _blocks(rows, block)
+    order = ["block", "right", "key"]
+    near = fine.repartitionByRange("block").sortWithinPartitions(*order).mapInArrow(_compared, "key long, pos int, other long")
+    array = hot.mapInArrow(_extended, "hash long, more int, key long, pos int").repartitionByRange("hash", "more", "key")
     found = array.sortWithinPartitions("hash", "more", "key").mapInArrow(_shared, "key long, pos int, other long, hash long, more int")
     found = materialise(found)
     edges = found.filter("other IS NULL").drop("other")
@@ -134,7 +236,7 @@ def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST) ->
             yield batch.filter(batch.column("other").is_valid()).select(["key", "pos", "other"])
             yield pa.RecordBatch.from_arrays([pa.array(edge["key"]), pa.array(edge["pos"]), pa.array(other)], ["key", "pos", "other"])
 
-    spans = found.mapInArrow(name, "key long, pos int, other long")
+    spans = found.mapInArrow(name, "key long, pos int, other long").union(near)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_groups(batches, ["key"]):

@@ -121,3 +121,13 @@ def test_nothing(spark):
     assert run(spark, [])[1] == [] == run(spark, [(1, None), (2, "")])[1]
     assert run(spark, [(1, "a b " * 60)])[1] == []
     assert op5(spark.createDataFrame([], "doc_id long, text string")).columns == ["doc_id", "start", "end", "other_id"]
+
+
+@pytest.mark.parametrize("block", [1, 6, 60])
+def test_blocks_of_any_size_give_the_same(spark, block):
+    """Blocks by head, by head and half of what lies around it, and by whole passages."""
+    rows = corpus(3) + [(1000 + i, t) for i, t in surrounded(lines=2, docs=150, left=4, right=4)]
+    got, spans = run(spark, rows, block=block)
+    assert got == covered(rows, 50)
+    want = run(spark, rows)[1]
+    assert sorted(map(tuple, spans)) == sorted(map(tuple, want))
