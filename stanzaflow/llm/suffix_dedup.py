@@ -46,6 +46,7 @@ BLOCK, SALTS = 1024, 16
 #: Words that a half of what lies around a head has, and the extensions to the left (a bit each) that are found by the words behind it.
 HALF = GAP // 2 + 1
 BEHIND = (1 << HALF) - 1
+_RUNS = "key long, pos int, last int, other long"
 _SUFFIX = "head long, hot boolean, mask int, left binary, right binary, key long, pos int"
 
 
@@ -108,8 +109,20 @@ def _context(column: pa.Array) -> np.ndarray:
     return matrix(column, 4 * GAP).view(">u4")
 
 
+def _joined(key: np.ndarray, pos: np.ndarray, other: np.ndarray, step: int) -> pa.RecordBatch:
+    """Places of passages as runs of places that are at most `step` apart: key, pos (the first), last, other (the least)."""
+    order = np.lexsort((pos, key))
+    key, pos, other = key[order], pos[order], other[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + step)
+    start = np.flatnonzero(new)
+    last = pos[np.append(start[1:], len(key)) - 1]
+    columns = [pa.array(key[start]), pa.array(pos[start].astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.minimum.reduceat(other, start))]
+    return pa.RecordBatch.from_arrays(columns, ["key", "pos", "last", "other"])
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes (block, f from..to, mask, left, right, key, pos) the passages that other keys hold: key, first and last place, other."""
+    """Of sorted suffixes (block, f from..to, mask, left, right, key, pos) the passages that other keys hold: key, pos, last, other."""
     for t, starts in whole_groups(batches, ["block"]):
         low, high, mask, key, pos = (t.column(i).to_numpy() for i in (1, 2, 3, 6, 7))
         left, right = _chained(_context(t.column(4))), _context(t.column(5))
@@ -132,9 +145,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, least, most = rows[own], least[own], most[own]
             for held, more in zip(found, (key[rows], pos[rows] - f, np.where(key[rows] == least, most, least)), strict=True):
                 held.append(more)
-        if found[0]:
-            key, pos, other = (np.concatenate(x) for x in found)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pos.astype(np.int32)), pa.array(other)], ["key", "pos", "other"])
+        if sum(map(len, found[0])):
+            yield _joined(*(np.concatenate(x) for x in found), 1)
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +232,7 @@ def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST, bl
     rows = materialise(met.mapInArrow(suffixes, _SUFFIX).filter("mask <> 0"))
     fine, hot = _blocks(rows, block)
     order = ["block", "right", "key"]
-    near = fine.repartitionByRange("block").sortWithinPartitions(*order).mapInArrow(_compared, "key long, pos int, other long")
+    near = fine.repartitionByRange("block").sortWithinPartitions(*order).mapInArrow(_compared, _RUNS)
     array = hot.mapInArrow(_extended, "hash long, more int, key long, pos int").repartitionByRange("hash", "more", "key")
     found = array.sortWithinPartitions("hash", "more", "key").mapInArrow(_shared, "key long, pos int, other long, hash long, more int")
     found = materialise(found)
@@ -233,20 +245,25 @@ def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST, bl
             edge = batch.filter(batch.column("other").is_null()).to_pandas().drop(columns="other")
             edge = edge.astype({"hash": "int64", "more": "int32"}).merge(ends, on=["hash", "more"])
             other = np.where(edge["key"] == edge["low"], edge["high"], edge["low"])
-            yield batch.filter(batch.column("other").is_valid()).select(["key", "pos", "other"])
-            yield pa.RecordBatch.from_arrays([pa.array(edge["key"]), pa.array(edge["pos"]), pa.array(other)], ["key", "pos", "other"])
+            sure = batch.filter(batch.column("other").is_valid())
+            parts = [[sure.column(c).to_numpy() for c in ("key", "pos", "other")], [edge["key"].to_numpy(), edge["pos"].to_numpy(), other]]
+            key, pos, other = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(key):
+                yield _joined(key, pos, other, 1)
 
-    spans = found.mapInArrow(name, "key long, pos int, other long").union(near)
+    spans = found.mapInArrow(name, _RUNS).union(near)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_groups(batches, ["key"]):
-            key, pos, other = (c.to_numpy() for c in t.columns)
+            key, pos, last, other = (c.to_numpy() for c in t.columns)
+            number = np.cumsum(np.append(0, key[1:] != key[:-1])) << 32
+            reached = np.maximum.accumulate(number + last)  # the last place of this key so far
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + least)
+            new[1:] = number[1:] + pos[1:] > reached[:-1] + least
             start = np.flatnonzero(new)
-            last = np.append(start[1:], len(key)) - 1
+            end = reached[np.append(start[1:], len(key)) - 1] - number[start] + least
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[start]), pa.array(pos[start]), pa.array((pos[last] + least).astype(np.int32)), pa.array(np.minimum.reduceat(other, start))],
+                [pa.array(key[start]), pa.array(pos[start]), pa.array(end.astype(np.int32)), pa.array(np.minimum.reduceat(other, start))],
                 ["key", "start", "end", "other"],
             )
 
