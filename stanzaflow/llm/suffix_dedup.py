@@ -109,12 +109,12 @@ def _context(column: pa.Array) -> np.ndarray:
     return matrix(column, 4 * GAP).view(">u4")
 
 
-def _joined(key: np.ndarray, pos: np.ndarray, other: np.ndarray, step: int) -> pa.RecordBatch:
-    """Places of passages as runs of places that are at most `step` apart: key, pos (the first), last, other (the least)."""
+def _joined(key: np.ndarray, pos: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    """Places of passages as runs of equal or neighbouring places: key, pos (the first), last, other (the least)."""
     order = np.lexsort((pos, key))
     key, pos, other = key[order], pos[order], other[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + step)
+    new[1:] = (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + 1)
     start = np.flatnonzero(new)
     last = pos[np.append(start[1:], len(key)) - 1]
     columns = [pa.array(key[start]), pa.array(pos[start].astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.minimum.reduceat(other, start))]
@@ -146,7 +146,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for held, more in zip(found, (key[rows], pos[rows] - f, np.where(key[rows] == least, most, least)), strict=True):
                 held.append(more)
         if sum(map(len, found[0])):
-            yield _joined(*(np.concatenate(x) for x in found), 1)
+            yield _joined(*(np.concatenate(x) for x in found))
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +246,8 @@ def repeated_passages(df: DataFrame, key: str, text: str, least: int = LEAST, bl
             edge = edge.astype({"hash": "int64", "more": "int32"}).merge(ends, on=["hash", "more"])
             other = np.where(edge["key"] == edge["low"], edge["high"], edge["low"])
             sure = batch.filter(batch.column("other").is_valid())
-            parts = [[sure.column(c).to_numpy() for c in ("key", "pos", "other")], [edge["key"].to_numpy(), edge["pos"].to_numpy(), other]]
-            key, pos, other = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(key):
-                yield _joined(key, pos, other, 1)
+            yield pa.RecordBatch.from_arrays([sure.column(c) for c in ("key", "pos", "pos", "other")], ["key", "pos", "last", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(edge["key"]), pa.array(edge["pos"]), pa.array(edge["pos"]), pa.array(other)], ["key", "pos", "last", "other"])
 
     spans = found.mapInArrow(name, _RUNS).union(near)
 
