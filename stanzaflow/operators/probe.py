@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stanzaflow.operators.density import era_table, in_eras
 from stanzaflow.operators.matching import contains_count
+from stanzaflow.operators.probing import Blocks, fitted
 from stanzaflow.operators.scans import ranked
 
 
@@ -59,12 +60,15 @@ def subgroups(df: DataFrame, year: str, label: str, eras: list[tuple[str, int |
     return sums.select("era", "n", "positives", enough(F.col("n"), F.col("_labels")).alias("fit"))
 
 
-def subgroup_accuracy(df: DataFrame, vector: str, label: str, order: str, year: str, eras: list[tuple[str, int | None, int | None]]) -> DataFrame:
-    """era, n, accuracy of a probe fitted in each era that has enough; eras are a few."""
+def subgroup_accuracy(
+    df: DataFrame, vector: str, label: str, order: str, year: str, eras: list[tuple[str, int | None, int | None]],
+    probe: Callable[[DataFrame, str, str, str], DataFrame] = cross_validated_accuracy,
+) -> DataFrame:
+    """era, n, accuracy of a probe fitted in each era that has enough; eras are a few. A null year counts as -1."""
     out = df.sparkSession.createDataFrame([], "era string, n long, accuracy double")
     for era, low, high in eras:
         own = in_eras(df.withColumn("_year", F.coalesce(year, F.lit(-1))), "_year", era_table(df.sparkSession, [(era, low, high)]))
-        folds = cross_validated_accuracy(own, vector, label, order)
+        folds = probe(own, vector, label, order)
         means = folds.agg(F.sum("n").alias("n"), F.avg("accuracy").alias("accuracy")).filter("n IS NOT NULL")
         out = out.union(means.select(F.lit(era), "n", "accuracy"))
     return out
@@ -108,17 +112,13 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = 51
 
 
 def shuffled_null(df: DataFrame, vector: str, label: str, order: str, accuracy: float, b: int = 200, seed: int = 42) -> DataFrame:
-    """null_mean, null_std (population), p = share of shuffles whose accuracy reaches the given one."""
-    rows = df.filter(F.col(label).isNotNull()).select(order, vector, label).persist()
+    """null_mean, null_std (population), p = share of shuffles whose accuracy reaches the given one. All shuffles are fitted together."""
+    blocks = Blocks.of(df, vector, label, order)
     stats = []
-    by_order = Window.orderBy(order)
-    for rep in range(b):  # replicates; each is a distributed fit
-        by_hash = Window.orderBy(F.md5(F.concat_ws("|", F.lit(f"{seed}|{rep}"), F.col(order).cast("string"))))
-        places = rows.select(order, vector, F.row_number().over(by_order).alias("_i"))
-        labels = rows.select(F.row_number().over(by_hash).alias("_i"), F.col(label))
-        folds = cross_validated_accuracy(places.join(labels, "_i"), vector, label, order)
-        stats.append((rep, folds.agg(F.avg("accuracy")).first()[0]))
-    rows.unpersist()
+    if enough(blocks.n, 1 + (0 < blocks.ones < blocks.n)):
+        found = fitted(blocks, b + 1, seed=seed)[1:]
+        means = (found[:, :, 1] / np.maximum(found[:, :, 0], 1)).mean(1)
+        stats = [(rep, float(mean)) for rep, mean in enumerate(means)]
     return null_statistics(df.sparkSession.createDataFrame(stats, "rep int, accuracy double"), F.lit(accuracy))
 
 

@@ -25,7 +25,7 @@ def trajectory(scored: DataFrame, eras: list = density.ERAS["trajectory"]) -> di
     return {
         "eras": scored.agg(*density.era_columns(eras, "year", "signal_weighted", "n_chars")),
         "control": scored.agg(*density.era_columns(eras, "year", "control_tokens", "n_chars")),
-        "bootstrap": inference.bootstrap_difference(before, during, ["year", "n_chars"], "signal_weighted", "n_chars"),
+        "bootstrap": inference.bootstrap_difference(before, during, ["year", "n_chars"], "signal_weighted", "n_chars", split=True),
         "changepoint": inference.changepoint(by_year, "year", "density"),
         "yearly": by_year.orderBy("year"),
     }
@@ -61,7 +61,7 @@ def crosssource(sources: dict[str, DataFrame]) -> DataFrame:
 
 def equivalence(a: DataFrame, b: DataFrame, order: list[str], replicas: int = 10_000, seed: int = 42) -> DataFrame:
     """Bootstrap of two baselines' difference, and whether its interval holds 0."""
-    boot = inference.bootstrap_difference(a, b, order, "signal_weighted", "n_chars", replicas, seed)
+    boot = inference.bootstrap_difference(a, b, order, "signal_weighted", "n_chars", replicas, seed, split=True)
     return boot.withColumn("verdict", density.verdict(F.col("lo"), F.col("hi")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stanzaflow.functions import draws
-from stanzaflow.operators import inference, lexicon as lx, matching as mt, probing, scans, segmenting
+from stanzaflow.operators import inference, lexicon as lx, matching as mt, probe, probing, scans, segmenting
 from stanzaflow.plans.catalog import _MID, _RUP, long, query, r6, scored, scored_sql, table
 from stanzaflow.plans.catalog import SQL
 from stanzaflow.plans.catalog_more import _PD, _boot_sql
@@ -113,9 +113,9 @@ def _(spark, d):
     return segmenting.asof_backward(events.select("event_id", "volume", "ts"), marks, ["volume"], "ts", ["marker"]).select("event_id", "marker")
 
 
-def _probe_sql(b: int, steps: int, rate: float, ridge: float = 0.01) -> str:
+def _probe_sql(b: int, steps: int, rate: float, ridge: float = 0.01, where: str = "label IS NOT NULL") -> str:
     """CTEs of probes in plain gradient steps: acc (rep, k, n, hits), rep 0 with the given labels."""
-    out = f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, (label < 5)::INTEGER AS y, list_append(embedding::DOUBLE[], 1::DOUBLE) AS x FROM embeddings WHERE label IS NOT NULL),
+    out = f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, (label < 5)::INTEGER AS y, list_append(embedding::DOUBLE[], 1::DOUBLE) AS x FROM embeddings WHERE {where}),
 h AS MATERIALIZED (SELECT rep, {mixed_sql(f"xor({int(draws.base(42, 'permutation'))}, rep - 1)")} AS h FROM range(1, {b + 1}) t(rep)),
 y AS MATERIALIZED (SELECT 0 AS rep, idx, y FROM v UNION ALL SELECT rep, idx,
     (row_number() OVER (PARTITION BY rep ORDER BY {mixed_sql("xor(h, idx)")}) <= (SELECT sum(y) FROM v))::INTEGER FROM v, h),
@@ -152,6 +152,23 @@ def _(spark, d):
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
+_HALVES = [("early", None, 249), ("late", 250, None), ("none", 10**9, None)]
+
+
+@query(
+    "subgroup_accuracy",
+    " UNION ALL ".join(
+        f"SELECT '{era}' AS era, sum(n)::BIGINT AS n, round(avg(accuracy), 6) AS accuracy FROM (WITH {_probe_sql(0, 6, 2.0, where=where)} SELECT * FROM acc)"
+        for era, where in (("early", "label IS NOT NULL AND vec_id <= 249"), ("late", "label IS NOT NULL AND vec_id >= 250"))
+    ),
+)
+def _(spark, d):
+    """A probe in each half of the vectors; an era without rows has none."""
+    fit = lambda df, vector, label, order: probing.probe_accuracy(df, vector, label, order, steps=6, rate=2.0)
+    out = probe.subgroup_accuracy(_binary(spark, d), "embedding", "y", "vec_id", "vec_id", _HALVES, fit)
+    return out.select("era", "n", r6("accuracy").alias("accuracy"))
+
+
 @query("match_automaton", SQL["match_positions"])
 def _(spark, d):
     """The automaton's accepted positions, counted by entry, are those of the fold and the join."""

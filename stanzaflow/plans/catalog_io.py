@@ -18,6 +18,7 @@ from stanzaflow.plans.catalog_more import _HEADER, _NUMERALS, _SECTIONS, _contai
 from stanzaflow.plans.sample import CONTROL, KEEP, SIGNAL, UNITS, Sql, scored as scored_sql
 from stanzaflow.sources import answers as web, files, sinks
 from stanzaflow.sources.scratch import materialise, new_path
+from stanzaflow.streaming import upserts
 from stanzaflow.streaming.scoring import score_stream, windowed_density
 
 
@@ -444,3 +445,35 @@ def _(spark, d):
     out = windowed_density(timed, "ts", "10 minutes", "1 hour")
     slot = F.floor(F.unix_timestamp("window.start") / 600)
     return out.select(long(slot).alias("slot"), "units", r6("signal_density").alias("signal"), r6("control_density").alias("control"))
+
+
+_UPSERTS = """SELECT conv_id, arg_max(turn, turn) AS turn, arg_max(role, turn) AS role, min(turn) AS place FROM conversations GROUP BY conv_id"""
+
+
+@query("upsert_stream", _UPSERTS)
+def _(spark, d):
+    """Turns in the order of a hash, so that most come late, in a batch for each file."""
+    path = new_path(spark)
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    turns.repartition(4, F.xxhash64("conv_id", "turn", "role")).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    changed = upserts.upserted(stream, ["conv_id"], "turn")
+    upserts.versions(changed, f"{path}/out", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return upserts.latest(spark, f"{path}/out", ["conv_id"]).select("conv_id", "turn", "role", "place")
+
+
+@query(
+    "windowed_stream",
+    f"""WITH {scored_sql()} SELECT (doc_id // 10)::BIGINT AS slot, count(*)::BIGINT AS units, round(coalesce(100 * sum(w) / nullif(sum(n), 0), 0), 6) AS signal,
+  round(coalesce(100.0::DOUBLE * sum(ct) / nullif(sum(n), 0), 0), 6) AS control FROM scored GROUP BY 1""",
+)
+def _(spark, d):
+    """Windows of a stream of texts, each time one changes; the newest version of each is what the batch says."""
+    path, source = new_path(spark), f"{d}/documents.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
+    scores = score_stream(stream, "text", SIGNAL, CONTROL, 0.8, keep=KEEP).withColumn("ts", F.timestamp_seconds(F.col("doc_id") * 60))
+    changed = windowed_density(scores, "ts", "10 minutes", "3650 days")
+    upserts.versions(changed, f"{path}/out", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = upserts.latest(spark, f"{path}/out", ["window"])
+    slot = F.floor(F.unix_timestamp("window.start") / 600)
+    return out.select(long(slot).alias("slot"), "units", r6("signal_density").alias("signal"), r6("control_density").alias("control"))

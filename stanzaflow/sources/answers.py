@@ -17,7 +17,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stanzaflow.sources.scratch import materialise
+from stanzaflow.sources.files import exists
+from stanzaflow.sources.scratch import materialise, new_path
 
 Ask = Callable[[DataFrame], DataFrame]
 
@@ -85,18 +86,26 @@ def pages(titles: DataFrame, ask: Ask) -> DataFrame:
     return found.select("title", F.try_element_at(text, F.lit("*")).alias("wikitext"), "failed")
 
 
-def listed(titles: DataFrame, ask: Ask, max_pages: int = 20, prefix: str = "") -> DataFrame:
-    """title, page, pos, link: links that an index lists, through at most max_pages answers each; all titles' next pages in one round."""
+def listed(titles: DataFrame, ask: Ask, max_pages: int = 20, prefix: str = "", path: str | None = None) -> DataFrame:
+    """title, page, pos, link: links that an index lists, through at most max_pages answers each; all titles' next pages in one round.
+
+    With a path, each round's links and continuation tokens are kept there, and a run that was stopped goes on behind the last whole round.
+    """
     query = {"action": "query", "prop": "links", "plnamespace": 0, "pllimit": "max", "format": "json"}
     kind = "query struct<pages: map<string,struct<links: array<struct<title: string>>>>>, `continue` struct<plcontinue: string>"
-    named = F.concat(F.lit(prefix), "title")
+    spark, named, nothing = titles.sparkSession, F.concat(F.lit(prefix), "title"), F.array().cast("array<struct<title:string>>")
     rest, out = titles.select("title", asked(titles=named, **query).alias("asked")), None
     for page in range(max_pages):
-        found = materialise(ask(rest).select("title", F.from_json("answer", kind).alias("a")))
-        links = F.flatten(F.transform(F.map_values("a.query.pages"), lambda p: F.coalesce(p["links"], F.array().cast("array<struct<title:string>>"))))
-        own = found.select("title", F.lit(page).alias("page"), F.posexplode(links).alias("pos", "l")).select("title", "page", "pos", F.col("l.title").alias("link"))
+        kept = f"{path}/page={page}" if path else new_path(spark)
+        if not (path and exists(spark, f"{kept}/_SUCCESS")):
+            answer = ask(rest).select("title", F.from_json("answer", kind).alias("a"))
+            each = F.flatten(F.transform(F.map_values("a.query.pages"), lambda p: F.coalesce(p["links"], nothing)))
+            round_ = answer.select("title", F.transform(each, lambda x: x["title"]).alias("links"), F.col("a.continue.plcontinue").alias("token"))
+            round_.write.mode("overwrite").parquet(kept)
+        found = spark.read.schema("title string, links array<string>, token string").parquet(kept)
+        own = found.select("title", F.lit(page).alias("page"), F.posexplode("links").alias("pos", "link"))
         out = own if out is None else out.union(own)
-        rest = found.filter("a.`continue`.plcontinue IS NOT NULL").select("title", asked(titles=named, plcontinue=F.col("a.continue.plcontinue"), **query).alias("asked"))
+        rest = found.filter("token IS NOT NULL").select("title", asked(titles=named, plcontinue=F.col("token"), **query).alias("asked"))
         if rest.isEmpty():
             break
     return out

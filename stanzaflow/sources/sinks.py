@@ -38,8 +38,8 @@ def merge_jsonl(df: DataFrame, path: str, schema: str, key: list[str], seq: str)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str], decimals: list[str]) -> None:
-    """CSV with a header in order; the named columns with three decimals."""
-    df.orderBy(*order).withColumns({c: fixed(F.col(c)) for c in decimals}).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header in order; the named columns with three decimals. Sorted in ranges: a large table gives several files, whose names are in order."""
+    df.orderBy(*order).withColumns({c: fixed(F.col(c)) for c in decimals}).write.mode("overwrite").option("header", True).csv(path)
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A reader asks a transport for JSON. The transport is a class path in the options, so that executors can make
 their own; `FileTransport` answers from files and needs no network, `HttpTransport` asks an address. Failures
-are retried and end as an empty answer, which gives no rows.
+are retried and end as an empty answer, which gives no rows, or, with `failures` set to `raise`, as an error. `answers` is the same over
+tables of titles, and keeps what failed.
 """
 
 from __future__ import annotations
@@ -22,14 +23,19 @@ class HttpTransport:
     def __init__(self, options: dict) -> None:
         self.base = options["address"]
         self.tries, self.pause = int(options.get("tries", 3)), float(options.get("pause", 2))
+        self.strict = options.get("failures") == "raise"
 
     def get(self, params: dict) -> dict:
+        why: Exception | None = None
         for _ in range(self.tries):
             try:
                 with urllib.request.urlopen(f"{self.base}?{urllib.parse.urlencode(params)}", timeout=30) as answer:
                     return json.load(answer)
-            except (OSError, ValueError):
+            except (OSError, ValueError) as e:
+                why = e
                 time.sleep(self.pause)
+        if self.strict:
+            raise RuntimeError(f"no answer to {params}") from why
         return {}
 
 
@@ -118,8 +124,9 @@ class _Prefixed(_Reader):
     def read(self, partition: Item) -> Iterator[tuple]:
         _, title = partition.value
         ask = _transport(self.options).get
-        for _ in range(4):
-            answer = ask({"action": "query", "list": "prefixsearch", "pssearch": f"{title}/", "pslimit": 60, "format": "json"})
+        limit = int(self.options.get("limit", 60))
+        for _ in range(int(self.options.get("asks", 4))):
+            answer = ask({"action": "query", "list": "prefixsearch", "pssearch": f"{title}/", "pslimit": limit, "format": "json"})
             pages = answer.get("query", {}).get("prefixsearch", [])
             if pages:
                 for seq, page in enumerate(pages):

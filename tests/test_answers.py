@@ -116,3 +116,21 @@ def test_a_notebook_for_each_row_restores_its_blobs(spark):
         names = {}
         exec("".join(book["cells"][1]["source"]).replace("pathlib.Path(name).write_bytes(base64.b64decode(data))", "names[name] = base64.b64decode(data)"), {"names": names})
         assert names == {"a.txt": r.t.encode()}
+
+
+def test_a_stopped_listing_goes_on_behind_its_last_round(spark, tmp_path):
+    page = lambda i: {"query": {"pages": {"1": {"links": [{"title": f"l{i}"}]}}}} | ({"continue": {"plcontinue": str(i + 1)}} if i < 4 else {})
+    rows = [(ask_text(**MORE, **({"plcontinue": str(i)} if i else {})), json.dumps(page(i))) for i in range(5)]
+    table, asked_for = web.from_table(spark.createDataFrame(rows, "asked string, answer string")), []
+
+    def ask(questions):
+        asked_for.append(1)
+        if len(asked_for) == 3:
+            raise ConnectionError("stopped")
+        return table(questions)
+
+    run = lambda: web.listed(titles(spark, "甲 乙"), ask, prefix="作者:", path=f"{tmp_path}/rounds")
+    with pytest.raises(ConnectionError):
+        run()
+    assert sorted((r.page, r.link) for r in run().collect()) == [(i, f"l{i}") for i in range(5)]
+    assert len(asked_for) == 6  # five answers and the one that failed
