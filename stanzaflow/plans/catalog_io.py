@@ -17,7 +17,7 @@ from stanzaflow.plans.catalog import _MID, _RUP, long, query, r6, scored, table,
 from stanzaflow.plans.catalog_more import _HEADER, _NUMERALS, _SECTIONS, _contains
 from stanzaflow.plans.sample import CONTROL, KEEP, SIGNAL, UNITS, Sql, scored as scored_sql
 from stanzaflow.sources import answers as web, files, sinks
-from stanzaflow.sources.scratch import materialise, new_path
+from stanzaflow.sources.scratch import new_path
 from stanzaflow.streaming import upserts
 from stanzaflow.streaming.scoring import score_stream, windowed_density
 
