@@ -133,20 +133,24 @@ def contains_count(text: Column, forms: Iterable[str]) -> Column:
 def match_by_grams(df: DataFrame, key: str, plain: str, forms: DataFrame) -> DataFrame:
     """key, ord, entry_id, pos (from 0) of accepted matches of normalised text with a form table, by an equi-join.
 
-    n-grams of the lengths in use meet the forms by equality; a fold over a text's sorted occurrences accepts
-    those that touch no accepted one. A text's occurrences share a row: they are bounded by its length.
+    A text's n-grams, one for each position and as long as the longest form, meet the forms by their first characters, as many as the least form
+    has; what begins with the form is an occurrence. Forms that may be broadcast meet them where they are, so that only occurrences are shuffled. A fold
+    over a text's sorted occurrences accepts those that touch no accepted one. A text's occurrences share a row: they are bounded by its length.
     """
-    lengths = [r[0] for r in forms.select("form_len").distinct().orderBy("form_len").collect()]  # a few numbers
-    if not lengths:
+    forms = forms.filter("form_len > 0")
+    least, most = forms.agg(F.min("form_len"), F.max("form_len")).first()
+    if least is None:
         return df.select(key).limit(0).selectExpr(f"`{key}`", "0 AS ord", "'' AS entry_id", "0 AS pos")
     # Pieces first: taking a substring walks a text from its beginning, which would be quadratic in its length.
     begin = F.sequence(F.lit(0), F.greatest(F.length(plain) - 1, F.lit(0)), F.lit(PIECE))
     pieces = df.select(key, F.col(plain).alias("_text"), F.explode(begin).alias("begin"))
-    pieces = pieces.select(key, "begin", F.substr("_text", F.col("begin") + 1, F.lit(PIECE + lengths[-1] - 1)).alias("piece"))
+    pieces = pieces.select(key, "begin", F.substr("_text", F.col("begin") + 1, F.lit(PIECE + most - 1)).alias("piece"))
     starts = F.sequence(F.lit(1), F.greatest(F.least(F.length("piece"), F.lit(PIECE)), F.lit(1)))
-    grams = F.explode(F.flatten(F.array(*[_grams(F.col("piece"), starts, n) for n in lengths])))
-    found = pieces.select(key, "begin", grams.alias("g"))
-    found = found.select(key, (F.col("begin") + F.col("g.pos")).alias("pos"), "g.form").join(forms, "form")
+    grams = pieces.select(key, "begin", "piece", F.explode(starts).alias("start"))
+    grams = grams.select(key, (F.col("begin") + F.col("start") - 1).alias("pos"), F.substr("piece", F.col("start"), F.lit(most)).alias("gram"))
+    heads = forms.select(F.substring("form", 1, least).alias("head"), "form", "ord", "form_len", "entry_id")
+    heads = F.broadcast(heads) if automaton.fits(forms) else heads
+    found = grams.withColumn("head", F.substring("gram", 1, least)).join(heads, "head").filter(F.startswith("gram", "form"))
     spans = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "form_len", "entry_id"))).alias("spans"))
     accepted = _accept(F.col("spans"))
     return spans.select(key, F.explode(accepted).alias("s")).select(key, "s.ord", "s.entry_id", "s.pos")
@@ -219,6 +223,3 @@ def _accept(spans: Column) -> Column:
 
     return accept(spans)
 
-
-def _grams(text: Column, starts: Column, n: int) -> Column:
-    return F.transform(starts, lambda p: F.struct((p - 1).alias("pos"), F.substr(text, p, F.lit(n)).alias("form")))

@@ -112,3 +112,25 @@ def test_fixed_rounds_as_the_exact_binary_value(spark):
     xs = [0.0625, 0.1875, 0.0005, 0.0015, 2.675, 1.0005, -0.0625, 0.0, 123.4565, 5e-5, 99999.9995, 0.3125]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select(fixed(F.col("x"))).collect()
     assert [r[0] for r in got] == [f"{x:.3f}" for x in xs]
+
+
+def test_grams_meet_forms_where_they_are_and_only_occurrences_are_shuffled(spark, monkeypatch):
+    rng = random.Random(5)
+    lexicon = Lexicon((Entry("a", ("ab", "abcab", "cc"), "x"), Entry("b", ("bca", "c" * 300, "ab"), "y")))
+    rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randrange(600)))) for i in range(40)] + [(900, "c" * 1000), (901, None), (902, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    forms = lx.form_table(lx.table(spark, lexicon))
+    monkeypatch.setattr(mt, "PIECE", 64)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mt.match_by_grams(df, "id", "t", forms)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        here = plan[: plan.index("Generate explode(sequence(1")]
+        assert "SortMergeJoin" not in here and "BroadcastHashJoin" in here
+        got = sorted(tuple(r) for r in found.collect())
+        monkeypatch.setattr(mt.automaton, "BROADCAST_CHARS", 0)  # beyond it, the same by a shuffled join
+        assert sorted(tuple(r) for r in mt.match_by_grams(df, "id", "t", forms).collect()) == got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [(i, e, at) for i, t in rows for e, at in plain(t or "", lexicon)]
+    assert sorted((i, e, at) for i, _, e, at in got) == sorted(want)
