@@ -74,12 +74,16 @@ def raw_tokens(hits: Column) -> Column:
 
 
 def weighted_presence(hits: Column, lexicon: Lexicon, category: str | None = None) -> Column:
-    """Specificities of the distinct entries hit, summed; of one category after shared matching, if named."""
+    """Specificities of the distinct entries hit, summed; of one category after shared matching, if named.
+
+    They are added in the lexicon's order, whichever hit first, so that equal sets of entries have equal sums to the last bit.
+    """
     weights = [(e.id, e.specificity) for e in lexicon.entries if category in (None, e.category)]
     if not weights:
         return F.lit(0.0)
     table = F.create_map(*[F.lit(x) for pair in weights for x in pair])
-    return F.aggregate(entries_hit(hits), F.lit(0.0), lambda a, e: a + F.coalesce(F.try_element_at(table, e), F.lit(0.0)))
+    found = F.array_intersect(F.array(*[F.lit(e) for e, _ in weights]), F.transform(hits, lambda h: h["entry_id"]))
+    return F.aggregate(found, F.lit(0.0), lambda a, e: a + F.coalesce(F.try_element_at(table, e), F.lit(0.0)))
 
 
 def detect(text: Column, lexicon: Lexicon, keep: str = IDEOGRAPHS) -> Column:

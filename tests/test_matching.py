@@ -134,3 +134,11 @@ def test_grams_meet_forms_where_they_are_and_only_occurrences_are_shuffled(spark
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = [(i, e, at) for i, t in rows for e, at in plain(t or "", lexicon)]
     assert sorted((i, e, at) for i, _, e, at in got) == sorted(want)
+
+
+def test_weights_are_added_in_the_lexicon_s_order(spark):
+    """0.1 + 0.7 + 0.3 and its other orders differ in the last bit, which shows where three decimals are a tie."""
+    lexicon = Lexicon((Entry("x", ("a",), "c", 0.1), Entry("y", ("bbb",), "c", 0.7), Entry("z", ("dd",), "c", 0.3)))
+    df = spark.createDataFrame([("addbbb",), ("bbbdda",), ("ddbbb",)], "t string")
+    got = [r[0] for r in df.select(mt.weighted_presence(mt.fold(F.col("t"), lexicon), lexicon)).collect()]
+    assert got == [0.1 + 0.7 + 0.3] * 2 + [0.7 + 0.3] and 0.1 + 0.7 + 0.3 != 0.7 + 0.3 + 0.1
