@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, NullType, ShortType
 
 from stanzaflow.sources import scratch as _scratch
-from stanzaflow.sources.scratch import discard, shared_dir, written  # noqa: F401  the operators' own
-
-#: Bytes and rows of a batch that goes to Python.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
-
-
-def bounded_batches(spark: SparkSession) -> SparkSession:
-    """The session, set to hand rows to Python in batches of a few MB, whatever the length of a row's text.
-
-    A batch is held several times: in the JVM's direct memory, in transit, and by the worker that reads it.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+from stanzaflow.sources.scratch import bounded_batches, discard, shared_dir, written  # noqa: F401  the operators' own
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from stanzaflow.sources.scratch import bounded_batches
+
 #: Characters of all forms together that are broadcast, at most.
 BROADCAST_CHARS = 16 << 20
 HIT = StructType([StructField("ord", IntegerType()), StructField("entry_id", StringType()), StructField("pos", IntegerType())])
@@ -61,6 +63,7 @@ def with_hits(df: DataFrame, plain: str, forms: DataFrame, name: str = "hits") -
 
     The forms must fit (see fits); operators.matching.match_positions takes another way where they don't.
     """
+    bounded_batches(df.sparkSession)
     held = shared_forms(forms, "entry_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +80,7 @@ def with_hits(df: DataFrame, plain: str, forms: DataFrame, name: str = "hits") -
 
 def converted(df: DataFrame, text: str, source: str, target: str, phrases: DataFrame) -> DataFrame:
     """df with its text converted: phrases (ord, form, becomes) first, what lies between them by character. Null stays null."""
+    bounded_batches(df.sparkSession)
     held = shared_forms(phrases, "becomes")
     letters: dict[int, str | None] = {}
     for i, c in enumerate(source):

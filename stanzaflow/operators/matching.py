@@ -19,6 +19,7 @@ from stanzaflow.functions.numeric import ratio100
 from stanzaflow.functions.text import IDEOGRAPHS, normalise
 from stanzaflow.operators import automaton
 from stanzaflow.operators.lexicon import Lexicon
+from stanzaflow.sources.scratch import bounded_batches
 
 #: Stands for used characters; must be outside the normalised alphabet.
 USED = "#"
@@ -141,6 +142,7 @@ def match_by_grams(df: DataFrame, key: str, plain: str, forms: DataFrame) -> Dat
     has; what begins with the form is an occurrence. Forms that may be broadcast meet them where they are, so that only occurrences are shuffled. A fold
     over a text's sorted occurrences accepts those that touch no accepted one. A text's occurrences share a row: they are bounded by its length.
     """
+    bounded_batches(df.sparkSession)
     forms = forms.filter("form_len > 0")
     least, most = forms.agg(F.min("form_len"), F.max("form_len")).first()
     if least is None:

@@ -97,3 +97,17 @@ def test_fixed_decimals_of_any_size(spark, places):
     xs += [rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 15) for _ in range(300)] + [rng.randrange(10**7) / 16 for _ in range(100)]
     got = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").select("x", fixed(F.col("x"), places).alias("f")).collect()
     assert [r.f for r in got] == [f"{x:.{places}f}" for x in xs] + [None]
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    """Whatever a session was set to: without it a batch held 10,000 texts."""
+    from stanzaflow.operators import matching, tables
+    from stanzaflow.sources.scratch import BATCH_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(1, "ab")], "id long, t string")
+    pairs = spark.createDataFrame([("a", "b")], "form string, becomes string")
+    for use in (lambda: matching.convert_script(df, "id", "t", "a", "b", pairs), lambda: tables.register(spark)):
+        spark.conf.unset(name)
+        use()
+        assert int(spark.conf.get(name)) == BATCH_BYTES
