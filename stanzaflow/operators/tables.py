@@ -23,6 +23,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, SelectedColumn
 
 from stanzaflow.functions.text import DIGITS, IDEOGRAPHS, LINE_IDEOGRAPHS, NUMERALS
 from stanzaflow.operators.segmenting import CLAUSE_ENDS, MARKERS, PROSE, QUOTE, SECTION_HEADER
+from stanzaflow.sources.scratch import bounded_batches
 
 
 @dataclass
@@ -165,6 +166,7 @@ FUNCTIONS = {"dated_sections": DatedSections, "dated_quotes": DatedQuotes, "vers
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions known to the session's SQL."""
+    """Make the functions known to the session's SQL, and have texts come to them in batches of a few MB."""
+    bounded_batches(spark)
     for name, function in FUNCTIONS.items():
         spark.udtf.register(name, udtf(function, useArrow=True))
