@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,6 +17,10 @@ from stanzaflow.operators.density import era_table, in_eras
 from stanzaflow.operators.matching import contains_count
 from stanzaflow.operators.probing import Blocks, fitted
 from stanzaflow.operators.scans import ranked
+from stanzaflow.sources.scratch import bounded_batches, materialise
+
+#: Tasks that pack vectors in blocks, at most, and blocks that a task of the product of blocks holds, at most.
+PACKERS, HELD = 64, 64
 
 
 def weak_label(text: Column, signal: Iterable[str], control: Iterable[str]) -> Column:
@@ -74,35 +81,23 @@ def subgroup_accuracy(
     return out
 
 
-def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = 512) -> DataFrame:
+def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
     """silhouette: the mean Euclidean silhouette, NaN with one label.
 
-    All points meet all, in blocks: a row's distances are summed by label in numpy, and only these sums leave a
-    task. The cost is quadratic by definition; a single label's points score 0 if they are alone.
+    All points meet all: rows are packed in blocks, and blocks meet in a Cartesian product whose tasks hold HELD blocks at most and
+    add up each block's distances by label in numpy; only these sums leave a task. Blocks, not rows, are moved, once for each part of the other
+    side. The time is quadratic by definition; a single label's points score 0 if they are alone.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("l"))
-    n = rows.count()
-    parts = max(1, -(-n // block))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(parts)))
-    left = dealt.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("side", F.lit(0))
-    right = dealt.withColumn("a", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("side", F.lit(1))
-    met = left.select("a", "b", "side", "k", "v", "l").union(right.select("a", "b", "side", "k", "v", "l"))
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"k": [], "l": [], "other": [], "n": [], "d": []})
-        x, y = np.stack(mine.v), np.stack(theirs.v)
-        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None], 0))
-        out = []
-        for label in theirs.l.unique():
-            of = (theirs.l == label).to_numpy()
-            same = (mine.k.to_numpy()[:, None] == theirs.k.to_numpy()[of][None])
-            part = np.where(same, 0, d[:, of])
-            out.append(pd.DataFrame({"k": mine.k, "l": mine.l, "other": label, "n": (~same).sum(1), "d": part.sum(1)}))
-        return pd.concat(out)
-
-    by_label = met.groupBy("a", "b").applyInPandas(sums, "k long, l int, other int, n long, d double")
+    spark = bounded_batches(df.sparkSession)
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("l"), F.col(vector).cast("array<double>").alias("v"))
+    n = -(-rows.count() // block)
+    packs = rows.repartition(max(1, min(n, PACKERS))).mapInArrow(partial(_packed, block=block), "k array<long>, l array<int>, v binary")
+    packs = materialise(packs.withColumn("id", F.monotonically_increasing_id()))
+    held = max(1, -(-n // HELD))
+    parts = max(1, min(n, -(-3 * spark.sparkContext.defaultParallelism // held)))
+    theirs = packs.select(*[F.col(c).alias(f"{c}2") for c in ("k", "l", "v")]).repartition(held)
+    met = packs.repartition(parts).join(theirs.hint("shuffle_replicate_nl"))
+    by_label = met.mapInArrow(_distances, "k long, l int, other int, n long, d double")
     by_label = by_label.groupBy("k", "l", "other").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
     points = by_label.groupBy("k").agg(
         F.max(F.when(F.col("l") == F.col("other"), F.col("mean"))).alias("own"), F.min(F.when(F.col("l") != F.col("other"), F.col("mean"))).alias("near")
@@ -111,6 +106,67 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str, block: int = 51
     return points.agg(F.when(F.count("near") == 0, F.lit(float("nan"))).otherwise(F.avg(s)).alias("silhouette"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows (k, l, v) as one row for each block of them, in label order."""
+
+    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).sort_by("l")
+        if table["v"].null_count or len(set(pc.list_value_length(table["v"]).to_pylist())) != 1:
+            raise ValueError("a silhouette takes vectors of one length, none of them null")
+        vectors = pc.list_flatten(table["v"]).to_numpy().tobytes()
+        lists = [pa.array([table[c].to_pylist()], pa.list_(t)) for c, t in (("k", pa.int64()), ("l", pa.int32()))]
+        return pa.RecordBatch.from_arrays([*lists, pa.array([vectors], pa.binary())], ["k", "l", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, block - n))
+            batch, n = batch.slice(held[-1].num_rows), n + held[-1].num_rows
+            if n == block:
+                yield one(held)
+                held, n = [], 0
+    if held:
+        yield one(held)
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pairs of blocks: each row's distances to rows of other keys, counted and summed by label, over all blocks that follow one another with the same id."""
+
+    def side(batch: pa.RecordBatch, i: int, end: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        keys = batch[f"k{end}"][i].values.to_numpy()
+        vectors = np.frombuffer(batch[f"v{end}"][i].as_buffer()).reshape(len(keys), -1)
+        return keys, batch[f"l{end}"][i].values.to_numpy(zero_copy_only=False), vectors, (vectors**2).sum(1)
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        for other, (n, d) in sums.items():
+            labels = pa.array(own, pa.int32(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), labels, pa.array([other] * len(k), pa.int32()), pa.array(n), pa.array(d)], ["k", "l", "other", "n", "d"])
+
+    at, sums = None, {}
+    for batch in batches:
+        for i, block in enumerate(batch["id"].to_pylist()):
+            if block != at:
+                yield from summed()
+                at, sums = block, {}
+                k, own, x, xx = side(batch, i, "")
+            k2, labels, y, yy = side(batch, i, "2")
+            d = xx[:, None] - 2 * x @ y.T + yy[None]
+            np.sqrt(np.maximum(d, 0, out=d), out=d)
+            labels, starts, sizes = np.unique(labels, return_index=True, return_counts=True)  # a pack lies in label order, null last
+            n = np.repeat(sizes[None], len(k), 0)
+            shared = np.flatnonzero(np.isin(k, k2))
+            if len(shared):
+                same = k[shared, None] == k2[None]
+                d[shared] = np.where(same, 0, d[shared])
+                n[shared] -= np.add.reduceat(same.astype(np.int64), starts, axis=1)
+            d = np.add.reduceat(d, starts, axis=1)
+            for j, label in enumerate(labels.tolist()):
+                label = None if label != label else int(label)
+                was = sums.get(label, (0, 0))
+                sums[label] = was[0] + n[:, j], was[1] + d[:, j]
+    yield from summed()
+
+
 def shuffled_null(df: DataFrame, vector: str, label: str, order: str, accuracy: float, b: int = 200, seed: int = 42) -> DataFrame:
     """null_mean, null_std (population), p = share of shuffles whose accuracy reaches the given one. All shuffles are fitted together."""
     blocks = Blocks.of(df, vector, label, order)

@@ -111,3 +111,24 @@ def test_texts_go_to_python_in_bounded_batches(spark):
         spark.conf.unset(name)
         use()
         assert int(spark.conf.get(name)) == BATCH_BYTES
+
+
+def test_silhouette_moves_blocks_and_not_rows_for_each_block(spark, monkeypatch):
+    import numpy as np
+    from stanzaflow.operators import probe
+
+    monkeypatch.setattr(probe, "HELD", 8)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
+    moved = []
+    for n in (400, 1600):
+        v, labels = np.random.default_rng(n).normal(size=(n, 16)), [i % 3 for i in range(n)]
+        d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+        of = [np.array(labels) == x for x in range(3)]
+        own = np.array([d[i, of[x]].sum() / (of[x].sum() - 1) for i, x in enumerate(labels)])
+        near = np.array([min(d[i, of[y]].mean() for y in range(3) if y != x) for i, x in enumerate(labels)])
+        before = shuffled()
+        got = probe.silhouette(spark.createDataFrame([(i, v[i].tolist(), labels[i]) for i in range(n)], "k long, v array<double>, l int"), "k", "v", "l", block=20)
+        assert got.first()[0] == pytest.approx(((near - own) / np.maximum(near, own)).mean())
+        moved.append(shuffled() - before)
+    assert moved[1] < 9 * moved[0]  # 16 times and more, if each block had its own copy of each row
