@@ -20,6 +20,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x >> _HALF) ^ x
 
 
+def mixed32(x: np.ndarray) -> np.ndarray:
+    """mixed of an array of uint32, in place: half the bytes, and factors that wrap by themselves."""
+    high = x >> np.uint32(16)
+    for _ in range(2):
+        x ^= high
+        x *= np.uint32(FACTOR)
+        np.right_shift(x, np.uint32(16), out=high)
+    x ^= high
+    return x
+
+
 def base(*parts: object) -> np.ndarray:
     """Where draws begin: 32 bits of an MD5 of what names them."""
     return np.uint64(int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16))

@@ -22,7 +22,9 @@ from stanzaflow.operators.scans import ranked
 from stanzaflow.sources.scratch import materialise
 
 #: Rows of a shard that draws are dealt to, about; bits that number shards, at most; draws made at once in a task.
-SHARD_ROWS, SHARD_BITS, DRAWS = 2048, 16, 1 << 20
+SHARD_ROWS, SHARD_BITS, DRAWS = 2048, 16, 1 << 17
+#: Copies of rows of a shard that are told apart by an array of places; beyond, by searching.
+SPREAD = 1 << 22
 #: Bins that a replicate's hashes are counted in, in one pass; replicates whose counts are merged together; bits of a hash.
 BINS, TOGETHER, HASH_BITS = 64, 128, 62
 
@@ -84,16 +86,25 @@ def split_replicates(df: DataFrame, key: list[str], num: str, den: str, stratum:
         table = table.sort_by([("name", "ascending"), ("num", "ascending"), ("den", "ascending")])
         shard = table["shard"][0].as_py()
         values = [np.nan_to_num(table[c].fill_null(0).to_numpy(), nan=np.nan) for c in ("num", "den")]
-        upto = np.cumsum(table["times"].to_numpy())
+        times = table["times"].to_numpy()
+        upto = np.cumsum(times)
+        spread = upto[-1] <= SPREAD
+        if spread:
+            values = [np.repeat(v, times) for v in values]
+        begun = draws.drawn(start, np.arange(b), (1 << bits) + shard).astype(np.uint32)
         k, sums = dealt(shard), np.zeros((2, b))
         first = 0
         while first < b:  # replicates with together some DRAWS draws
             last = max(first + 1, int(np.searchsorted(np.cumsum(k[first:]), DRAWS, side="right")) + first)
-            rep = np.repeat(np.arange(first, last), k[first:last])
-            draw = np.arange(len(rep)) - np.repeat(np.cumsum(k[first:last]) - k[first:last], k[first:last])
-            row = np.searchsorted(upto, draws.places(draws.drawn(start, rep, (1 << bits) + shard, draw), int(upto[-1])), side="right")
+            own = k[first:last]
+            at = np.cumsum(own) - own
+            draw = np.arange(own.sum(), dtype=np.uint32) - np.repeat(at.astype(np.uint32), own)
+            draw ^= np.repeat(begun[first:last], own)  # as draws.drawn(start, rep, (1 << bits) + shard, draw)
+            row = draws.places(draws.mixed32(draw).astype(np.uint64), int(upto[-1]))
+            row = row if spread else np.searchsorted(upto, row, side="right")
             for total, value in zip(sums, values, strict=True):
-                total[first:last] = np.bincount(rep - first, value[row], last - first)
+                if len(row):
+                    total[first:last][own > 0] = np.add.reduceat(value[row], at[own > 0])
             first = last
         return pa.table({"rep": np.arange(b), "num": sums[0], "den": sums[1], "draws": k})
 
@@ -231,17 +242,30 @@ def _merged(rows: DataFrame, open_: np.ndarray, low: np.ndarray, high: np.ndarra
         reps, lows, highs = shared.value
         width = (-(-(highs - lows) // bins)).astype(np.uint64)
         held = np.zeros((3, len(reps), bins + 1))
+        begun = draws.drawn(draws.base(seed, "permutation"), reps).astype(np.uint32)
+        shift = np.uint64(HASH_BITS - 32)
+        # A hash of 32 bits, shifted, lies below a bound if it is below the bound's own upper bits, rounded up.
+        least, upper = (np.array([-(-int(x) >> int(shift)) for x in bound], np.int64) for bound in (lows, highs))
         for batch in batches:
             idx, num, den = (c.to_numpy() for c in batch.columns)
             step = max(1, DRAWS // max(1, len(idx)))
+            short = not md5 and len(idx) and int(idx.max()) >> 32 == 0 and int(least.max()) >> 32 == 0 and int(upper.min()) > 0
+            weights = np.stack([np.ones(len(idx)), num, den], 1)
             for lo in range(0, len(reps), step):
                 own = slice(lo, lo + step)
-                hashed = hashes(seed, reps[own], idx, md5)
-                below = hashed < lows[own, None].astype(np.uint64)
-                place = np.where(below, 0, (hashed - lows[own, None].astype(np.uint64)) // width[own, None] + np.uint64(1)).astype(np.int64)
-                here = below | (hashed < highs[own, None].astype(np.uint64))
-                r, c = np.nonzero(here)
-                cell, cells = r * (bins + 1) + place[r, c], hashed.shape[0] * (bins + 1)
+                if short:
+                    hashed = draws.mixed32(begun[own, None] ^ idx[None].astype(np.uint32))
+                    below = hashed < least[own, None].astype(np.uint32)
+                    r, c = np.nonzero((hashed <= (upper[own, None] - 1).astype(np.uint32)) & ~below)
+                    inside = hashed[r, c].astype(np.uint64) << shift
+                else:
+                    hashed = hashes(seed, reps[own], idx, md5)
+                    below = hashed < lows[own, None].astype(np.uint64)
+                    r, c = np.nonzero((hashed < highs[own, None].astype(np.uint64)) & ~below)
+                    inside = hashed[r, c]
+                held[:, own, 0] += (below.astype(float) @ weights).T
+                place = ((inside - lows[own].astype(np.uint64)[r]) // width[own][r]).astype(np.int64) + 1
+                cell, cells = r * (bins + 1) + place, hashed.shape[0] * (bins + 1)
                 for total, weight in zip(held, (None, num[c], den[c]), strict=True):
                     total[own] += np.bincount(cell, weight, cells).reshape(-1, bins + 1)
         for lo in range(0, len(reps), TOGETHER):

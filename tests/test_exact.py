@@ -116,3 +116,20 @@ def test_probes_fitted_together_equal_fits_one_by_one(spark):
     assert out.accuracy > out.null_mean + 3 * out.null_std and out.p == 0 and 0.5 < out.null_mean < 0.7
     assert [r.fold for r in probing.probe_accuracy(df, "x", "y", "i").collect()] == list(range(5))
     assert probing.probe_accuracy(df.filter("y = 1"), "x", "y", "i").collect() == [] and probing.probe_null(df.limit(20), "x", "y", "i").collect() == []
+
+
+def test_short_draws_equal_the_long_ones(spark, monkeypatch):
+    """Draws in 32-bit words are those of 64-bit words, and places by an array those by searching."""
+    x = np.random.default_rng(3).integers(0, 1 << 32, 5000, dtype=np.uint64)
+    assert (draws.mixed32(x.astype(np.uint32)) == draws.mixed(x)).all()
+    rows = [(i % 7, float(i % 3), i % 5 + 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, num double, den long")
+    split = lambda: [tuple(r) for r in inference.split_replicates(df, ["k"], "num", "den", "a", 30, 1, shard_rows=50).orderBy("rep").collect()]
+    spread = split()
+    monkeypatch.setattr(inference, "SPREAD", 0)
+    assert split() == spread
+    rows = spark.range(500).selectExpr("id AS _idx", "id % 3 + 0.5D AS num", "id % 5 + 1.0D AS den")
+    num, den, _ = inference.selected_sums(rows, 500, 180, 40, 9)
+    idx = np.arange(500)
+    first = [np.argsort(inference.hashes(9, np.array([r]), idx, False)[0])[:180] for r in range(40)]
+    assert num.tolist() == [(i % 3 + 0.5).sum() for i in first] and den.tolist() == [(i % 5 + 1.0).sum() for i in first]
