@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType, TimestampType
 
+from stanzaflow.sources.scratch import materialise
+
 #: Rows of the sample for each cut, and the most cuts.
 SAMPLED, CUTS = 32, 4096
 
@@ -87,6 +89,26 @@ def ranked(df: DataFrame, by: list[str], order: list[str], rank: str = "_rank",
     return out.drop("_cut", "_before", "_all")
 
 
+def numbered(df: DataFrame, order: list[str], rank: str = "_rank", size: str | None = None, cuts: int | None = None) -> DataFrame:
+    """df with each row's rank over all from 0, as `ranked` without a key gives it, for large tables.
+
+    Spark's own ranges of rows are sorted and numbered, written once to the shared folder, and moved by the sizes of the ranges before them: no bounds
+    are searched row by row, and there is no window. All columns of df are written.
+    """
+    spark = df.sparkSession
+    n = min(CUTS, cuts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The upper 31 bits of such an id are the range, the lower 33 the place in it.
+    ranges = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    first, total = [], 0
+    for r in ranges.groupBy(F.shiftright("_at", 33).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # at most CUTS rows
+        first.append((r.part, total))
+        total += r.n
+    begins = spark.createDataFrame(first, "_part int, _first long")
+    out = ranges.join(F.broadcast(begins), F.shiftright("_at", 33).cast("int") == F.col("_part"), "left")
+    out = out.withColumn(rank, F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    return (out.withColumn(size, F.lit(total).cast("long")) if size else out).drop("_at", "_part", "_first")
+
+
 def carried(df: DataFrame, by: list[str], order: list[str], value: str, within: list[str | Column] | None = None, cuts: int | None = None) -> DataFrame:
     """df with `value` filled by the last one of its key that isn't null, at or before the row.
 

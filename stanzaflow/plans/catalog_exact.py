@@ -96,7 +96,8 @@ def _(spark, d):
     """SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1)::BIGINT AS place FROM lineitem""",
 )
 def _(spark, d):
-    return scans.ranked(table(spark, d, "lineitem"), [], ["l_extendedprice", "l_orderkey", "l_linenumber"], "place").select(
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+    return scans.numbered(table(spark, d, "lineitem").select(*order), order, "place").select(
         "l_orderkey", "l_linenumber", long("place").alias("place")
     )
 

@@ -59,3 +59,15 @@ def test_no_rows(spark):
     assert sg.asof_backward(df.select("k", "p"), df, ["k"], "p", ["y"]).collect() == []
     one = spark.createDataFrame([("a", 1)], "k string, p int")
     assert [tuple(r) for r in sg.asof_backward(one, df, ["k"], "p", ["y"]).collect()] == [("a", 1, None)]
+
+
+def test_rows_are_numbered_without_a_search_of_bounds(spark):
+    """Spark's ranges place the rows: no bounds are searched row by row, and nothing is shuffled after they are written."""
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id % 7 END AS x", "timestamp_seconds(id % 11) AS t")
+    out = scans.numbered(df, ["x", "t", "id"], "place", "size", 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_bounds" not in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+    got = [r.id for r in out.orderBy("place").collect()]
+    assert got == [r.id for r in df.orderBy("x", "t", "id").collect()]
+    assert [tuple(r) for r in out.selectExpr("min(place)", "max(place)", "min(size)", "max(size)").collect()] == [(0, 2999, 3000, 3000)]
+    assert scans.numbered(df.limit(0), ["id"], "place", "size").collect() == []
