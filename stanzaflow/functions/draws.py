@@ -54,6 +54,8 @@ def places(hashed: np.ndarray, n: int) -> np.ndarray:
 #: Normal quantiles at logits of probabilities, as first guesses.
 _LOGITS = np.linspace(-28, 28, 2049)
 _NORMAL = np.array([NormalDist().inv_cdf(1 / (1 + math.exp(-x))) for x in _LOGITS])
+#: Binomials whose tails are summed together: arrays that a core's cache holds.
+_TOGETHER = 1 << 12
 _SMALL = np.array([math.lgamma(i + 1) for i in range(128)])
 
 
@@ -63,23 +65,35 @@ def _log_factorial(n: np.ndarray) -> np.ndarray:
     return np.where(n < len(_SMALL), _SMALL[np.minimum(n, len(_SMALL) - 1)], series)
 
 
-def binomial(k: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
-    """For each k and u in [0, 1) the least x with P(Binomial(k, p) <= x) > u: its inverse distribution function.
+def binomial(k: np.ndarray, p: np.ndarray | float, u: np.ndarray) -> np.ndarray:
+    """For each k, p and u in [0, 1) (broadcast) the least x with P(Binomial(k, p) <= x) > u: its inverse distribution function."""
+    k, p, u = np.broadcast_arrays(np.asarray(k, np.int64), np.asarray(p, float), u)
+    shape, (k, p, u) = k.shape, (x.ravel() for x in (k, p, u))
+    out = np.where(p >= 1, k, 0)
+    open_ = np.flatnonzero((p > 0) & (p < 1) & (k > 0))
+    for lo in range(0, len(open_), _TOGETHER):
+        at = open_[lo : lo + _TOGETHER]
+        out[at] = _inverse(k[at], p[at], u[at])
+    return out.reshape(shape)
 
-    The tail below a first guess is summed in steps that shrink it to nothing, some ten standard deviations; then x moves to where it belongs.
-    """
-    k = np.asarray(k, np.int64)
-    if p <= 0 or p >= 1:
-        return k.copy() if p >= 1 else np.zeros_like(k)
+
+def _inverse(k: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The tail below a first guess is summed in steps that shrink it to nothing, some ten standard deviations; then x moves to where it belongs."""
     q, sd = 1 - p, np.sqrt(k * p * (1 - p))
     inner = np.clip(u, 1e-12, 1 - 1e-12)
     z = np.interp(np.log(inner / (1 - inner)), _LOGITS, _NORMAL)
     x = np.clip(np.floor(k * p + z * sd), 0, k).astype(np.int64)
-    here = np.exp(_log_factorial(k) - _log_factorial(x) - _log_factorial(k - x) + x * math.log(p) + (k - x) * math.log1p(-p))
-    total, term, i = np.ones(len(k)), np.ones(len(k)), 0
-    while len(k) and term.max() > 1e-18:
-        term = term * (np.maximum(x - i, 0) * q) / ((k - x + i + 1) * p)
-        total, i = total + term, i + 1
+    here = np.exp(_log_factorial(k) - _log_factorial(x) - _log_factorial(k - x) + x * np.log(p) + (k - x) * np.log1p(-p))
+    total, term, odds = np.ones(len(k)), np.ones(len(k)), q / p
+    over, under, ratio = x.astype(float), (k - x + 1).astype(float), np.empty(len(k))
+    while term.max() > 1e-18:
+        for _ in range(8):  # a term of 0 stays 0
+            np.divide(over, under, out=ratio)
+            ratio *= odds
+            term *= ratio
+            total += term
+            over -= 1
+            under += 1
     below = here * total
     while (move := (below - here > u) & (x > 0)).any():
         below = np.where(move, below - here, below)

@@ -25,6 +25,8 @@ from stanzaflow.sources.scratch import materialise
 SHARD_ROWS, SHARD_BITS, DRAWS = 2048, 16, 1 << 17
 #: Copies of rows of a shard that are told apart by an array of places; beyond, by searching.
 SPREAD = 1 << 22
+#: Draws of a block of shards that one call makes, at most, if it has several shards; replicates dealt to blocks together.
+BLOCK_DRAWS, DEALT = 1 << 24, 64
 #: Bins that a replicate's hashes are counted in, in one pass; replicates whose counts are merged together; bits of a hash.
 BINS, TOGETHER, HASH_BITS = 64, 128, 62
 
@@ -53,9 +55,9 @@ def split_replicates(df: DataFrame, key: list[str], num: str, den: str, stratum:
     """rep, density, draws: b exact resamples with replacement, as many draws as rows, without b rows for each row.
 
     Rows lie in 2^bits shards by the hash of their key. A replicate's n draws go down the tree of shards: at a node
-    with k draws the left half gets Binomial(k, its share of the rows), by a hash of (replicate, node). A shard's task walks its own path,
-    so that nothing is handed from task to task, makes its draws by hashes of (replicate, shard, draw) and hands on sums by
-    replicate. Rows with the same key and values are one row with a count, so that copies don't fill a shard. The driver sees one count a shard.
+    with k draws the left half gets Binomial(k, its share of the rows), by a hash of (replicate, node). The upper levels, down to blocks
+    of neighbouring shards, are walked once for each replicate. A block takes its draws down to its shards, makes them by hashes of
+    (replicate, shard, draw) and hands on one sum by replicate, so that a path isn't walked anew for each shard. Rows with the same key and values are one row with a count, so that copies don't fill a shard. The driver sees one count a shard.
     """
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])), 1, 8), 16, 10).cast("long")
     # The key's own string orders the rows of a shard, so that any split of the table gives the same draws.
@@ -73,26 +75,48 @@ def split_replicates(df: DataFrame, key: list[str], num: str, den: str, stratum:
     levels.reverse()
     start = draws.base(seed, stratum)
 
-    def dealt(shard: int) -> np.ndarray:
-        reps, k = np.arange(b), np.full(b, n)
-        for level in range(bits):
-            node = shard >> (bits - level)
-            share = levels[level + 1][2 * node] / levels[level][node]
-            left = draws.binomial(k, share, draws.drawn(start, reps, (1 << level) + node) / 2.0**32)
-            k = k - left if shard >> (bits - level - 1) & 1 else left
-        return k
-
-    def resample(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("name", "ascending"), ("num", "ascending"), ("den", "ascending")])
-        shard = table["shard"][0].as_py()
-        values = [np.nan_to_num(table[c].fill_null(0).to_numpy(), nan=np.nan) for c in ("num", "den")]
-        times = table["times"].to_numpy()
+    # A block: 2^fine neighbouring shards, below one node of the level `top`.
+    fine = max(i for i in range(bits + 1) if i == 0 or (b << i <= DRAWS and b * n >> (bits - i) <= BLOCK_DRAWS))
+    top = bits - fine
+
+    def halved(k: np.ndarray, reps: np.ndarray, level: int, node: int) -> np.ndarray:
+        """Draws (node, replicate) of neighbouring nodes from `node` on, dealt to their halves."""
+        nodes = node + np.arange(len(k))
+        share = levels[level + 1][2 * nodes] / np.maximum(levels[level][nodes], 1)
+        left = draws.binomial(k, share[:, None], draws.drawn(start, reps[None], (1 << level) + nodes[:, None]) / 2.0**32)
+        return np.stack([left, k - left], 1).reshape(-1, len(reps))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in batch.column(0).to_pylist()):
+            reps = np.arange(part * DEALT, min(b, (part + 1) * DEALT))
+            k = np.full((1, len(reps)), n)
+            for level in range(top):
+                k = halved(k, reps, level, 0)
+            packed = pa.array([x.tobytes() for x in k], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(k))), pa.array(np.full(len(k), part)), packed], ["block", "part", "k"])
+
+    def resample(table: pa.Table, dealt: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"rep": pa.array([], pa.int64()), "num": pa.array([], pa.float64()), "den": pa.array([], pa.float64()), "draws": pa.array([], pa.int64())})
+        block, reps = table["block"][0].as_py(), np.arange(b)
+        k = np.frombuffer(b"".join(dealt.sort_by("part")["k"].to_pylist()), np.int64)[None]
+        for level in range(top, bits):
+            k = halved(k, reps, level, block << (level - top))
+        table = table.sort_by([("shard", "ascending"), ("name", "ascending"), ("num", "ascending"), ("den", "ascending")])
+        nums, dens = (np.nan_to_num(table[c].fill_null(0).to_numpy(), nan=np.nan) for c in ("num", "den"))
+        times, sums = table["times"].to_numpy(), np.zeros((2, b))
+        shards, begin = np.unique(table["shard"].to_numpy(), return_index=True)
+        for shard, lo, hi in zip(shards.tolist(), begin.tolist(), [*begin[1:].tolist(), len(table)], strict=True):
+            drawn_sums(sums, shard, k[shard - (block << fine)], [nums[lo:hi], dens[lo:hi]], times[lo:hi])
+        return pa.table({"rep": reps, "num": sums[0], "den": sums[1], "draws": k.sum(0)})
+
+    def drawn_sums(sums: np.ndarray, shard: int, k: np.ndarray, values: list[np.ndarray], times: np.ndarray) -> None:
+        """Adds to sums what a shard's draws, k by replicate, hold of each of the values."""
         upto = np.cumsum(times)
         spread = upto[-1] <= SPREAD
         if spread:
             values = [np.repeat(v, times) for v in values]
         begun = draws.drawn(start, np.arange(b), (1 << bits) + shard).astype(np.uint32)
-        k, sums = dealt(shard), np.zeros((2, b))
         first = 0
         while first < b:  # replicates with together some DRAWS draws
             last = max(first + 1, int(np.searchsorted(np.cumsum(k[first:]), DRAWS, side="right")) + first)
@@ -104,11 +128,12 @@ def split_replicates(df: DataFrame, key: list[str], num: str, den: str, stratum:
             row = row if spread else np.searchsorted(upto, row, side="right")
             for total, value in zip(sums, values, strict=True):
                 if len(row):
-                    total[first:last][own > 0] = np.add.reduceat(value[row], at[own > 0])
+                    total[first:last][own > 0] += np.add.reduceat(value[row], at[own > 0])
             first = last
-        return pa.table({"rep": np.arange(b), "num": sums[0], "den": sums[1], "draws": k})
 
-    parts = sharded.groupBy("shard").applyInArrow(resample, "rep long, num double, den double, draws long")
+    blocks = sharded.withColumn("block", F.shiftright("shard", fine)).groupBy("block")
+    dealt = df.sparkSession.range(-(-b // DEALT)).mapInArrow(deal, "block long, part long, k binary")
+    parts = blocks.cogroup(dealt.groupBy("block")).applyInArrow(resample, "rep long, num double, den double, draws long")
     return parts.groupBy("rep").agg(pooled("num", "den").alias("density"), F.sum("draws").alias("draws"))
 
 

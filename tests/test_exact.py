@@ -1,5 +1,6 @@
 """Exact resampling in shards, selection instead of sorting, probes fitted together."""
 
+import hashlib
 import math
 import random
 
@@ -133,3 +134,58 @@ def test_short_draws_equal_the_long_ones(spark, monkeypatch):
     idx = np.arange(500)
     first = [np.argsort(inference.hashes(9, np.array([r]), idx, False)[0])[:180] for r in range(40)]
     assert num.tolist() == [(i % 3 + 0.5).sum() for i in first] and den.tolist() == [(i % 5 + 1.0).sum() for i in first]
+
+
+def plain_split(rows, b, shard_rows, seed, stratum):
+    """num and den of b replicates of rows (key, num, den) without copies: each shard walks its own path, and draws are made one by one."""
+    n, start = len(rows), draws.base(seed, stratum)
+    bits = (-(-n // shard_rows) - 1).bit_length()
+    hashed = [int(hashlib.md5(str(r[0]).encode()).hexdigest()[:8], 16) for r in rows]
+    out = np.zeros((2, b))
+    for shard in {h >> (32 - bits) for h in hashed}:
+        k = np.full(b, n)
+        for level in range(bits):
+            node = shard >> (bits - level)
+            of, left_of = (sum(h >> (32 - at) == x for h in hashed) for at, x in ((level, node), (level + 1, 2 * node)))
+            left = draws.binomial(k, left_of / of, draws.drawn(start, np.arange(b), (1 << level) + node) / 2.0**32)
+            k = k - left if shard >> (bits - level - 1) & 1 else left
+        own = sorted((r for r, h in zip(rows, hashed) if h >> (32 - bits) == shard), key=lambda r: str(r[0]))
+        for rep in range(b):
+            for i in draws.places(draws.drawn(start, np.full(k[rep], rep), (1 << bits) + shard, np.arange(k[rep])), len(own)):
+                out[:, rep] += own[i][1:]
+    return out
+
+
+def python_rows(plan):
+    """Rows that a plan, once run, had back from Python."""
+    if "AdaptiveSparkPlan" in plan.nodeName():
+        return python_rows(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return python_rows(plan.plan())
+    metric, children = plan.metrics().get("pythonNumRowsReceived"), plan.children()
+    return (metric.get().value() if metric.isDefined() else 0) + sum(python_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_shards_of_a_block_share_their_path(spark):
+    rows, df = frame(spark, 900)
+    out = inference.split_replicates(df, ["i"], "w", "n", "a", 50, 5, 3)  # 512 shards
+    got = {r.rep: r.density for r in out.collect()}
+    num, den = plain_split(rows, 50, 3, 5, "a")
+    assert [got[rep] for rep in range(50)] == pytest.approx((100 * num / den).tolist())
+    assert python_rows(out._jdf.queryExecution().executedPlan()) < 1000  # not 50 for each shard
+
+
+def test_blocks_of_one_shard_or_several_make_the_same_draws(spark, monkeypatch):
+    _, df = frame(spark, 300)
+    runs = []
+    for most in (1, 70 * 40, 1 << 24):  # 300 rows in 32 shards: blocks of 1, 4 and 32
+        monkeypatch.setattr(inference, "BLOCK_DRAWS", most)
+        runs.append([(r.rep, round(r.density, 9), r.draws) for r in inference.split_replicates(df, ["i"], "w", "n", "a", 70, 5, 10).orderBy("rep").collect()])
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 70 and all(r[2] == 300 for r in runs[0])
+
+
+def test_binomials_with_a_share_each():
+    k, p = np.array([[0, 7], [400, 90000], [50, 50]]), np.array([[0.3], [0.001], [1.0]])
+    u = draws.drawn(draws.base(7), np.arange(6)).reshape(3, 2) / 2.0**32
+    got = draws.binomial(k, p, u)
+    assert got.shape == (3, 2) and [[int(draws.binomial(k[i, j : j + 1], p[i, 0], u[i, j : j + 1])[0]) for j in range(2)] for i in range(3)] == got.tolist()
